@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, topk
+from . import bpe, decontaminate, langid, license_scan, line_dedup, topk
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_language_id": langid.op6_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op5_exact_topk": topk.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
