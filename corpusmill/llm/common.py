@@ -113,3 +113,46 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * p[:-1], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+
+
+WORD_BYTE = np.zeros(256, bool)
+WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
+BLANK_BYTE = np.zeros(256, bool)
+BLANK_BYTE[[9, 10, 11, 12, 13, 32]] = True
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+
+
+def word_spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes for which the table ``inside`` is true."""
+    m = np.zeros(len(data) + 2, np.int8)
+    m[1:-1] = inside[data]
+    d = np.diff(m)
+    return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def folded_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array with A-Z lower-cased and a blank behind each, and where each text begins."""
+    data = _FOLDED[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    begin = np.r_[0, np.cumsum([len(t) + 1 for t in texts])[:-1]].astype(np.int64)
+    return data, begin
+
+
+def shingles(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word n-grams of all texts, and which text each belongs to; a text of fewer words, but not none, has one n-gram."""
+    data, begin = folded_bytes(texts)
+    s, e = word_spans(data, WORD_BYTE)
+    h = span_hashes(data, s, e)
+    doc = np.searchsorted(begin, s, "right") - 1
+    n = np.bincount(doc, minlength=len(texts))
+    first = np.r_[0, np.cumsum(n)[:-1]]
+    grams = np.zeros(len(h), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            # words beyond the text's end do not count: only a text's first gram can have fewer than ``size`` words, if the text has
+            part = h[j:] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 2**64))
+            ok = doc[j:] == doc[: len(doc) - j] if j else slice(None)
+            grams[: len(h) - j][ok] += part[ok]
+    last = (first + np.maximum(n - size, 0))[doc]
+    keep = np.arange(len(h)) <= last
+    return mix64(grams[keep]), doc[keep]

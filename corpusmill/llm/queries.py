@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, topk
+from . import bpe, decontaminate, langid, license_scan, line_dedup, near_dedup, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_language_id": langid.op6_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
