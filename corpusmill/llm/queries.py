@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, near_dedup, substring_dedup, topk
+from . import bpe, decontaminate, langid, license_scan, line_dedup, near_dedup, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_language_id": langid.op6_language_id,
