@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, near_dedup, substring_dedup, topk, toxicity
+from . import bpe, decontaminate, html_extract, langid, license_scan, line_dedup, near_dedup, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_language_id": langid.op6_language_id,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
