@@ -1,31 +1,64 @@
-"""The corpus pipeline: stages over the documents table, each of which applies one operator of corpusmill.llm."""
+"""The corpus pipeline: stages over the documents table, each of which applies one operator of corpusmill.llm.
+
+Every stage works on all rows that the one before kept.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from corpusmill.llm.line_dedup import drop_lines
+from pyspark.sql import functions as F
+
+from corpusmill.llm import bpe, decontaminate, langid, line_dedup, near_dedup
+from corpusmill.llm.common import cut, text_key
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: No SQL can express the learned and sampled stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def line_dedup(spark, docs, sf_dir):
-    """Drop the lines that many documents share; documents stay."""
-    from pyspark.sql import functions as F
+def language_id_stage(spark, docs, sf_dir):
+    """Keep the documents in which a language is recognised: not ``und``, and with a posterior of at least a half."""
+    out = langid.identify(docs, langid.fit(docs))
+    return out.where((F.col("_lang.pred") != "und") & (F.col("_lang.score") >= 0.5)).select(docs.columns)
 
-    out = drop_lines(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
+def line_dedup_stage(spark, docs, sf_dir):
+    """Take out the lines that ten documents or more share; every document stays, with its new length."""
+    return line_dedup.drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
-STAGES = [("line_dedup", line_dedup)]
 
+def near_dedup_stage(spark, docs, sf_dir):
+    """Keep one document of each near-duplicate class."""
+    return near_dedup.representatives(docs)
+
+
+def decontaminate_stage(spark, docs, sf_dir):
+    """Drop the documents that hold a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.find(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("_dc_h").alias("_h")).distinct()
+    own = docs.withColumn("_own", text_key(F.col("text")))
+    return own.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")), "left_anti").select(docs.columns)
 
-def run(spark, sf_dir):
-    """All stages over the documents of sf_dir."""
-    from corpusmill.llm.common import cut
 
+def bpe_stage(spark, docs, sf_dir):
+    """Token ids of each document, and the text they decode to."""
+    ids = F.when(F.col("_bpe.ids") == "", F.array().cast("array<int>")).otherwise(F.transform(F.split("_bpe.ids", " "), lambda x: x.cast("int")))
+    return bpe.encode(docs).select("doc_id", "lang", "source", "_bpe.n_tokens", ids.alias("ids"), F.col("_bpe.decoded").alias("decoded"))
+
+
+STAGES = [
+    ("language_id", language_id_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("bpe", bpe_stage),
+]
+
+
+def run(spark, sf_dir):
+    """All stages over the documents of sf_dir, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
     return docs

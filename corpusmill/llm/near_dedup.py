@@ -161,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, alpha: float = 0.1, bands: int = 22, rows: int = 4, df_bits: int = 18, size: int = 5
 ) -> DataFrame:
-    """A row for each row of docs: ``id``, ``node`` (MD5 of the text, which names it) and ``class_id`` (smallest id of the class)."""
+    """A row for each row of docs: ``id``, ``node`` (MD5 of the text, which names it), ``label`` (the class's smallest node) and ``class_id`` (its smallest id)."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = d.count()
@@ -235,10 +235,23 @@ def near_classes(
     ids = signed.groupBy("node").agg(F.min("id").alias("least_id"))
     named = ids.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    by_node = named.join(classes, "label").select("node", "class_id")
+    by_node = named.join(classes, "label").select("node", "label", "class_id")
     return signed.select("id", "node").join(by_node, "node", "left")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, one of each near-duplicate class: that with the smallest id, then the smallest MD5 of the text; of rows equal in both, one."""
+    rows = near_classes(docs, id_col, text_col, **options).groupBy("label", "id", "node").agg(F.count("*").alias("copies"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "copies")).alias("best")
+    keep = cut(rows.groupBy("label").agg(best).select(F.col("best.id").alias("_nd_id"), F.col("best.node").alias("_nd_node"), F.col("best.copies").alias("_nd_copies")))
+    body = docs.withColumn("_nd_own", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    joined = body.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_nd_id")) & (F.col("_nd_own") == F.col("_nd_node")))
+    out = joined.where("_nd_copies = 1").select(docs.columns)
+    if keep.where("_nd_copies > 1").limit(1).count():
+        out = out.unionByName(joined.where("_nd_copies > 1").dropDuplicates(["_nd_own", "_nd_id"]).select(docs.columns))
+    return out
+
+
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
