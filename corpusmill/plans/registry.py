@@ -18,3 +18,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from . import text_queries, vision_queries  # noqa: E402,F401  the queries register themselves
