@@ -16,8 +16,9 @@ Jaccard similarity:
 1. every member of a bucket with the bucket's smallest member.  Their classes
    are found, then
 2. in buckets of up to 64 members all pairs not yet in one class;
-3. larger buckets are split by a second band (8 equal samples): members again
-   go with the smallest one, and where 64 or fewer are left, in all pairs.
+3. larger buckets are split by each of the three bands that follow (8 equal
+   samples): members again go with the smallest one, and where 64 or fewer are
+   left, in all pairs.
 
 Classes are connected components, found by alternating star contractions on
 the verified links, in tables; nothing grows on the driver.
@@ -40,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, mix64, shingles
 
-BUCKET = 64
+#: Members of a bucket up to which all pairs are candidates, and bands that split a larger one.
+BUCKET, SECOND = 64, 3
 
 
 def _texts(column) -> list[bytes]:
@@ -134,6 +136,11 @@ class Sampler:
         return inter / np.maximum(total - inter, 1e-300)
 
 
+def _print(edges: DataFrame) -> tuple:
+    """Whether two sets of links are equal shows in these three numbers."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40)))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): ``node`` and ``label``, the smallest node of its component.
 
@@ -141,6 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
     table in the shared folder.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())  # u > v
+    now = _print(e)
     while True:
         # large star: a node's larger neighbours go to the smallest of its neighbourhood
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -150,9 +158,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        gone = small.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(small, ["u", "v"], "left_anti").limit(1).count()
-        e = small
-        if not gone:
+        e, before, now = small, now, _print(small)
+        if before == now:
             break
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
@@ -223,8 +230,10 @@ def near_classes(
     more = all_pairs(member.where(F.col("n") <= BUCKET), ["band", "key"])
     big = member.where(F.col("n") > BUCKET).select("band", "key", "node", "weight")
     if big.limit(1).count():
-        other = keyed.select("node", F.col("band").alias("band2"), F.col("key").alias("key2"))
-        sub = big.join(other, "node").where("band2 > band").drop("n", "least")
+        # each membership meets the SECOND bands that follow its own, in a circle: linear in the bucket's size
+        big = big.join(texts.select("node", "bands"), "node")
+        second = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda i: (F.col("band") + i) % bands)
+        sub = big.select("band", "key", "node", "weight", "bands", F.explode(second).alias("band2")).withColumn("key2", F.get("bands", F.col("band2"))).drop("bands")
         keys = ["band", "key", "band2", "key2"]
         counted = sub.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
         sub = cut(sub.join(counted, keys))
