@@ -116,13 +116,14 @@ def triples(seq: np.ndarray, begin: np.ndarray):
 
 def weigh(words: list[str], alphabet: Alphabet, beta: np.ndarray) -> np.ndarray:
     """Kernel expansions: the sum of beta over the triples of each word, scaled."""
-    if not words:
-        return np.zeros(0)
-    seq, begin, size = alphabet.encode(words)
-    place = np.zeros(len(seq) - REACH, np.float32)
-    for code, w in triples(seq, begin):
-        place += np.float32(w) * beta[code]
-    return np.add.reduceat(place, begin) * _scale(size)
+    out = np.zeros(len(words))
+    for i in range(0, len(words), 20_000):  # so that what is held does not grow with the vocabulary
+        seq, begin, size = alphabet.encode(words[i : i + 20_000])
+        place = np.zeros(len(seq) - REACH, np.float32)
+        for code, w in triples(seq, begin):
+            place += np.float32(w) * beta[code]
+        out[i : i + 20_000] = np.add.reduceat(place, begin) * _scale(size)
+    return out
 
 
 def features(word: str, alphabet: Alphabet) -> np.ndarray:
@@ -136,16 +137,36 @@ def features(word: str, alphabet: Alphabet) -> np.ndarray:
     return out * np.float32(_scale(size)[0])
 
 
-def kernel(words: list[str], alphabet: Alphabet, table: np.ndarray) -> np.ndarray:
-    """Kernel values of words against landmarks, whose features are the columns of table."""
-    used = np.flatnonzero(table.any(1))
-    row = np.zeros(SYMBOLS**3, np.int32)
-    row[used] = 1 + np.arange(len(used))
-    small = np.vstack([np.zeros((1, table.shape[1]), np.float32), table[used]])
+class Table:
+    """The features of some words, a column each, over the triples that any of them has."""
+
+    def __init__(self, words: list[str], alphabet: Alphabet):
+        found = []
+        for w in words:
+            f = features(w, alphabet)
+            at = np.flatnonzero(f)
+            found.append((at, f[at]))
+        self.used = np.unique(np.concatenate([at for at, _ in found]))
+        self.row = np.zeros(SYMBOLS**3, np.int32)
+        self.row[self.used] = 1 + np.arange(len(self.used))
+        self.small = np.zeros((1 + len(self.used), len(words)), np.float32)
+        for k, (at, v) in enumerate(found):
+            self.small[self.row[at], k] = v
+
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """A weight for every triple: the features' sum by these weights of the words."""
+        out = np.zeros(SYMBOLS**3, np.float32)
+        out[self.used] = self.small[1:] @ weights.astype(np.float32)
+        return out
+
+
+def kernel(words: list[str], alphabet: Alphabet, table: Table) -> np.ndarray:
+    """Kernel values of words against the words of a table."""
+    small, row = table.small, table.row
     out = []
-    for i in range(0, len(words), 2000):
-        seq, begin, size = alphabet.encode(words[i : i + 2000])
-        total = np.zeros((len(begin), table.shape[1]), np.float32)
+    for i in range(0, len(words), 1000):
+        seq, begin, size = alphabet.encode(words[i : i + 1000])
+        total = np.zeros((len(begin), small.shape[1]), np.float32)
         owner = np.searchsorted(begin, np.arange(len(seq) - REACH), "right") - 1
         for code, w in triples(seq, begin):
             r = row[code]
@@ -155,7 +176,7 @@ def kernel(words: list[str], alphabet: Alphabet, table: np.ndarray) -> np.ndarra
                 first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 total[o[first]] += np.float32(w) * np.add.reduceat(small[r[at]], first, axis=0)
         out.append(total * _scale(size)[:, None])
-    return np.concatenate(out) if out else np.zeros((0, table.shape[1]))
+    return np.concatenate(out) if out else np.zeros((0, small.shape[1]))
 
 
 def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -181,7 +202,9 @@ class Machine:
         self.trained = len({y for y, _ in rows}) == 2
         if not self.trained:
             return
-        bags = [(y, tokens(t)) for y, t in rows]
+        one: dict[str, str] = {}  # each token is held once
+        bags = [(y, tuple(one.setdefault(t, t) for t in tokens(text))) for y, text in rows]
+        del one
         n1 = sum(y == 1 for y, _ in bags)
         n0 = len(bags) - n1
         c1, c0 = Counter(t for y, b in bags if y == 1 for t in b), Counter(t for y, b in bags if y == 0 for t in b)
@@ -198,16 +221,16 @@ class Machine:
             self.trained = False
             return
         calm = sorted(t for t in c0 if evidence.get(t, 0) <= least)
-        table = np.stack([features(t, self.alphabet) for t in lead], axis=1)
+        table = Table(lead, self.alphabet)
         # the first negatives: clean tokens most like the toxic landmarks, and every 200th of the rest; the nearest of each become landmarks
-        rank = np.argsort(-weigh(calm, self.alphabet, table.sum(1)), kind="stable")
+        rank = np.argsort(-weigh(calm, self.alphabet, table.spread(np.ones(len(lead)))), kind="stable")
         near = sorted(rank[:8_000].tolist())
         close = kernel([calm[i] for i in near], self.alphabet, table)
         order = np.argsort(-close, axis=0, kind="stable")[:4].T
         chosen = list(dict.fromkeys(int(i) for k in range(order.shape[1]) for i in order[:, k]))[: landmarks - len(lead)]
         self.landmarks = lead + [calm[near[i]] for i in chosen]
         used = set(near) | set(rank[8_000::200].tolist())
-        table = np.stack([features(t, self.alphabet) for t in self.landmarks], axis=1)
+        table = Table(self.landmarks, self.alphabet)
         gram = kernel(self.landmarks, self.alphabet, table).astype(float)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
@@ -227,7 +250,7 @@ class Machine:
             y = np.r_[np.ones(len(sure)), -np.ones(len(xn))]
             w = solve(x, y, np.r_[np.full(len(sure), 4.0), np.ones(len(xn))], ridge)
             strength = xs @ w
-            self.beta, self.bias = (table @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+            self.beta, self.bias = table.spread(root @ w[:-1]), float(w[-1])
             # clean tokens within the margin join the negatives
             inside = [i for i in np.argsort(-weigh(calm, self.alphabet, self.beta), kind="stable")[:20_000].tolist() if i not in used]
             inside = [i for i, v in zip(inside, self.margins([calm[i] for i in inside]).tolist(), strict=True) if v > -1]
@@ -289,7 +312,7 @@ def score(texts: list[str | None], machine: Machine, cache: int = 400_000) -> np
     return machine.curve(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Machine:
     """A machine from at most ``per_class`` documents of each label, outside the held-out fold."""
     mine = labels.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_tx_id"), F.col(label_col).cast("int").alias("_tx_y"))
     mine = mine.groupBy("_tx_id").agg(F.max("_tx_y").alias("_tx_y"))

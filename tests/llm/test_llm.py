@@ -230,8 +230,7 @@ def test_toxicity_held_out(spark, edge, nothing):
 def test_kernel_against_definition():
     words = ["idiot", "idxiot", "abc"]
     a = toxicity.Alphabet(words)
-    table = np.stack([toxicity.features(w, a) for w in words], axis=1)
-    k = toxicity.kernel(words, a, table)
+    k = toxicity.kernel(words, a, toxicity.Table(words, a))
 
     def phi(w):
         s, out = "^" + w + "$", Counter()
