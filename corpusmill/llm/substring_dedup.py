@@ -187,8 +187,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield from part.to_batches(max_chunksize=5000)
 
     counted = distinct.repartition("mini").sortWithinPartitions("mini").mapInArrow(buckets, "mini long, packed string, flags binary")
-    decided = counted.select("mini", "flags", F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(7), "packed").alias("k2"))
-    hits = sent.select("_sd_id", "_sd_h", "at", "mini", "k1", "k2").join(decided, ["mini", "k1", "k2"])
+    decided = counted.select("flags", F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(7), "packed").alias("k2"))
+    hits = sent.select("_sd_id", "_sd_h", "at", "k1", "k2").join(decided, ["k1", "k2"])  # a packed string has one minimiser, so its 128 bits say it all
     return hits.groupBy("_sd_id", "_sd_h").agg(F.collect_set(F.struct("at", "flags")).alias("spans"))
 
 
