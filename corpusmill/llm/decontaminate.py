@@ -79,6 +79,11 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, window: int) -> D
     return each.groupBy("win", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def _window_at(n: int):
+    """A function that cuts the window of n words at a place (of one parameter: a second one would be given the index)."""
+    return lambda s: F.struct(s.alias("at"), F.array_join(F.slice(F.col("w"), s + 1, n), " ").alias("win"), F.lit(n).alias("len"))
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
     """For each document: its id, ``n_words``, ``n_hit``, ``items`` (ids with hits, sorted) and ``spans`` (merged hit spans, from word and up to word).
 
@@ -103,10 +108,10 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         # the windows that hold the k-gram at i start at i - run + 1 up to i
         starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - run + 1, F.lit(0)), F.least(i, F.size("w") - window)))))
         starts = F.when(F.size("w") >= window, starts).otherwise(F.array().cast("array<int>"))
-        found = F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_join(F.slice(F.col("w"), s + 1, window), " ").alias("win"), F.lit(window).alias("len")))
+        found = F.transform(starts, _window_at(window))
         for n in short:
             places = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-            each = F.transform(places, lambda s, n=n: F.struct(s.alias("at"), F.array_join(F.slice(F.col("w"), s + 1, n), " ").alias("win"), F.lit(n).alias("len")))
+            each = F.transform(places, _window_at(n))
             found = F.concat(found, F.filter(each, lambda x: _maybe(table, F.xxhash64(x["win"]))))
     else:
         found = F.array().cast("array<struct<at:int,win:string,len:int>>")

@@ -49,7 +49,7 @@ def test_decontaminate_edges(spark, edge, nothing):
     got = decontaminate.find(edge, items).collect()
     assert len(got) == len(EDGE)
     by = {r["doc_id"]: r for r in got}
-    assert by[None]["items"] == ["1"] and by[None]["n_hit"] == 80
+    assert by[None]["items"] == ["1"] and by[None]["n_hit"] == 79
     assert by[7]["items"] == ["2"] and by[7]["n_hit"] == 4 and by[7]["spans"][0]["at"] == 0
     assert by[1]["n_words"] == 0 and by[1]["n_hit"] == 0
     assert by[6]["n_hit"] == 4000 and by[6]["items"] == []
