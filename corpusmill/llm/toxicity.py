@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes
-from .langid import sample_labelled
 
 REACH, DECAY, SYMBOLS = 6, 0.6, 64
 PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, REACH + 1) for a in range(1, b)]
@@ -214,7 +213,7 @@ class Machine:
         evidence = {}
         for t, n in c1.items():
             expected = (n + c0[t]) * n1 / (n1 + n0)
-            if n > 2 * expected:
+            if n / n1 > 3 * c0[t] / n0:
                 evidence[t] = n * math.log(n / expected)
         lead = sorted((t for t in evidence if evidence[t] > least), key=lambda t: (-evidence[t], t))[: landmarks // 2]
         if not lead:
@@ -315,9 +314,15 @@ def score(texts: list[str | None], machine: Machine, cache: int = 400_000) -> np
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Machine:
     """A machine from at most ``per_class`` documents of each label, outside the held-out fold."""
     mine = labels.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_tx_id"), F.col(label_col).cast("int").alias("_tx_y"))
-    mine = mine.groupBy("_tx_id").agg(F.max("_tx_y").alias("_tx_y"))
-    joined = docs.select(F.col(id_col).alias("_tx_d"), F.col(text_col).alias("_tx_t")).join(mine, F.col("_tx_d") == F.col("_tx_id"))
-    return Machine(sample_labelled(joined, "_tx_id", "_tx_t", "_tx_y", per_class))
+    mine = mine.groupBy("_tx_id").agg(F.max("_tx_y").alias("_tx_y")).withColumn("_tx_h", F.xxhash64("_tx_id", F.lit(11)))
+    # at most per_class ids of each label, which is what the broadcast is bounded by; texts are not shuffled
+    ids = None
+    for y in (0, 1):
+        part = mine.where(F.col("_tx_y") == y).orderBy("_tx_h", "_tx_id").limit(per_class)
+        ids = part if ids is None else ids.unionByName(part)
+    texts = docs.select(F.col(id_col).alias("_tx_d"), F.col(text_col).alias("_tx_t")).where(F.col("_tx_t") != "")
+    rows = texts.join(F.broadcast(ids), F.col("_tx_d") == F.col("_tx_id")).groupBy("_tx_id", "_tx_y").agg(F.min("_tx_t").alias("_tx_t")).collect()
+    return Machine([(r["_tx_y"], r["_tx_t"]) for r in sorted(rows, key=lambda r: (r["_tx_y"], str(r["_tx_id"])))])
 
 
 def rate(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
