@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 
 #: The words of lower-cased text; white space is what stands between them.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -349,7 +349,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text") -> Da
         ids, shown = codec_of(spec.value).encode(list(text))
         return pd.DataFrame({"n_tokens": [s.count(" ") + 1 if s else 0 for s in ids], "ids": ids, "decoded": shown})
 
-    return df.withColumn("_bpe", apply(F.col(text_col)))
+    return small_batches(df).withColumn("_bpe", apply(F.col(text_col)))
 
 
 def digest(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -365,7 +365,7 @@ def digest(df: DataFrame, path: str | None = None, text_col: str = "text") -> Da
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         return pd.DataFrame({"n_tokens": [s.count(" ") + 1 if s else 0 for s in ids], "ids_sha256": list(map(sha, ids)), "decoded_sha256": list(map(sha, shown))})
 
-    return df.withColumn("_bpe", apply(F.col(text_col)))
+    return small_batches(df).withColumn("_bpe", apply(F.col(text_col)))
 
 
 def decode(ids: list[int], spec: str) -> str:

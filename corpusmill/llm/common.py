@@ -62,6 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, in a session whose Arrow batches have at most ``rows`` rows: texts are long, and a worker holds a batch several times over."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text; with the document's id it names a document."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 #: Where an attribute's quote is never closed the tag ends at the next '>'.
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -396,7 +398,7 @@ def extract_text(df: DataFrame, model: Model | None = None, html_col: str = "htm
     def apply(source: pd.Series) -> pd.Series:
         return pd.Series(extract(list(source), shared.value), dtype=object)
 
-    return df.withColumn("_main", apply(F.col(html_col)))
+    return small_batches(df).withColumn("_main", apply(F.col(html_col)))
 
 
 def op4_html_extract(spark, sf_dir: str) -> DataFrame:

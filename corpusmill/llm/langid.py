@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 SPACE, DIGIT, OTHER = 26, 27, 28
@@ -193,7 +193,7 @@ def identify(df: DataFrame, model: dict[str, ContextTree], text_col: str = "text
         p, s = classify([None if t is None else t for t in text], shared.value, order)
         return pd.DataFrame({"pred": p, "score": s})
 
-    return df.withColumn("_lang", apply(F.col(text_col)))
+    return small_batches(df).withColumn("_lang", apply(F.col(text_col)))
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:

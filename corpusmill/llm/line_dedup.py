@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, ascii_lower, cut, text_key
+from .common import BLANKS, ascii_lower, cut, small_batches, text_key
 
 _DECISIONS = "_ld_id {id}, _ld_h long, _ld_pos int, _ld_n int, h1 long, h2 long, open boolean, docs long"
 
@@ -135,7 +135,7 @@ def kept_flags(keep: bytes, n: int) -> np.ndarray:
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10) -> DataFrame:
     """df with the text stripped of repeated lines, and ``_ld_lines``, ``_ld_dropped``: lines before, lines dropped."""
     bits = line_bitmaps(df, id_col, text_col, min_chars, min_docs).select(F.col("_ld_id").alias("_ld_b"), F.col("_ld_h").alias("_ld_g"), F.col("keep").alias("_ld_keep"))
-    keyed = df.withColumn("_ld_h", text_key(F.col(text_col)))
+    keyed = small_batches(df).withColumn("_ld_h", text_key(F.col(text_col)))
     joined = keyed.join(bits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_ld_b")) & (F.col("_ld_h") == F.col("_ld_g")), "left")
 
     @F.pandas_udf("text string, n int, dropped int")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, mix64, shingles
+from .common import by_bytes, cut, mix64, shingles, small_batches
 
 #: Members of a bucket up to which all pairs are candidates, and bands that split a larger one.
 BUCKET, SECOND = 64, 3
@@ -170,7 +170,7 @@ def near_classes(
 ) -> DataFrame:
     """A row for each row of docs: ``id``, ``node`` (MD5 of the text, which names it), ``label`` (the class's smallest node) and ``class_id`` (its smallest id)."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = d.count()
     sampler = spark.sparkContext.broadcast(Sampler(document_frequencies(d, "text", df_bits, size), n, alpha, bands * rows, size))  # 2**df_bits numbers
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_BYTE, by_bytes, cut, mix64, span_hashes, text_key, word_spans
+from .common import BLANK_BYTE, by_bytes, cut, mix64, small_batches, span_hashes, text_key, word_spans
 
 NOT_BLANK = ~BLANK_BYTE
 
@@ -129,7 +129,7 @@ def count_windows(packed: list[str], times: np.ndarray, window: int) -> list[byt
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, m: int = 6, filter_bits: int = 26, hot: int | None = None) -> DataFrame:
     """For each document that loses words ``_sd_id``, ``_sd_h`` and ``spans``: (first word, number of windows, flags) of its super-k-mers with repeats."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("_sd_id"), text_key(F.col(text_col)).alias("_sd_h"), F.col(text_col).alias("text"))
+    d = small_batches(docs).select(F.col(id_col).alias("_sd_id"), text_key(F.col(text_col)).alias("_sd_h"), F.col(text_col).alias("text"))
     counts = cut(minimiser_counts(d, window, m))
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = hot or max(256, total // 4096)

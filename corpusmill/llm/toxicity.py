@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 
 REACH, DECAY, SYMBOLS = 6, 0.6, 64
 PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, REACH + 1) for a in range(1, b)]
@@ -333,7 +333,7 @@ def rate(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     def apply(text: pd.Series) -> pd.Series:
         return pd.Series(score(list(text), shared.value))
 
-    return df.withColumn("_tox", apply(F.col(text_col)))
+    return small_batches(df).withColumn("_tox", apply(F.col(text_col)))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
