@@ -18,7 +18,10 @@ Jaccard similarity:
 2. in buckets of up to 64 members all pairs not yet in one class;
 3. larger buckets are split by each of the three bands that follow (8 equal
    samples): members again go with the smallest one, and where 64 or fewer are
-   left, in all pairs.
+   left, in all pairs.  This is to leave fewer classes to
+4. all pairs of members of different classes in the larger buckets, computed in
+   blocks of some ``2 * BLOCK`` texts.  None is left out, so this grows with the
+   square of a bucket of that many texts that are in different classes.
 
 Classes are connected components, found by alternating star contractions on
 the verified links, in tables; nothing grows on the driver.
@@ -43,6 +46,8 @@ from .common import by_bytes, cut, mix64, shingles, small_batches
 
 #: Members of a bucket up to which all pairs are candidates, and bands that split a larger one.
 BUCKET, SECOND = 64, 3
+#: Texts and distinct shingles of half a block, about.
+BLOCK, WEIGHT = 512, 500_000
 
 
 def _texts(column) -> list[bytes]:
@@ -135,6 +140,59 @@ class Sampler:
         total = np.bincount(pair, w, n)
         return inter / np.maximum(total - inter, 1e-300)
 
+    def all_similarities(self, texts: list[bytes], often: int = 8, width: int = 2048) -> np.ndarray:
+        """Exact weighted Jaccard similarities of all pairs of some texts, as a matrix."""
+        n = len(texts)
+        g, doc = shingles(texts, self.size)
+        d, h, tf = _distinct(doc, g)
+        total = np.bincount(d, (1 + np.log(tf)) * self.idf[(h >> self.shift).astype(np.int64)], n)
+        # a shingle that occurs tf times is the items (shingle, 1) to (shingle, tf), so that the smaller weight is the sum over common items
+        each = np.repeat(np.arange(len(d)), tf)
+        k = np.arange(len(each)) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+        d, h = d[each], h[each]
+        order = np.lexsort((d, k, h))
+        d, h, k = d[order], h[order], k[order]
+        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(d) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[at, len(d)])
+        level = k[at].astype(float)
+        w = np.where(level > 1, np.log(level) - np.log(np.maximum(level - 1, 1)), 1.0) * self.idf[(h[at] >> self.shift).astype(np.int64)]
+        inter = np.zeros(n * n)
+        for c in range(2, often + 1):
+            these = np.flatnonzero(count == c)
+            for a in range(c if len(these) else 0):
+                for b in range(a + 1, c):
+                    inter += np.bincount(d[at[these] + a] * n + d[at[these] + b], w[these], n * n)
+        inter = inter.reshape(n, n)
+        inter += inter.T
+        many = np.flatnonzero(count > often)
+        for i in range(0, len(many), width):
+            these = many[i : i + width]
+            column = np.repeat(np.arange(len(these)), count[these])
+            place = np.repeat(at[these] - (np.cumsum(count[these]) - count[these]), count[these]) + np.arange(len(column))
+            m = np.zeros((n, len(these)))
+            m[d[place], column] = 1
+            inter += (m * w[these]) @ m.T
+        return inter / np.maximum(total[:, None] + total[None, :] - inter, 1e-300)
+
+    def joining(self, texts: list[bytes], label: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Links between texts of different labels that join all labels that any links join: fewer than there are labels."""
+        label = np.unique(label, return_inverse=True)[1]
+        x, y = np.nonzero(np.triu(self.all_similarities(texts) >= threshold - 1e-9, 1) & (label[:, None] != label[None, :]))
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        root, out = list(range(len(texts))), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i in np.unique(low * len(texts) + high, return_index=True)[1].tolist():
+            a, b = top(int(low[i])), top(int(high[i]))
+            if a != b:
+                root[a] = b
+                out.append((int(x[i]), int(y[i])))
+        return out
+
 
 def _print(edges: DataFrame) -> tuple:
     """Whether two sets of links are equal shows in these three numbers."""
@@ -198,14 +256,17 @@ def near_classes(
     size_ok = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
     first = member.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b)."""
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def bodies(wanted: DataFrame) -> DataFrame:
+        """The texts of nodes."""
         # one row of each wanted text: that with the smallest id
         one = signed.groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
         own = d.select(node.alias("node"), "id", "text").alias("d").join(one.alias("o"), F.expr("d.node = o.node and d.id <=> o.id"))
-        body = cut(own.select("d.node", "d.text").dropDuplicates(["node"]))
+        return cut(own.select("d.node", "d.text").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b)."""
+        pairs = cut(pairs)
+        body = bodies(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
 
         def check(batches):
             for x in batches:
@@ -227,9 +288,43 @@ def near_classes(
         p = b.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & size_ok(F.col("x.weight"), F.col("y.weight")))
         return p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
+    def blocks(m: DataFrame, found: DataFrame) -> DataFrame:
+        """Members of buckets of several classes, dealt to blocks (band, key, i, j) in which any two of different classes meet."""
+        keys = ["band", "key"]
+        m = m.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        size = m.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        several = size.groupBy(*keys).agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
+        size = cut(size.join(several, keys))
+        parts = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / WEIGHT))
+        # a large class has chunks of its own, which need not meet each other; small ones share chunks, dealt by class
+        own = (F.col("n") > BLOCK // 2) | (F.col("w") > WEIGHT / 2)
+        large = size.where(own).select(*keys, F.col("label").alias("of"), parts(F.col("n"), F.col("w")).alias("parts"))
+        small = size.where(~own).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select(*keys, F.lit(b"").alias("of"), parts(F.col("n"), F.col("w")).alias("parts"))
+        parted = cut(large.unionByName(small))
+        chunk = parted.select(*keys, "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(*keys, F.struct("of", "part").alias("c"))
+        only = chunk.groupBy(*keys).agg(F.count("*").alias("chunks"), F.min("c").alias("i")).where("chunks = 1").select(*keys, "i", F.col("i").alias("j"))
+        met = chunk.withColumnRenamed("c", "i").join(chunk.withColumnRenamed("c", "j"), keys).where((F.col("i") < F.col("j")) & ((F.col("i.of") != F.col("j.of")) | (F.col("i.of") == F.lit(b"")))).unionByName(only)
+        met = met.select(*keys, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("c"))
+        deal = size.select(*keys, "label", F.when(own, F.col("label")).otherwise(F.lit(b"")).alias("of")).join(parted, [*keys, "of"])
+        placed = m.join(deal, [*keys, "label"]).withColumn("part", F.pmod(F.when(F.col("of") == F.lit(b""), F.xxhash64("label")).otherwise(F.xxhash64("node")), F.col("parts")))
+        return placed.select(*keys, "node", "label", F.struct("of", "part").alias("c")).join(met, [*keys, "c"]).drop("c")
+
+    def joined(m: DataFrame) -> DataFrame:
+        """Links that join the classes within blocks."""
+        body = bodies(m.select("node").distinct())
+
+        def join(frame: pd.DataFrame) -> pd.DataFrame:
+            node = frame.node.tolist()
+            label = np.unique([bytes(x).hex() for x in frame.label], return_inverse=True)[1]
+            found = sampler.value.joining([(t or "").encode("utf-8", "replace") for t in frame.text], label, threshold)
+            return pd.DataFrame({"a": [node[x] for x, _ in found], "b": [node[y] for _, y in found]})
+
+        return m.join(body, "node").groupBy("band", "key", "i", "j").applyInPandas(join, "a binary, b binary")
+
     more = all_pairs(member.where(F.col("n") <= BUCKET), ["band", "key"])
     big = member.where(F.col("n") > BUCKET).select("band", "key", "node", "weight")
-    if big.limit(1).count():
+    whole = big
+    if split := big.limit(1).count():
         # each membership meets the SECOND bands that follow its own, in a circle: linear in the bucket's size
         big = big.join(texts.select("node", "bands"), "node")
         second = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda i: (F.col("band") + i) % bands)
@@ -241,6 +336,12 @@ def near_classes(
     more = more.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = cut(links.unionByName(verified(more)))
     found = cut(components(links))
+    if split:
+        left = cut(blocks(whole, found))
+        if left.limit(1).count():
+            last = cut(joined(left).distinct())
+            if last.limit(1).count():
+                found = cut(components(links.unionByName(last)))
     ids = signed.groupBy("node").agg(F.min("id").alias("least_id"))
     named = ids.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("least_id").alias("class_id"))

@@ -174,6 +174,30 @@ def test_near_dedup_large_buckets(spark):
     assert Counter(got.values()) == {0: 200, 999: 1}
 
 
+def test_near_dedup_one_template(spark, monkeypatch):
+    """A large group of texts on one template, below 0.8 to each other but for close pairs: classes are those of brute force, in one block and in many."""
+    rng = random.Random(6)
+    word = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = word(244), []
+    for i in range(400):
+        shared = word(14)
+        docs += [(2 * i, " ".join(template + shared + word(26))), (2 * i + 1, " ".join(template + shared + word(26)))]
+    texts = [t.encode() for _, t in docs]
+    d, h, _ = near_dedup._distinct(*reversed(shingles(texts)))
+    s = near_dedup.Sampler(np.bincount((h >> np.uint64(46)).astype(int), minlength=1 << 18), len(docs), 0.1, 88)
+    some = [(" ".join(rng.choices("abc", k=rng.randrange(60)))).encode() for _ in range(40)] + texts[:20]
+    x, y = np.triu_indices(60, 1)
+    assert np.allclose(s.all_similarities(some, 3, 7)[x, y], s.similarity([some[i] for i in x], [some[i] for i in y]))
+    near = s.all_similarities(texts) >= 0.8 - 1e-9
+    pairs = {(a, b) for a, b in np.argwhere(np.triu(near, 1)).tolist()}
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(400)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (512, 60):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["id"]: r["class_id"] for r in near_dedup.near_classes(frame).collect()}
+        assert got == {i: i // 2 * 2 for i, _ in docs}
+
+
 def test_bpe_equals_the_library(spark, sf, edge, nothing):
     from tokenizers import Tokenizer
 
