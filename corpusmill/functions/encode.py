@@ -54,10 +54,11 @@ def encode_by_join(df: DataFrame, key: str, words: str, vocab: DataFrame, unknow
 
 def segment_numbers(words: Column, sep: str = "[SEP]", start: int = 0, most: int | None = None) -> Column:
     """For each word how many separators stand before it (the separator counts with what it ends), from ``start``, at most ``most``."""
-    step = lambda a, w: F.struct(
-        F.concat(a["out"], F.array(F.least(a["n"], F.lit(most)) if most is not None else a["n"])).alias("out"), (a["n"] + F.when(w == sep, 1).otherwise(0)).alias("n")
-    )
-    return F.aggregate(words, F.struct(F.array().cast("array<int>").alias("out"), F.lit(start).alias("n")), step, lambda a: a["out"])
+    ends = F.filter(F.transform(words, lambda w, i: F.when(w == sep, i + 1)), lambda i: i.isNotNull())
+    # the lengths of the runs of equal numbers, the last one without separator: linear in the words
+    runs = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(ends, F.array(F.size(words))), lambda a, b: b - a)
+    number = lambda j: F.least(j + start, F.lit(most)) if most is not None else j + start
+    return F.flatten(F.transform(runs, lambda n, j: F.array_repeat(number(j), n)))
 
 
 def one_hot(ids: Column, size: int) -> Column:

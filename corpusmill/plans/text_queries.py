@@ -198,6 +198,12 @@ def segment_numbers(spark, sf):
     return docs(spark, sf).select("doc_id", F.transform(encode.segment_numbers(F.split(F.substring("text", 1, 100), "", -1), "."), lambda x: x.cast("long")).alias("numbers"))
 
 
+@query("segment_numbers_whole")
+def segment_numbers_whole(spark, sf):
+    """Sentence numbers of all characters of each text."""
+    return docs(spark, sf).select("doc_id", F.transform(encode.segment_numbers(F.split("text", "", -1), "."), lambda x: x.cast("long")).alias("numbers"))
+
+
 @query("one_hot", "SELECT s_suppkey, [CAST(s_nationkey = j AS INTEGER) FOR j IN range(25)] AS row FROM supplier")
 def one_hot(spark, sf):
     return _read(spark, sf, "supplier").select("s_suppkey", F.get(encode.one_hot(F.array("s_nationkey"), 25), F.lit(0)).alias("row"))

@@ -134,3 +134,23 @@ def test_stateless_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["t"] for r in spark.sql("SELECT t FROM lowered").collect()) == ["a b", "c"]
+
+
+def test_segment_numbers_of_whole_texts(spark, sf):
+    from corpusmill.plans.registry import QUERIES
+
+    def brute(words, sep, start=0, most=None):
+        out, n = [], start
+        for w in words:
+            out.append(n if most is None else min(n, most))
+            n += w == sep
+        return out
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["numbers"] for r in QUERIES["segment_numbers_whole"](spark, sf).collect()}
+    assert max(map(len, texts.values())) > 10_000  # far beyond 100 characters
+    assert got == {i: brute(t, ".") for i, t in texts.items()}
+    for words in (["a"], ["."], [".", "."], ["a", ".", "b", None, ".", "c"]):
+        assert one(spark, encode.segment_numbers(arr(words), ".", 2, 3)) == brute(words, ".", 2, 3)
+    assert one(spark, encode.segment_numbers(F.array().cast("array<string>"), ".")) == []
+    assert one(spark, encode.segment_numbers(F.lit(None).cast("array<string>"), ".")) is None
