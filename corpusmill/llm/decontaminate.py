@@ -127,6 +127,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         both = rows.where("at >= 0").join(side, ["win", "len"]).unionByName(rows.where("at < 0").withColumn("items", F.lit(None).cast("array<string>")))
     both = both.select("_dc_id", "_dc_h", "n", span, "items")
     per = both.groupBy("_dc_id", "_dc_h").agg(F.max("n").alias("n"), F.sum(F.when(F.col("span").isNull(), 1).otherwise(0)).alias("copies"), F.array_sort(F.collect_set("span")).alias("s"), F.collect_set("items").alias("i"))
+    # the longest span of each start, so that those that can reach a word are among the last ``window``
+    per = per.withColumn("s", F.filter("s", lambda x, i: F.coalesce(F.get(F.col("s"), i + 1)["at"] > x["at"], F.lit(True))))
     new = F.filter(
         F.transform("s", lambda x, i: F.struct(x["at"].alias("at"), x["to"].alias("to"), i.alias("i"))),
         lambda x: (x["i"] == 0) | (F.array_max(F.transform(F.slice(F.col("s"), F.greatest(x["i"] - window + 1, F.lit(1)), F.least(x["i"], F.lit(window))), lambda y: y["to"])) < x["at"]),

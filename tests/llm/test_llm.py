@@ -76,6 +76,15 @@ def test_winnowing_finds_every_shared_window(spark):
         assert got[i]["n_hit"] == len(hit) and got[i]["items"] == sorted(ids)
 
 
+def test_decontaminate_many_short_items(spark):
+    """Items of one to three words that start at almost every word do not hide the longer span that covers them."""
+    w = [f"w{i}" for i in range(30)]
+    items = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(3, 8)] + [" ".join(w[2:12]), w[11], w[20]]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.find(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string"), frame).first()
+    assert [tuple(x) for x in got["spans"]] == [(2, 12), (20, 21)] and got["n_hit"] == 11
+
+
 def test_line_dedup_edges(spark, edge, nothing):
     many = spark.createDataFrame([(i, f"Common\n own {i}\n common \n") for i in range(12)] + [(None, None), (50, "common")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in line_dedup.drop_lines(many).collect()}
