@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -33,11 +34,15 @@ def word_array(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in local mode) a temporary folder
-    of this machine takes its place.
+    Where the session has none, a temporary folder of this machine takes its
+    place if driver and executors are one process (tests); on a cluster that is
+    an error, as executors could not read what others wrote.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that driver and executors share")
         found = "file:" + tempfile.mkdtemp(prefix="corpusmill-")
         _own_dirs.append(found[5:])
         spark.conf.set("spark.checkpoint.dir", found)
@@ -58,25 +63,104 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    for paths in _watched:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, in a session whose Arrow batches have at most ``rows`` rows: texts are long, and a worker holds a batch several times over."""
+_watched: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def cuts_of():
+    """Within the block, the paths of all tables that ``cut`` writes are listed."""
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield paths
+    finally:
+        _watched.remove(paths)
+
+
+def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more, through the file system that holds them."""
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches have at most ``rows`` rows and about ``size`` bytes: texts are long, and a worker holds a batch several times over.
+
+    The bounds are settings of the session, read when a plan is made; they are
+    lowered where they are larger, and stay so.
+    """
     conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= rows:
-        conf.set(name, str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < _bytes(conf.get(name)) <= most:
+            conf.set(name, str(most))
     return df
 
 
+def _bytes(setting: str) -> int:
+    """A number with one of Spark's suffixes."""
+    digits = setting.strip().lower().rstrip("bgkmt")
+    unit = setting.strip().lower()[len(digits) :].rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", least: int = 64) -> DataFrame:
+    """left joined with right, which has one narrow row a key and, in ``count``, how many rows of left have it.
+
+    A key of more than one in 4096 of these rows meets its rows by broadcast
+    (there are at most 4096 such keys); the others are shuffled.  So no key's
+    rows gather in one task.  Left is read twice.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(least, total // 4096)
+    hot = F.broadcast(right.where(F.col(count) > limit))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= limit), keys, how)
+    return left.join(hot, keys).unionByName(rest)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, least: int = 256) -> DataFrame:
+    """left joined with right, which has one row a key, perhaps a wide one.
+
+    A key of more than one in 4096 of left's rows is cut into parts, each with
+    a copy of right's row, so no key's rows gather in one task.  Left is read
+    twice.
+    """
+    n = left.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = max(least, left.count() // 4096)
+    hot = F.broadcast(n.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).alias("_parts")))  # at most 4096 rows
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0).cast("long"))
+    a = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
+    b = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, with as many ``_`` behind it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that work columns beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text; with the document's id it names a document."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def by_bytes(texts: list, limit: int = 4 << 20):
+def by_bytes(texts: list, limit: int = 1 << 20):
     """Yield index ranges (i, j) of consecutive texts of about ``limit`` characters."""
     i, total = 0, 0
     for j, t in enumerate(texts):
