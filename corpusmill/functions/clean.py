@@ -99,13 +99,18 @@ _TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
 _SCALE = ["", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion"]
 
 
+def _significant(digits: str) -> int:
+    """How many digits there are from the first that is not zero."""
+    return next((len(digits) - i for i, d in enumerate(digits) if int(d)), 0)
+
+
 def number_in_chinese(digits: str) -> str:
     """An integer in Chinese numerals; longer than 20 digits, digit by digit."""
-    n = int(digits)
+    if _significant(digits) > 20:
+        return "".join(_ZH[int(d)] for d in digits)
+    n = int(digits[-20:])
     if n == 0:
         return _ZH[0]
-    if n >= 10**20:
-        return "".join(_ZH[int(d)] for d in digits)
     parts, group, gap = [], 0, False
     while n:
         n, low = divmod(n, 10_000)
@@ -127,9 +132,9 @@ def number_in_chinese(digits: str) -> str:
 
 def number_in_english(digits: str) -> str:
     """An integer in English words; longer than 21 digits, digit by digit."""
-    n = int(digits)
-    if n >= 10**21:
+    if _significant(digits) > 21:
         return " ".join(_ONES[int(d)] for d in digits)
+    n = int(digits[-21:])
     if n == 0:
         return _ONES[0]
 

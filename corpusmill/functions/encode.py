@@ -46,7 +46,10 @@ def decode_ids(ids: Column, vocab: dict[str, int]) -> Column:
 
 
 def encode_by_join(df: DataFrame, key: str, words: str, vocab: DataFrame, unknown_id: int) -> DataFrame:
-    """``key`` and ``ids``, by an equi-join with a vocabulary table (word, id) of any size; rows without words get []."""
+    """``key`` and ``ids``, by an equi-join with a vocabulary table (word, id) of any size; rows without words get [].
+
+    ``key`` has to name a row: the words of rows that share a key make one list.
+    """
     each = df.select(key, F.posexplode(words).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
     got = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown_id)).alias("id")))).alias("p")).select(key, F.transform("p", lambda x: x["id"]).alias("ids"))
     return df.select(key).join(got, key, "left").select(key, F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))

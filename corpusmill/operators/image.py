@@ -160,9 +160,10 @@ def speckle_noise(a, rng):
 def normalize(a, mean=None, std=None):
     """(x - mean) / std, by channel where given as sequences, by the image itself where not given."""
     f = a.astype(float)
-    axis = (0, 1)
-    m = f.mean(axis) if mean is None else np.asarray(mean, float)
-    s = f.std(axis) if std is None else np.asarray(std, float)
+    n = f.shape[0] * f.shape[1]
+    total = lambda x: np.add.accumulate(x.reshape(n, -1))[-1].reshape(x.shape[2:])  # noqa: E731  in row order, so that any engine gets the same bits
+    m = total(f) / n if mean is None else np.asarray(mean, float)
+    s = np.sqrt(total((f - m) ** 2) / n) if std is None else np.asarray(std, float)
     return (f - m) / np.where(s == 0, 1, s)
 
 

@@ -14,16 +14,33 @@ from ..functions.perturb import uniform
 
 
 def generate(df: DataFrame, parse: Callable[[DataFrame], DataFrame] | None = None, start_convert=None, start_filter=None, end_convert=None, end_filter=None, max_size: int | None = None) -> DataFrame:
-    """convert, filter, parse, drop empty records, convert, filter, then at most ``max_size`` rows; 0 and None mean all."""
+    """convert, filter, parse, drop empty records, convert, filter, then at most ``max_size`` rows; 0 and None mean all.
+
+    A record is empty if each of its columns is null or an empty text, array or map.
+    """
     for f in (start_convert,):
         df = f(df) if f else df
     df = df.where(start_filter) if start_filter is not None else df
-    df = parse(df) if parse else df
+    df = drop_empty(parse(df) if parse else df)
     df = end_convert(df) if end_convert else df
     df = df.where(end_filter) if end_filter is not None else df
     return df.limit(max_size) if max_size else df
 
 
+def drop_empty(df: DataFrame) -> DataFrame:
+    """The rows in which some column is neither null nor an empty text, array or map."""
+    some = F.lit(False)
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        there = c.isNotNull()
+        if kind == "string":
+            there = there & (c != "")
+        elif kind in ("array", "map"):
+            there = there & (F.size(c) > 0)
+        some = some | there
+    return df.where(some)
+
+
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
     """Splits as one table with a ``split`` column."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("split", F.lit(n)) for n, d in parts.items()])
@@ -40,20 +57,27 @@ def load_cache(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def split_sets(df: DataFrame, key: str, ratios: tuple[float, ...] = (0.8, 1.0), names: tuple[str, ...] = ("train", "test"), seed: int = 0, group: Callable[[Column], Column] | None = None) -> DataFrame:
+def split_sets(df: DataFrame, key: str, ratios: tuple[float, ...] = (0.8, 1.0), names: tuple[str, ...] = ("train", "test"), seed: int = 0, group: Callable[[Column], Column] | None = None, bits: int = 10) -> DataFrame:
     """df with ``split``: groups of keys in hashed order, cut at cumulative shares.
 
     Sizes are floor(share * groups); with ``group`` (a function of the key, for
-    instance its stem) rows of one group stay together.  Only distinct groups
-    are ordered.
+    instance its stem) rows of one group stay together.  A null key is a group,
+    too.  The hashed order is counted in ``2**bits`` equal stretches of the hash,
+    so that ranks need no ordered partition but that of one stretch.
     """
     refuse_stream(df, "split_sets")
     g = (group or (lambda c: c))(F.col(key))
     groups = df.select(g.alias("_g")).distinct()
-    total = groups.count()
-    order = groups.withColumn("_r", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), F.col("_g").cast("string")), "_g")))
+    order = groups.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_g").cast("string"))).withColumn("_s", F.shiftright("_h", 64 - bits) + (1 << bits - 1))
+    sizes = {r["_s"]: r["count"] for r in order.groupBy("_s").count().collect()}  # 2**bits rows at most
+    total, before = sum(sizes.values()), [0]
+    for i in range((1 << bits) - 1):
+        before.append(before[-1] + sizes.get(i, 0))
+    offset = F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col("_s").cast("int"))
+    order = order.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", "_g")) + offset)
     name = reduce(lambda c, x: c.when(F.col("_r") <= int(x[0] * total), x[1]), list(zip(ratios, names, strict=True))[1:], F.when(F.col("_r") <= int(ratios[0] * total), names[0]))
-    return df.withColumn("_g", g).join(order.select("_g", name.alias("split")), "_g").drop("_g")
+    named = order.select(F.col("_g").alias("_n"), name.alias("split"))
+    return df.withColumn("_g", g).join(named, F.col("_g").eqNullSafe(F.col("_n"))).drop("_g", "_n")
 
 
 def stem(c: Column, sep: str = "_") -> Column:

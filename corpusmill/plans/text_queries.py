@@ -72,18 +72,18 @@ def join_article(spark, sf):
 
 
 _GREEDY = """
-WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) < 512) AS ps FROM documents),
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
 r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda x: {'out': CAST([] AS VARCHAR[]), 'open': x}),
   lambda a, x: CASE WHEN length(a.open) + length(x.open) > 512 THEN {'out': list_append(a.out, a.open), 'open': x.open} ELSE {'out': a.out, 'open': a.open || x.open} END,
   {'out': CAST([] AS VARCHAR[]), 'open': ''}) AS a FROM p)
-SELECT doc_id, unnest(range(len(c))) AS chunk_no, unnest(c) AS chunk FROM (SELECT doc_id, CASE WHEN a.open <> '' THEN list_append(a.out, a.open) ELSE a.out END AS c FROM r)
+SELECT doc_id, unnest(range(len(c))) AS chunk_no, unnest(c) AS chunk FROM (SELECT doc_id, list_filter(list_append(a.out, a.open), lambda x: x <> '') AS c FROM r)
 """
 
 
 @query("chunk_window", _GREEDY)
 def chunk_window(spark, sf):
-    """Lines below 512 characters, glued greedily."""
-    c = chunk.greedy(split.to_paragraphs(F.col("text")), 512, "skip")
+    """Lines glued greedily within 512 characters; longer lines are chunks of their own."""
+    c = chunk.greedy(split.to_paragraphs(F.col("text")), 512, "retain")
     return docs(spark, sf).select("doc_id", F.posexplode(c).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
@@ -97,10 +97,19 @@ def chunk_overlapped(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(chunk.fixed(F.col("text"), 512, 102)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query("chunk_overlapped_paragraphs")
+@query(
+    "chunk_overlapped_paragraphs",
+    """WITH p AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda x: list_transform(range(CAST(length(x) // 500 AS BIGINT) + 1), lambda i: substring(x, i * 500 + 1, 500)))) AS ps FROM documents),
+r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda x: {'out': CAST([] AS VARCHAR[]), 'open': x, 'next': ''}),
+  lambda a, x: CASE WHEN length(a.open) + length(x.open) > 512 THEN {'out': list_append(a.out, a.open), 'open': a.next || x.open, 'next': ''}
+    ELSE {'out': a.out, 'open': a.open || x.open, 'next': CASE WHEN length(a.open) + length(x.open) > 412 THEN a.next || x.open ELSE a.next END} END,
+  {'out': CAST([] AS VARCHAR[]), 'open': '', 'next': ''}) AS a FROM p)
+SELECT doc_id, unnest(range(len(c))) AS chunk_no, unnest(c) AS chunk FROM (SELECT doc_id, CASE WHEN a.open <> '' THEN list_append(a.out, a.open) ELSE a.out END AS c FROM r)""",
+)
 def chunk_overlapped_paragraphs(spark, sf):
-    p = F.filter(split.to_paragraphs(F.col("text")), lambda x: F.char_length(x) < 512)
-    return docs(spark, sf).select("doc_id", F.posexplode(chunk.greedy_overlapped(p, 512, 100)).alias("chunk_no", "chunk"))
+    """Lines, those of 500 characters or more in stretches of 500, glued within 512 with an overlap of 100."""
+    p = F.flatten(F.transform(split.to_paragraphs(F.col("text")), lambda x: chunk.fixed(x, 500)))
+    return docs(spark, sf).select("doc_id", F.posexplode(chunk.greedy_overlapped(p, 512, 100)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 @query("chunk_retention")
@@ -153,20 +162,20 @@ def word_ids(spark, sf):
     return encode.word_ids(docs(spark, sf).select("doc_id", split.shallow_split(F.col("text")).alias("w")), "w", "doc_id")
 
 
-_VOCAB = "v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 4 AS id FROM (SELECT w, count(*) AS n FROM e GROUP BY w)), k AS (SELECT * FROM v WHERE id < 1005) "
+_VOCAB = "k AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 4 AS id FROM (SELECT w, count(*) AS n FROM e GROUP BY w) WHERE n > 1) "
 
 
-def toy_vocab(spark, sf):
-    """The thousand most frequent words behind five special tokens, as a table (word, id)."""
+def vocabulary(spark, sf):
+    """All words that occur twice, by frequency, behind five special tokens, as a table (word, id)."""
     from pyspark.sql import Window as W
 
-    n = encode.word_counts(docs(spark, sf).select(split.shallow_split(F.col("text")).alias("w")), "w").orderBy(F.desc("n"), "word").limit(1000)
+    n = encode.word_counts(docs(spark, sf).select(split.shallow_split(F.col("text")).alias("w")), "w").where("n > 1")
     return n.select("word", (F.row_number().over(W.orderBy(F.desc("n"), "word")) + 4).cast("long").alias("id"))
 
 
 @query("encode_words", _CUM + _VOCAB + "SELECT doc_id, list(coalesce(k.id, 1) ORDER BY p) AS ids FROM e LEFT JOIN k USING (w) GROUP BY doc_id")
 def encode_words(spark, sf):
-    return encode.encode_by_join(docs(spark, sf).select("doc_id", split.shallow_split(F.col("text")).alias("w")), "doc_id", "w", toy_vocab(spark, sf), 1)
+    return encode.encode_by_join(docs(spark, sf).select("doc_id", split.shallow_split(F.col("text")).alias("w")), "doc_id", "w", vocabulary(spark, sf), 1)
 
 
 @query("top_words", _CUM + "z AS (SELECT 1) SELECT w AS word, count(*) AS n FROM e GROUP BY w ORDER BY n DESC, word LIMIT 100")
@@ -192,14 +201,8 @@ def align_max(spark, sf):
     return encode.align(d, "tokens", "max", 64, None, "[CLS]", "[SEP]", "[PAD]")
 
 
-@query("segment_numbers", "SELECT doc_id, list_transform(range(len(c)), lambda i: len(list_filter(c[1:i], lambda x: x = '.'))) AS numbers FROM (SELECT doc_id, string_split(left(text, 100), '') AS c FROM documents)")
+@query("segment_numbers", "SELECT doc_id, flatten(list_transform(string_split(text, '.'), lambda x, j: list_transform(range(length(x) + 1), lambda i: j - 1)))[1:length(text)] AS numbers FROM documents")
 def segment_numbers(spark, sf):
-    """Sentence numbers of the characters of each text's opening, the operator's input here."""
-    return docs(spark, sf).select("doc_id", F.transform(encode.segment_numbers(F.split(F.substring("text", 1, 100), "", -1), "."), lambda x: x.cast("long")).alias("numbers"))
-
-
-@query("segment_numbers_whole")
-def segment_numbers_whole(spark, sf):
     """Sentence numbers of all characters of each text."""
     return docs(spark, sf).select("doc_id", F.transform(encode.segment_numbers(F.split("text", "", -1), "."), lambda x: x.cast("long")).alias("numbers"))
 

@@ -94,10 +94,11 @@ SELECT l_orderkey, i, j, round(n / (s - n), 9) AS iou FROM p WHERE n > 0""",
 )
 def box_iou(spark, sf):
     """Boxes of one image that overlap when laid to the same top."""
-    d = flat(spark, sf)
-    top = lambda c: F.get(boxes.shift(F.array(c), F.lit(0.0), -F.col(c)["y1"]), F.lit(0))
-    a, b = d.select("l_orderkey", F.col("l_linenumber").alias("i"), F.col("b").alias("a")), d.select("l_orderkey", F.col("l_linenumber").alias("j"), "b")
-    return a.join(b, "l_orderkey").where("i < j").select("l_orderkey", "i", "j", F.round(boxes.iou(top("a"), top("b")), 9).alias("iou")).where("iou > 0")
+    d = flat(spark, sf).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "b")).alias("g"))
+    top = lambda c: F.get(boxes.shift(F.array(c), F.lit(0.0), -c["y1"]), F.lit(0))
+    each = d.select("l_orderkey", "g", F.explode("g").alias("p")).select("l_orderkey", "p", F.explode(F.filter("g", lambda q: q["l_linenumber"] > F.col("p.l_linenumber"))).alias("q"))
+    iou = F.round(boxes.iou(top(F.col("p.b")), top(F.col("q.b"))), 9)
+    return each.select("l_orderkey", F.col("p.l_linenumber").alias("i"), F.col("q.l_linenumber").alias("j"), iou.alias("iou")).where("iou > 0")
 
 
 @query("box_mosaic", f"WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, x1 - 320 AS x1, y1 - 100 AS y1, x2 - 320 AS x2, y2 - 100 AS y2 FROM b WHERE x1 > 320 AND y1 > 100 AND x2 > 320 AND y2 > 100")
@@ -174,10 +175,15 @@ def image_min_max(spark, sf):
     return _picture(spark, sf).select("vec_id", F.transform(p, lambda x: F.round(x, 6)).alias("v"))
 
 
-@query("image_normalize", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, list_avg(v) AS m, list_stddev_pop(v) AS s FROM e) SELECT vec_id, list_transform(v, lambda x: round((x - m) / s, 4)) AS v FROM m")
+@query(
+    "image_normalize",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, list_reduce(v, lambda a, x: a + x) / 64 AS m FROM e),
+s AS (SELECT vec_id, v, m, sqrt(list_reduce(list_transform(v, lambda x: (x - m) * (x - m)), lambda a, x: a + x) / 64) AS s FROM m)
+SELECT vec_id, list_transform(v, lambda x: (x - m) / s) AS v FROM s""",
+)
 def image_normalize(spark, sf):
     p = image.pixels(image.on_image(F.col("image"), image.normalize))
-    return _picture(spark, sf).select("vec_id", F.transform(p, lambda x: F.round(x, 4)).alias("v"))
+    return _picture(spark, sf).select("vec_id", p.alias("v"))
 
 
 @query("image_noise")

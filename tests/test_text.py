@@ -113,6 +113,42 @@ def test_prompt_weights():
     assert tokenizers.prompt_weights(r"\(literal\]") == [("(literal]", 1.0)]
     assert tokenizers.prompt_weights("(a:0.5)") == [("a", 0.5)]
     assert tokenizers.prompt_weights("") == [("", 1.0)]
+    assert tokenizers.prompt_weights("(unnecessary)(parens)") == [("unnecessaryparens", 1.1)]
+    nested = tokenizers.prompt_weights("a (((house:1.3)) [on] a (hill:0.5), sun, (((sky))).")
+    assert [(t, round(w, 6)) for t, w in nested] == [("a ", 1.0), ("house", 1.573), (" ", 1.1), ("on", 1.0), (" a ", 1.1), ("hill", 0.55), (", sun, ", 1.1), ("sky", 1.4641), (".", 1.1)]
+    assert tokenizers.prompt_weights("a BREAK b") == [("a", 1.0), ("BREAK", -1.0), ("b", 1.0)]
+    assert [t for t, _ in tokenizers.prompt_weights("(a [b) c]")] == ["a ", "b", " c"]
+    assert tokenizers.prompt_weights("a) b] :1.5) c") == [("a) b] :1.5) c", 1.0)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .!,;\n", max_size=60), st.integers(1, 6))
+def test_even_pieces_drift(text, k):
+    """Pieces hold the units between stops in order, and none but the last could take the next unit without passing the mean."""
+    pieces = chunk.even_pieces(text, k, True)
+    assert "".join(pieces) == text
+    assert all(p == "" or p[-1] in ".!,;" for p in pieces[:-1])
+    assert sum(len(p) for p in chunk.even_pieces(text, k)) <= len(text)
+
+
+def test_long_numbers():
+    assert clean.number_in_english("1" * 5000).startswith("one one")
+    assert clean.number_in_chinese("0" * 5000) == "零" and clean.number_in_english("0" * 5000) == "zero"
+    assert clean.number_in_english("0" * 30 + "12") == "twelve" and clean.number_in_chinese("9" * 6000)[:2] == "九九"
+
+
+def test_generate_drops_empty_records(spark):
+    df = spark.createDataFrame([("a", ["x"]), ("", []), (None, None), ("", ["y"])], "t string, l array<string>")
+    assert pipeline.generate(df).count() == 2
+    assert pipeline.generate(df, parse=lambda d: d.select("t")).count() == 1
+    assert pipeline.generate(df, max_size=1).count() == 1
+
+
+def test_split_sets_keeps_null_keys(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,), (None,), ("c",)], "k string")
+    out = pipeline.split_sets(df, "k", (0.5, 1.0))
+    assert out.count() == 5 and out.where("k is null").select("split").distinct().count() == 1
+    assert out.select("k", "split").distinct().where("split = 'train'").count() == 2
 
 
 def test_split_sets_and_streams(spark):
@@ -147,7 +183,7 @@ def test_segment_numbers_of_whole_texts(spark, sf):
         return out
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["numbers"] for r in QUERIES["segment_numbers_whole"](spark, sf).collect()}
+    got = {r["doc_id"]: r["numbers"] for r in QUERIES["segment_numbers"](spark, sf).collect()}
     assert max(map(len, texts.values())) > 10_000  # far beyond 100 characters
     assert got == {i: brute(t, ".") for i, t in texts.items()}
     for words in (["a"], ["."], [".", "."], ["a", ".", "b", None, ".", "c"]):
