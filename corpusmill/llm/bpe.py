@@ -17,11 +17,13 @@ those tokens.
 
 Defined cases: a null text is an empty one, which has no tokens and decodes to
 nothing; repeated rows each get their row; texts and words of any length are
-encoded whole; other columns pass through.
+encoded whole; other columns pass through (one named ``_bpe`` too: the result
+is then in ``_bpe_``); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -32,13 +34,30 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches
+from .common import by_bytes, free, small_batches
 
 #: The words of lower-cased text; white space is what stands between them.
 _WS = r"\t-\r \x85\xa0  -     　"
 #: The same for text within Latin-1, which the standard library's engine splits faster.
 LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa00-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
+# The library knows letters and numbers up to Unicode 16, while other engines may know those that
+# later versions added; here are the additions, which are neither letters nor numbers to it.
+_LATER = (
+    r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    r"\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    r"\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    r"\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    r"\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+LATER = regex.compile(f"[{_LATER}]")
+#: WORDS for texts with such characters.
+PINNED_WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[[^{_WS}\p{{L}}\p{{N}}]||[{_LATER}]]+")
+#: Lower case letters of Unicode 16 and 17, which the library knows (fixed values), and the sigma, which it never takes for a final one.
+LOWER = {ord("Σ"): "σ", 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 def byte_characters() -> list[str]:
@@ -148,7 +167,10 @@ class Encoder:
             if not final:
                 token[at] = r
         n = len(child)
-        self.go = np.zeros((n, 256), np.int32)
+        # a node without children moves as its suffix does, and has no row of its own
+        inner = np.array([bool(c) for c in child])
+        self.row = np.where(inner, np.cumsum(inner) - 1, -1).astype(np.int32)
+        self.go = np.zeros((int(inner.sum()), 256), np.int32)
         fail, self.longest = np.zeros(n, np.int32), np.array(token, np.int32)
         shorter = np.full(len(spell), -1, np.int32)
         path: list[tuple[int, ...]] = [()] * n
@@ -157,12 +179,15 @@ class Encoder:
             if at[0] == 0:
                 self.go[0, sym] = to
             else:
-                fail[to] = self.go[fail[at], sym]
-                self.go[at, sym] = to
+                fail[to] = self.go[self.row[fail[at]], sym]
+                self.go[self.row[at], sym] = to
             # a node's other moves are those of its suffix
             for p, s, t in level:
                 path[t] = path[p] + (s,)
-                self.go[t] = self.go[fail[t]]
+                if inner[t]:
+                    self.go[self.row[t]] = self.go[self.row[fail[t]]]
+                else:
+                    self.row[t] = self.row[fail[t]]
                 up = self.longest[fail[t]]
                 if self.longest[t] >= 0:
                     shorter[self.longest[t]] = up
@@ -222,7 +247,7 @@ class Encoder:
             n = int(np.searchsorted(-size, -t, "left"))  # words longer than t
             sym = data[start[:n] + t].astype(np.int64)
             ending = size[:n] == t + 1
-            moved = self.go[state[:n], sym]
+            moved = self.go[self.row[state[:n]], sym]
             cand = np.where(ending, -1, self.longest[moved]).astype(np.int64)
             at = np.flatnonzero(ending)
             s = state[at]
@@ -269,7 +294,7 @@ class Encoder:
 class Codec:
     """Encoder with a bounded cache of words; texts to id strings and back."""
 
-    def __init__(self, spec: str, cache: int = 200_000):
+    def __init__(self, spec: str, cache: int = 60_000):
         self.encoder = Encoder(spec)
         self.cache, self.ids, self.shown = cache, {}, {}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.encoder.special, key=len, reverse=True)) + ")") if self.encoder.special else None
@@ -290,7 +315,8 @@ class Codec:
                 try:
                     p.encode("latin-1")
                 except UnicodeEncodeError:
-                    out += WORDS.findall(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower())
+                    p = unicodedata.normalize("NFC", p).translate(LOWER).lower()
+                    out += (PINNED_WORDS if LATER.search(p) else WORDS).findall(p)
                 else:  # such text is in form NFC
                     out += LATIN_WORDS.findall(p.lower())
         return out
@@ -311,7 +337,7 @@ class Codec:
         ids: list[str] = [""] * len(texts)
         shown: list[str] = [""] * len(texts)
         texts = [t or "" for t in texts]
-        for lo, hi in by_bytes(texts, 1 << 21):
+        for lo, hi in by_bytes(texts):
             split = [self.pieces(t) for t in texts[lo:hi]]
             self.learn(set().union(*split))
             for k, p in enumerate(split):
@@ -320,16 +346,29 @@ class Codec:
         return ids, shown
 
 
-_codecs: dict[int, Codec] = {}
+class Vocabulary:
+    """The text of a vocabulary file, and its codec once one is asked for; only the text travels.
+
+    In a worker it is the value of a broadcast, so the codec goes when no task needs it any more.
+    """
+
+    def __init__(self, spec: str):
+        self.spec = spec
+        self._codec: Codec | None = None
+
+    def __getstate__(self):
+        return {"spec": self.spec, "_codec": None}
 
+    @property
+    def codec(self) -> Codec:
+        if self._codec is None:
+            self._codec = Codec(self.spec)
+        return self._codec
 
-def codec_of(spec: str) -> Codec:
-    """The codec of this worker for a vocabulary file's text."""
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    @classmethod
+    def read(cls, path: str | None = None) -> Vocabulary:
+        with open(path or tokenizer_path()) as f:
+            return cls(f.read())
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -339,38 +378,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """df with a struct column ``_bpe``: n_tokens, ids (decimal, joined by one space), decoded."""
-    with open(path or tokenizer_path()) as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, of a fixed size
+def _coded(df: DataFrame, path: str | None, text_col: str, kind: str, row) -> DataFrame:
+    """df with a struct column ``_bpe`` of what ``row`` makes of a text's ids and decoded text."""
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))  # one vocabulary file, of a fixed size
+    names = [x.split(" ")[0] for x in kind.split(", ")]
 
-    @F.pandas_udf("n_tokens long, ids string, decoded string")
+    @F.pandas_udf(kind)
     def apply(text: pd.Series) -> pd.DataFrame:
-        ids, shown = codec_of(spec.value).encode(list(text))
-        return pd.DataFrame({"n_tokens": [s.count(" ") + 1 if s else 0 for s in ids], "ids": ids, "decoded": shown})
+        rows = [row(i, s) for i, s in zip(*shared.value.codec.encode(list(text)), strict=True)]
+        return pd.DataFrame(rows, columns=names)
 
-    return small_batches(df).withColumn("_bpe", apply(F.col(text_col)))
+    return small_batches(df).withColumn(free(df, "_bpe"), apply(F.col(text_col)))
 
 
-def digest(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """df with a struct column ``_bpe``: n_tokens and the SHA-256 of the ids and of the decoded text, in hexadecimal."""
-    import hashlib
+def _count(ids: str) -> int:
+    return ids.count(" ") + 1 if ids else 0
 
-    with open(path or tokenizer_path()) as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def apply(text: pd.Series) -> pd.DataFrame:
-        ids, shown = codec_of(spec.value).encode(list(text))
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return pd.DataFrame({"n_tokens": [s.count(" ") + 1 if s else 0 for s in ids], "ids_sha256": list(map(sha, ids)), "decoded_sha256": list(map(sha, shown))})
+def encode(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """df with a struct column ``_bpe``: n_tokens, ids (decimal, joined by one space), decoded."""
+    return _coded(df, path, text_col, "n_tokens long, ids string, decoded string", lambda ids, shown: (_count(ids), ids, shown))
 
-    return small_batches(df).withColumn("_bpe", apply(F.col(text_col)))
+
+def digest(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """df with a struct column ``_bpe``: n_tokens and the SHA-256 of the ids and of the decoded text, in hexadecimal."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return _coded(df, path, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, shown: (_count(ids), sha(ids), sha(shown)))
 
 
-def decode(ids: list[int], spec: str) -> str:
+def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     """The text of ids: their tokens joined by one space, as the library does without a decoder."""
-    token = codec_of(spec).encoder.token
+    token = vocabulary.codec.encoder.token
     return " ".join([token[i] for i in ids])
 
 

@@ -14,21 +14,22 @@ white space as one, other ASCII as one; bytes from 128 on stand for themselves.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 without any labelled row every text is ``und``; ties go to the first language
-by name; repeated rows each get their row; other columns pass through.
+by name; texts of any length are coded whole; repeated rows each get their row;
+other columns pass through (one named ``_lang`` too: the result is then in
+``_lang_``); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches
+from .common import by_bytes, free, small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # not the numerals that other engines count as letters
 SPACE, DIGIT, OTHER = 26, 27, 28
 FOLD = np.full(256, OTHER, np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(26)
@@ -190,10 +191,10 @@ def identify(df: DataFrame, model: dict[str, ContextTree], text_col: str = "text
 
     @F.pandas_udf("pred string, score double")
     def apply(text: pd.Series) -> pd.DataFrame:
-        p, s = classify([None if t is None else t for t in text], shared.value, order)
+        p, s = classify(list(text), shared.value, order)
         return pd.DataFrame({"pred": p, "score": s})
 
-    return small_batches(df).withColumn("_lang", apply(F.col(text_col)))
+    return small_batches(df).withColumn(free(df, "_lang"), apply(F.col(text_col)))
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:

@@ -13,9 +13,10 @@ joined back.
 
 Defined cases: a null text is an empty one, which is one empty line; empty
 keys never count; rows with equal id and text are one document (each still
-gets its row in the result); null ids are ordinary values; other columns pass
-through ``drop_lines`` untouched and never clash, as work columns start with
-``_ld_``; an empty table gives an empty table.
+gets its row in the result); null ids are ordinary values; long texts are taken
+whole; other columns pass through ``drop_lines`` untouched, whatever their
+names (the two result columns get ``_`` behind theirs where df has them); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, ascii_lower, cut, small_batches, text_key
+from .common import BLANKS, ascii_lower, cut, free, remove, small_batches, text_key, whole_row
 
 _DECISIONS = "_ld_id {id}, _ld_h long, _ld_pos int, _ld_n int, h1 long, h2 long, open boolean, docs long"
 
@@ -104,12 +105,13 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``keep`` (zlib-compressed bits, one a line, first line first; 1 is kept).
     """
     id_type = df.schema[id_col].dataType
-    lines = line_rows(df, id_col, text_col, min_chars)
+    lines = cut(line_rows(df, id_col, text_col, min_chars))  # the range partitioning reads them twice, to sample and to send
     spread = lines.repartitionByRange("h1", "h2", "_ld_id", "_ld_h").sortWithinPartitions("h1", "h2", "_ld_id", "_ld_h", "_ld_pos")
     ddl = _DECISIONS.format(id=id_type.simpleString())
     from pyspark.sql.pandas.types import to_arrow_schema
 
     found = cut(spread.mapInArrow(_stream(to_arrow_schema(T._parse_datatype_string(ddl)), min_docs), ddl))
+    remove(df.sparkSession, lines)
     cols = ["_ld_id", "_ld_h", "_ld_n", "_ld_pos"]
     # at most two keys for each partition of the range shuffle: a bound set by the job's settings, not by the data
     ends = found.where("open").groupBy("h1", "h2").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("h1", "h2")
@@ -124,7 +126,8 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([one(*x) for x in zip(n, pos, strict=True)], dtype=object)
 
-    return dropped.groupBy("_ld_id", "_ld_h").agg(F.max("_ld_n").alias("n_lines"), F.collect_set("_ld_pos").alias("pos")).select("_ld_id", "_ld_h", "n_lines", bitmap("n_lines", "pos").alias("keep"))
+    out = dropped.groupBy("_ld_id", "_ld_h").agg(F.max("_ld_n").alias("n_lines"), F.collect_set("_ld_pos").alias("pos")).select("_ld_id", "_ld_h", "n_lines", bitmap("n_lines", "pos").alias("keep"))
+    return cut(out)  # bitmaps are small; whoever applies them needs no second Python worker beside
 
 
 def kept_flags(keep: bytes, n: int) -> np.ndarray:
@@ -134,9 +137,9 @@ def kept_flags(keep: bytes, n: int) -> np.ndarray:
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10) -> DataFrame:
     """df with the text stripped of repeated lines, and ``_ld_lines``, ``_ld_dropped``: lines before, lines dropped."""
-    bits = line_bitmaps(df, id_col, text_col, min_chars, min_docs).select(F.col("_ld_id").alias("_ld_b"), F.col("_ld_h").alias("_ld_g"), F.col("keep").alias("_ld_keep"))
-    keyed = small_batches(df).withColumn("_ld_h", text_key(F.col(text_col)))
-    joined = keyed.join(bits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_ld_b")) & (F.col("_ld_h") == F.col("_ld_g")), "left")
+    bits = line_bitmaps(df, id_col, text_col, min_chars, min_docs).select("_ld_id", "_ld_h", "keep")
+    keyed = small_batches(df).select(whole_row(df), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("h"))
+    joined = keyed.join(bits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_ld_id")) & (F.col("h") == F.col("_ld_h")), "left")
 
     @F.pandas_udf("text string, n int, dropped int")
     def applied(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
@@ -150,8 +153,9 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             rows.append(("\n".join(x for x, f in zip(lines, flags, strict=True) if f), len(lines), int(len(lines) - flags.sum())))
         return pd.DataFrame(rows, columns=["text", "n", "dropped"])
 
-    done = joined.withColumn("_ld_out", applied(F.col(text_col), F.col("_ld_keep")))
-    return done.select(*[F.col("_ld_out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], F.col("_ld_out.n").alias("_ld_lines"), F.col("_ld_out.dropped").alias("_ld_dropped"))
+    done = joined.select("row", applied(F.col(f"row.`{text_col}`"), F.col("keep")).alias("out"))
+    own = [F.col("out.text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    return done.select(*own, F.col("out.n").alias(free(df, "_ld_lines")), F.col("out.dropped").alias(free(df, "_ld_dropped")))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -248,33 +248,31 @@ class Sampler:
         return out
 
 
-def _print(edges: DataFrame) -> tuple:
-    """Whether two sets of links are equal shows in these three numbers."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40)))).first())
+def _all_stars(e: DataFrame) -> bool:
+    """Whether links (u, v), u > v, are stars: each u has one v, and no v is a u."""
+    many = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return not many.limit(1).count() and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): ``node`` and ``label``, the smallest node of its component.
 
-    Large and small stars alternate until nothing changes; every round is a
+    Large and small stars alternate until only stars are left; every step is a
     table in the shared folder, which goes when the next one stands.
     """
     spark = edges.sparkSession
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())  # u > v
-    now = _print(e)
-    while True:
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)  # u > v
+    while not _all_stars(e):
         # large star: a node's larger neighbours go to the smallest of its neighbourhood; hubs have many
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")).select("u", F.least("u", "m").alias("m"), "n").where("n > 0"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")).select("u", F.least("u", "m").alias("m"), "n").where("n > 0"), narrow=True)
         large = spread_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        large = cut(large)
+        large = cut(large, narrow=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        small = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), narrow=True)
         remove(spark, e, least, large)
-        e, before, now = small, now, _print(small)
-        if before == now:
-            break
+        e = small
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
@@ -296,13 +294,13 @@ def _blocks(member: DataFrame) -> DataFrame:
     keys = ["band", "key"]
     size = member.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     several = size.groupBy(*keys).agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    size = cut(size.join(several, keys))
+    size = cut(size.join(several, keys), narrow=True)
     parts = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / WEIGHT))
     # a large class has chunks of its own, which need not meet each other; small ones share chunks, dealt by class
     own = (F.col("n") > BLOCK // 2) | (F.col("w") > WEIGHT / 2)
     large = size.where(own).select(*keys, F.col("label").alias("of"), parts(F.col("n"), F.col("w")).alias("parts"))
     small = size.where(~own).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select(*keys, F.lit(b"").alias("of"), parts(F.col("n"), F.col("w")).alias("parts"))
-    parted = cut(large.unionByName(small))
+    parted = large.unionByName(small)
     chunk = parted.select(*keys, "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(*keys, F.struct("of", "part").alias("c"))
     only = chunk.groupBy(*keys).agg(F.count("*").alias("chunks"), F.min("c").alias("i")).where("chunks = 1").select(*keys, "i", F.col("i").alias("j"))
     met = chunk.withColumnRenamed("c", "i").join(chunk.withColumnRenamed("c", "j"), keys).where((F.col("i") < F.col("j")) & ((F.col("i.of") != F.col("j.of")) | (F.col("i.of") == F.lit(b"")))).unionByName(only)
@@ -340,8 +338,8 @@ def near_classes(
     signed = cut(d.select("id", "text", node.alias("node")).mapInArrow(sign, f"id {id_type}, node binary, weight double, bands array<long>"))
     texts = cut(signed.where("bands is not null").groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")))
     keyed = texts.select("node", "weight", F.posexplode("bands").alias("band", "key"))
-    full = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
-    member = cut(spread_join(keyed, full, ["band", "key"], "n"))
+    full = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), narrow=True)
+    member = cut(spread_join(keyed, full, ["band", "key"], "n"), narrow=True)
     first = member.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
     def bodies(wanted: DataFrame) -> DataFrame:
@@ -353,7 +351,7 @@ def near_classes(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b), as a table."""
-        pairs = cut(pairs)
+        pairs = cut(pairs, narrow=True)
         body = bodies(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
 
         def check(batches):
@@ -381,19 +379,20 @@ def near_classes(
         return salted_join(m, body, "node").groupBy("band", "key", "i", "j").applyInPandas(join, "a binary, b binary")
 
     links = verified(first)
-    found = cut(components(links))
+    found = cut(components(links), narrow=True)
     classed = member.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "key", "node", "weight", "label", "n")
     more = _bucket_pairs(classed.where(F.col("n") <= BUCKET).drop("n"), threshold).join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(more))
-    big = cut(classed.where(F.col("n") > BUCKET).drop("n"))
+    big = cut(classed.where(F.col("n") > BUCKET).drop("n"), narrow=True)
     if big.limit(1).count():
-        left = cut(_blocks(big))
+        left = cut(_blocks(big), narrow=True)
         links = links.unionByName(cut(joined(left).distinct()))
-    found = cut(components(links))
-    ids = signed.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
-    named = ids.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = named.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    by_node = cut(salted_join(cut(named), classes, "label").select("node", "label", "class_id", "copies"))
+    ids = cut(signed.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), narrow=True)
+    found = cut(components(links).join(ids.select("node", "least_id"), "node"), narrow=True)
+    classes = found.groupBy("label").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
+    found = spread_join(found.select("node", "label"), classes, ["label"], "n").drop("n")
+    # a text with no link is a class of its own
+    by_node = cut(ids.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), "copies"), narrow=True)
     return spread_join(signed.select("id", "node"), by_node, ["node"], "copies").drop("copies")
 
 
