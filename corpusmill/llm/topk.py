@@ -1,31 +1,39 @@
 """Exact top-k search by term-at-a-time accumulation.
 
-Vectors are sparse rows over their dimensions ("terms").  A block of
-candidates is turned into postings, one list of (row, weight) a dimension.
-Each query row scatters weight * posting into a dense score array of the block,
-one term at a time; ties included, the best k of each block survive a
-partition selection, and a window merges the blocks.
-
-Queries travel in blocks of ``query_block`` rows, so what a task holds and what
-the driver sends at once is bounded by that number, not by the table.
+Vectors are sparse rows over their dimensions ("terms").  Candidates are packed
+into blocks where they lie; a block's postings are, for each dimension, its rows
+and their weights.  Each query row scatters weight * posting into a dense score
+array, one term at a time, for a few queries at once so that the arrays stay in
+the processor's cache; a partition selection keeps the best k of each block,
+and a window merges the blocks.
+
+Queries are packed into blocks of about ``query_block`` rows by the hash of
+their ids.  A grid of cells, query block by slice of the candidates, is joined
+by its two numbers: a cell holds one query block and streams its slice, and the
+driver sees only counts.  The result does not depend on any block size.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
-take no part; vectors of unequal length are padded with zeros; rows with the
-query's own id are no candidates; a repeated candidate row counts as often as
-it stands, in id order; queries that repeat with the same id and vector are
-one; k larger than the table returns all.  Scores are 64-bit integers.
+take no part (``usable``); vectors of unequal length are padded with zeros;
+rows without id take no part; rows with the query's own id are no candidates; a
+repeated candidate row counts as often as it stands; query rows that share an
+id compete for its k ranks; equal scores go by the smaller id; k larger than
+the table returns all; other columns are not read; an empty table gives an
+empty table.  Scores are 64-bit integers; larger sums wrap around.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_FOUND = "query_id long, vec_id long, score long, copy int"
+from .common import cut
+
+_PACKED = "ids binary, width int, weights binary"
+_FOUND = "query_id long, vec_id long, score long"
+_LEAST = np.iinfo(np.int64).min
 
 
 def quantised(vec: Column, scale: int = 256) -> Column:
@@ -38,87 +46,100 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
 
 
-def _dense(arrays, width: int) -> np.ndarray:
-    out = np.zeros((len(arrays), width), np.int64)
-    for i, a in enumerate(arrays):
-        out[i, : len(a)] = a
+def dense(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix, short rows filled with zeros."""
+    column = pa.array(column) if not isinstance(column, pa.Array) else column
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(size), int(size.max()) if len(size) else 0), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
 
 
-def accumulate(q: np.ndarray, block: np.ndarray) -> np.ndarray:
+def accumulate(q: np.ndarray, block: np.ndarray, tile: int = 32) -> np.ndarray:
     """Scores of all queries against a block: for each term, postings are scattered into the queries' score arrays."""
+    terms = min(q.shape[1], block.shape[1])
+    postings = []
+    for term in range(terms):
+        rows = np.flatnonzero(block[:, term])
+        if len(rows):
+            postings.append((term, rows if len(rows) < len(block) else None, np.ascontiguousarray(block[rows, term])))
     scores = np.zeros((len(q), len(block)), np.int64)
-    for term in range(min(q.shape[1], block.shape[1])):
-        users, rows = np.flatnonzero(q[:, term]), np.flatnonzero(block[:, term])
-        if not len(users) or not len(rows):
-            continue
-        weights = block[rows, term]
-        if len(users) == len(q) and len(rows) == len(block):
-            scores += q[:, term, None] * weights
-        else:
-            scores[np.ix_(users, rows)] += q[users, term, None] * weights
+    part = np.empty((min(tile, len(q)), len(block)), np.int64)
+    for i in range(0, len(q), tile):
+        own = scores[i : i + tile]
+        for term, rows, weights in postings:
+            w = q[i : i + tile, term]
+            users = np.flatnonzero(w)
+            if len(users) == len(w) and rows is None:
+                np.multiply(w[:, None], weights, out=part[: len(w)])
+                own += part[: len(w)]
+            elif len(users):
+                at = slice(None) if rows is None else rows
+                own[users[:, None], np.arange(len(block))[at]] += w[users, None] * weights
     return scores
 
 
-def select_block(scores: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of each query in a block: partition selection, ties at the threshold resolved by the smaller id."""
-    rows = []
+def select_block(scores: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query row in a block as (query id, id, score): partition selection, ties at the threshold to the smaller id.  ids ascend; scores are overwritten."""
+    low, high = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
+    own = np.zeros(scores.shape, bool)
+    for i in np.flatnonzero(high > low):
+        own[i, low[i] : high[i]] = True
+    scores[own] = _LEAST
+    n = scores.shape[1]
+    near = scores >= np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else np.ones(scores.shape, bool)
+    row, at = np.nonzero(near & ~own)
+    value = scores[row, at]
+    order = np.lexsort((at, ~value, row))  # ~value falls as value grows, without overflow
+    row, at, value = row[order], at[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return q_ids[row[keep]], ids[at[keep]], value[keep]
+
+
+def _packed(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
-    for i, qid in enumerate(q_ids):
-        s = scores[i]
-        mine = np.searchsorted(ids, qid, "left"), np.searchsorted(ids, qid, "right")
-        at = np.r_[0 : mine[0], mine[1] : len(ids)] if mine[1] > mine[0] else None
-        s2 = s if at is None else s[at]
-        if not len(s2):
-            continue
-        if len(s2) > k:
-            least = np.partition(s2, len(s2) - k)[len(s2) - k]
-            near = np.flatnonzero(s2 >= least)
-        else:
-            near = np.arange(len(s2))
-        best = near[np.argsort(-s2[near], kind="stable")][:k]
-        where = best if at is None else at[best]
-        rows.append(pd.DataFrame({"query_id": qid, "vec_id": ids[where], "score": s[where], "copy": np.arange(len(where), dtype=np.int32)}))
-    return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copy": []})
-
-
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "q", query_block: int = 4096, block_rows: int = 1024) -> DataFrame:
-    """The k candidates of the largest inner product for each query row; vec_col holds array<long>."""
-    ranked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null").distinct()
-    pieces, at = [], None
-    while True:  # one block of queries after another, in id order; each holds query_block rows at most
-        part = (ranked if at is None else ranked.where(F.col("id") > at)).orderBy("id", "v").limit(query_block).collect()
-        if not part:
-            break
-        if len(part) == query_block and part[0]["id"] != part[-1]["id"]:  # the last id may go on
-            part = [r for r in part if r["id"] != part[-1]["id"]]
-        at = part[-1]["id"]
-        pieces.append((np.array([r["id"] for r in part], np.int64), [np.array(r["v"], np.int64) for r in part]))
-        if len(part) < query_block - 1 and len(part) + 1 < query_block and not ranked.where(F.col("id") > at).limit(1).count():
-            break
-    out = None
-    for q_ids, vectors in pieces or [(np.zeros(0, np.int64), [])]:
-
-        def search(batches, q_ids=q_ids, vectors=vectors):
-            q = _dense(vectors, max([0, *map(len, vectors)]))
-            held = None
-            for b in batches:
-                arrays, ids = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False)
-                for i in range(0, len(ids), block_rows):
-                    part = arrays[i : i + block_rows]
-                    block = _dense(part, max([0, *map(len, part)]))
-                    found = select_block(accumulate(q, block), q_ids, ids[i : i + block_rows], k)
-                    held = found if held is None else pd.concat([held, found], ignore_index=True)
-                    held = held.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k)
-            if held is not None and len(held):
-                held["copy"] = held.groupby(["query_id", "vec_id", "score"]).cumcount()
-                yield pa.RecordBatch.from_pandas(held.astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "copy": "int32"}), preserve_index=False)
-
-        found = candidates.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(search, _FOUND)
-        out = found if out is None else out.unionByName(found)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pa.RecordBatch.from_pydict({"ids": pa.array([ids[order].tobytes()], pa.binary()), "width": pa.array([rows.shape[1]], pa.int32()), "weights": pa.array([rows[order].tobytes()], pa.binary())})
+
+
+def _pack(size: int):
+    """A function over Arrow batches of (id, vector) that packs rows into blocks of at most ``size``."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                yield _packed(part.column(0).to_numpy(zero_copy_only=False), dense(part.column(1)))
+
+    return run
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "q", query_block: int = 2048, block_rows: int = 1024) -> DataFrame:
+    """The k candidates of the largest inner product for each query id: ``query_id``, ``rank``, ``vec_id``, ``score``; vec_col holds array<long>."""
+    spark = candidates.sparkSession
+    rows = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    n = rows(queries).count()
+    blocks = max(1, -(-n // query_block))
+    slices = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    by_block = rows(queries).repartition(blocks, F.xxhash64("id")) if blocks > 1 else rows(queries).coalesce(1)
+    q = cut(by_block.mapInArrow(_pack(query_block), _PACKED).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("weights").alias("q_weights"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block")))
+    c = rows(candidates).mapInArrow(_pack(block_rows), _PACKED).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    cells = c.withColumn("block", each(blocks)).join(q.withColumn("slice", each(slices)), ["block", "slice"])
+
+    def search(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                block, q = np.frombuffer(r["weights"], np.int64).reshape(len(ids), r["width"]), np.frombuffer(r["q_weights"], np.int64).reshape(len(q_ids), r["q_width"])
+                found = select_block(accumulate(q, block), q_ids, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    found = cells.select("ids", "width", "weights", "q_ids", "q_width", "q_weights").mapInArrow(search, _FOUND)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_exact_topk(spark, sf_dir: str) -> DataFrame:
