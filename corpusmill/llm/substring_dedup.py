@@ -12,14 +12,15 @@ Three things keep this small.  A minimiser that occurs once in the corpus has
 only windows that occur once: super-k-mers are packed only where a bit map of a
 fixed size says the minimiser may repeat (false hits cost time, not
 correctness).  Equal packed strings are counted together before they reach a
-bucket.  Minimisers of more than ``hot`` super-k-mers (``hot`` grows with the
-total, so there are at most a few thousand) send windows one by one, each to
-the bucket of its own hash, where equal ones have been counted together.
+bucket.  Minimisers of more than ``hot`` super-k-mers (a fixed number, so what a
+bucket can hold is bounded) send windows one by one, each to the bucket of its
+own hash, where equal ones have been counted together; which minimisers these
+are says a second bit map (a false hit only sends windows singly).
 
 Defined cases: null texts have no words; texts shorter than a window lose
-nothing; repeated rows repeat their windows and lose them; null ids are
-ordinary values; extra columns are not read; an empty table gives an empty
-table.
+nothing; long texts are taken whole; repeated rows repeat their windows and lose
+them; null ids are ordinary values; of equal minimisers in a window the leftmost
+counts; extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -65,15 +66,15 @@ def super_kmers(texts: list[bytes], window: int, m: int):
         q = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), pow(mult, -1, 2**64), np.uint64)])
         sums = np.r_[np.uint64(0), np.cumsum(h * p[:-1], dtype=np.uint64)]
         whole = mix64((sums[window:] - sums[:n]) * q[:n])
-    # smallest hash, then leftmost place: 38 bits of hash over 26 bits of place
-    key = grams >> np.uint64(26) << np.uint64(26) | np.arange(len(grams), dtype=np.uint64)
+    # smallest hash, then leftmost place: 32 bits of each
+    key = grams >> np.uint64(32) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
     w, span, low = window - m + 1, 1, key
     while span * 2 <= w:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < w:
         low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-    place = (low[:n] & np.uint64((1 << 26) - 1)).astype(np.int64)
+    place = (low[:n] & np.uint64((1 << 32) - 1)).astype(np.int64)
     ok = doc[:n] == doc[window - 1 :]
     start = ok.copy()
     start[1:] &= (place[1:] != place[:-1]) | ~ok[:-1] | (doc[1:n] != doc[: n - 1])
@@ -95,10 +96,10 @@ def minimiser_counts(docs: DataFrame, window: int, m: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
 
 
-def repeated_bits(counts: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the minimisers that occur more than once; its size is fixed, and it is filled in Spark."""
+def bits_above(counts: DataFrame, n: int, bits: int) -> np.ndarray:
+    """A bit map of the minimisers that occur more than n times; its size is fixed, and it is filled in Spark."""
     at = F.pmod(F.col("mini"), F.lit(1 << bits))
-    rows = counts.where("n > 1").select(F.shiftright(at, 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    rows = counts.where(F.col("n") > n).select(F.shiftright(at, 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << bits - 6, np.int64)
     got = rows.toArrow()
     out[got["slot"].to_numpy()] = got["bits"].to_numpy()
@@ -126,26 +127,27 @@ def count_windows(packed: list[str], times: np.ndarray, window: int) -> list[byt
     return [bytes(f) if f.any() else None for f in np.split(twice, stop[:-1])]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, m: int = 6, filter_bits: int = 26, hot: int | None = None) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, m: int = 6, filter_bits: int = 26, hot: int = 4096, hot_bits: int = 24) -> DataFrame:
     """For each document that loses words ``_sd_id``, ``_sd_h`` and ``spans``: (first word, number of windows, flags) of its super-k-mers with repeats."""
     spark = docs.sparkSession
     d = small_batches(docs).select(F.col(id_col).alias("_sd_id"), text_key(F.col(text_col)).alias("_sd_h"), F.col(text_col).alias("text"))
     counts = cut(minimiser_counts(d, window, m))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = hot or max(256, total // 4096)
-    bits = spark.sparkContext.broadcast(repeated_bits(counts, filter_bits))
-    # at most total / limit <= 4096 of them
-    hot_ones = spark.sparkContext.broadcast(np.array(sorted(r["mini"] for r in counts.where(F.col("n") > limit).select("mini").collect()), np.int64))
+    bits = spark.sparkContext.broadcast(bits_above(counts, 1, filter_bits))
+    hot_ones = spark.sparkContext.broadcast(bits_above(counts, hot, hot_bits))
+
+    def there(table: np.ndarray, mini: np.ndarray) -> np.ndarray:
+        at = mini & np.uint64(len(table) * 64 - 1)
+        return (table[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
     def pack(batches):
         for b in batches:
             texts = normal(b.column(2).to_pylist())
             for i, j in by_bytes(texts):
                 doc, at, n, mini, (s, e, first, whole, data) = super_kmers(texts[i:j], window, m)
-                bit = (mini & np.uint64((1 << filter_bits) - 1)).astype(np.int64)
-                keep = (bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                doc, at, n, mini = doc[keep], at[keep], n[keep], mini[keep].view(np.int64)
-                h = np.isin(mini, hot_ones.value)
+                keep = there(bits.value, mini)
+                doc, at, n, mini = doc[keep], at[keep], n[keep], mini[keep]
+                h = there(hot_ones.value, mini)
+                mini = mini.view(np.int64)
                 if h.any():  # windows of hot minimisers one by one
                     k = n[h]
                     each = np.repeat(at[h], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
