@@ -2,8 +2,8 @@
 
 Every node of a page (elements and texts) has a hidden label, content or not.
 A child's label depends on its parent's and on the child's tag; a node's
-features (words of class, id and role, text length, link share, punctuation)
-depend on its label.  All tables are counted on labelled pages.  For a batch of
+features (words of class, id and role, whether it is hidden, text length, link
+share, punctuation) depend on its label.  All tables are counted on labelled pages.  For a batch of
 pages, sum-product messages go up the trees and down again, level by level, in
 array operations; their product is each node's exact marginal.  Texts whose
 marginal is above one half make up the result, cut into blocks at block-level
@@ -13,10 +13,17 @@ The labelled pages are drawn by ``labelled_pages``, a seeded generator of page
 layouts with a label at every text; other labelled pages can be given to
 ``Model.train``.
 
-Defined cases: a null or empty page has the text ''; scripts, styles, heads,
-templates and comments never count; unclosed and misnested elements are closed
-as browsers do in common cases; pages without markup are one text; repeated
-rows each get their row; extra columns are not read.
+Only what can never be article text is left out whatever the model says:
+scripts, styles, heads, templates, comments of the markup, controls of forms, and
+forms, unless a form holds an article, a main element or a first heading (some
+pages are one form as a whole).
+
+Defined cases: a null or empty page has the text ''; unclosed and misnested
+elements are closed as browsers do in common cases; pages without markup are
+one text; long and deeply nested pages take time in proportion; a marginal of
+exactly one half is no content; repeated rows each get their row; other columns
+pass through (one named ``_main`` too: the result is then in ``_main_``); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 #: Where an attribute's quote is never closed the tag ends at the next '>'.
@@ -41,7 +48,9 @@ WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("script style head template noscript svg math object iframe canvas select textarea title xmp noembed noframes audio video".split())
+NEVER = frozenset("script style head template iframe noembed noframes title select textarea button option".split())
+#: Elements that make a form the page's frame rather than a form.
+FRAMED = frozenset("article main h1".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption br".split()
 )
@@ -56,16 +65,21 @@ OTHER = len(TAGS)
 class Page:
     """The nodes of one page in document order: parents, tags, class words, and texts."""
 
-    __slots__ = ("parent", "tag", "words", "text", "broken", "skipped")
+    __slots__ = ("parent", "depth", "tag", "words", "text", "broken", "skipped")
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.words, self.text, self.skipped = [-1], ["html"], [()], [None], [False]
+        self.parent, self.depth, self.tag, self.words, self.text, self.skipped = [-1], [0], ["html"], [()], [None], [False]
         self.broken: list[int] = [0]  # how many block boundaries precede each node
         stack, pos, breaks, n = [0], 0, 0, len(source)
+        last = source.rfind(">")  # behind it nothing is a tag
         tags = self.tag
+        opened: dict[str, int] = {}  # how many elements of each name are open
+        form, framed = [-1], set()  # the form around each node; forms that frame a page
 
         def add(tag, words, text, skipped):
             self.parent.append(stack[-1])
+            self.depth.append(self.depth[stack[-1]] + 1)
+            form.append(form[stack[-1]])
             tags.append(tag)
             self.words.append(words)
             self.text.append(text)
@@ -76,20 +90,24 @@ class Page:
         def close(to: int):
             nonlocal breaks
             for i in stack[to:]:
+                opened[tags[i]] -= 1
                 if tags[i] in BLOCK:
                     breaks += 1
             del stack[to:]
 
+        def tag_at(lt):
+            return (TOKEN.match(source, lt) or LOOSE.match(source, lt)) if 0 <= lt <= last or lt >= 0 and source.startswith("<!--", lt) else None
+
         while pos < n:
             lt = source.find("<", pos)
-            m = TOKEN.match(source, lt) or LOOSE.match(source, lt) if lt >= 0 else None
+            m = tag_at(lt)
             end = n if lt < 0 else lt if m else lt + 1
             if end > pos:
                 raw = source[pos:end]
                 # a '<' that opens nothing is text
                 while not m and lt >= 0:
                     lt = source.find("<", lt + 1)
-                    m = TOKEN.match(source, lt) or LOOSE.match(source, lt) if lt >= 0 else None
+                    m = tag_at(lt)
                     end = n if lt < 0 else lt if m else end
                     raw = source[pos:end]
                 text = html.unescape(raw) if "&" in raw else raw
@@ -107,8 +125,8 @@ class Page:
                 continue
             name = name.lower()
             if m.group(1):
-                if name == "p" and not any(tags[i] == "p" for i in stack):
-                    breaks += 1
+                if not opened.get(name):
+                    breaks += name == "p"
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == name:
@@ -117,7 +135,7 @@ class Page:
                     if name not in BLOCK and tags[stack[k]] in BLOCK:
                         break  # an inline end tag doesn't close a block
                 continue
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == "p":
                         close(k)
@@ -126,7 +144,7 @@ class Page:
                         break
             if name in ENDS:
                 ends, stop = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in ends) else ():
                     if tags[stack[k]] in stop:
                         break
                     if tags[stack[k]] in ends:
@@ -136,59 +154,64 @@ class Page:
             if name in BLOCK:
                 breaks += 1
             attrs = m.group(3)
-            words, hidden = (), False
+            words: tuple[str, ...] = ()
             if attrs and not attrs.isspace():
                 found = []
                 for a in ATTR.finditer(attrs):
                     key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
                     if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                        hidden = True
+                        found.append("~hidden")
                     elif key in ("class", "id", "role"):
                         found += WORD.findall(CAMEL.sub(" ", value).lower())
                 words = tuple(found)
             if name in ("html", "body") and len(stack) == 1:
-                if name == "html":
-                    continue
-            i = add(name, words, None, self.skipped[stack[-1]] or hidden or name in NEVER)
+                continue  # the root stands for both
+            i = add(name, words, None, self.skipped[stack[-1]] or name in NEVER)
+            if name == "form":
+                form[i] = i
+            elif name in FRAMED:
+                framed.add(form[i])
             if name in VOID or attrs.endswith("/") and name in ("svg", "path", "math"):
                 continue
             if name in RAW:
                 close_at = re.compile(f"</{name}", re.I).search(source, pos)
                 pos = n if close_at is None else close_at.start()
             stack.append(i)
+            opened[name] = opened.get(name, 0) + 1
+        for i, f in enumerate(form):
+            if f >= 0 and f not in framed:
+                self.skipped[i] = True
 
 
 LENGTHS = np.array([0, 1, 3, 6, 12, 25, 60])
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def evidence(pages: list[Page]):
     """Arrays over the nodes of all pages: parent, depth, tag, features of five kinds, texts' flags; features never look at labels."""
-    parent, tag, text, page = [], [], [], []
+    parent, depth, tag, text, page = [], [], [], [], []
     base = 0
     for k, p in enumerate(pages):
         parent += [-1 if x < 0 else x + base for x in p.parent]
+        depth += p.depth
         tag += [TAG.get(t, OTHER) for t in p.tag]
         text += p.text
         page += [k] * len(p.tag)
         base += len(p.tag)
-    parent, tag = np.array(parent, np.int64), np.array(tag, np.int64)
-    n = len(parent)
-    depth = np.zeros(n, np.int64)
-    # parents stand before their children, so levels come from pointers followed a level at a time
-    at, level = parent.copy(), 0
-    while (at >= 0).any():
-        level += 1
-        depth[at >= 0] += 1
-        at = np.where(at >= 0, parent[at], -1)
+    parent, depth, tag = np.array(parent, np.int64), np.array(depth, np.int64), np.array(tag, np.int64)
+    n, levels = len(parent), levels_of(depth)
     words = np.array([0 if t is None else t.count(" ") + 1 if not t.isspace() else 0 for t in text], np.int64)
     stops = np.array([0 if t is None else t.count(".") + t.count("!") + t.count("?") for t in text], np.int64)
     linked = np.zeros(n, bool)
-    for d in range(1, level + 1):
-        i = np.flatnonzero(depth == d)
+    for i in levels[1:]:
         linked[i] = linked[parent[i]] | (tag[i] == TAG["a"])
     total, link = words.copy(), words * linked
-    for d in range(level, 0, -1):
-        i = np.flatnonzero(depth == d)
+    for i in levels[:0:-1]:
         np.add.at(total, parent[i], total[i])
         np.add.at(link, parent[i], link[i])
     share = link / np.maximum(total, 1)
@@ -200,12 +223,17 @@ def evidence(pages: list[Page]):
     return parent, depth, tag, page, (kind * 8 + size, kind * 8 + density, punct)
 
 
+def moving(parent: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Which table says how a node's label depends on its parent's: by tag, and apart from others for children of the root."""
+    return tag + (len(TAGS) + 1) * ((parent >= 0) & (parent[parent] < 0))
+
+
 class Model:
     """Counted tables of the tree model."""
 
     def __init__(self, smoothing: float = 0.1, temper: float = 0.5):
         t = len(TAGS) + 1
-        self.move = np.full((t, 2, 2), smoothing)  # tag of the child, parent's label, child's label
+        self.move = np.full((2 * t, 2, 2), smoothing)  # tag of the child (those of the page's root by themselves), parent's label, child's label
         self.seen = [np.full((2, 16), smoothing), np.full((2, 16), smoothing), np.full((2, 5), smoothing)]
         self.word: dict[str, list[float]] = {}
         self.temper = temper  # neighbouring features say the same thing twice
@@ -218,7 +246,7 @@ class Model:
         parent, _, tag, _, feats = evidence([p for p, _ in pages])
         y = np.array([v for _, ys in pages for v in ys])
         root = parent < 0
-        np.add.at(m.move, (tag[~root], y[parent[~root]], y[~root]), 1)
+        np.add.at(m.move, (moving(parent, tag)[~root], y[parent[~root]], y[~root]), 1)
         for table, f in zip(m.seen, feats, strict=True):
             np.add.at(table, (y, f), 1)
         m.labels += np.bincount(y, minlength=2)
@@ -242,11 +270,12 @@ class Model:
         own = self.temper * sum(table.T[f] for table, f in zip(self.seen, feats, strict=True))  # log-evidence, a column for each label
         extra = np.array([sum(self.word.get(w, 0.0) for w in ws) if ws else 0.0 for p in pages for ws in p.words])
         own[:, 1] += np.clip(extra, -8, 8)
+        kind = moving(parent, tag)
         up = own.copy()  # evidence of the subtree, given the node's label
         message = np.zeros_like(up)  # from a node to its parent
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if len(depth) else 0)]
+        levels = levels_of(depth)
         for i in levels[:0:-1]:
-            s = self.move[tag[i]] + up[i][:, None, :]
+            s = self.move[kind[i]] + up[i][:, None, :]
             message[i] = np.logaddexp(s[:, :, 0], s[:, :, 1])
             np.add.at(up, parent[i], message[i])
         down = np.zeros_like(up)
@@ -254,7 +283,7 @@ class Model:
             down[levels[0]] = [0.0, -50.0]  # a page as a whole is not content
         for i in levels[1:]:
             rest = down[parent[i]] + up[parent[i]] - message[i]
-            s = self.move[tag[i]] + rest[:, :, None]
+            s = self.move[kind[i]] + rest[:, :, None]
             down[i] = np.logaddexp(s[:, 0], s[:, 1])
         belief = up + down
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50)))
@@ -292,15 +321,22 @@ def extract(sources: list[str | None], model: Model) -> list[str]:
     return out
 
 
-_CONTENT_WRAPS = ['<article>', '<article class="post">', '<main><article>', '<main>', '<div class="content">', '<div id="main-content">', '<div class="post-body entry">', '<section class="article-body">', '<div class="story text">', '<div role="main">', "<div>"]
-_BOILER = (
-    ('<nav>', "menu"), ('<nav class="main menu">', "menu"), ('<div class="menu navbar">', "menu"), ('<header>', "short"), ('<div id="header">', "short"), ('<footer>', "short"), ('<div class="footer">', "short"), ('<aside>', "mixed"),
-    ('<div class="sidebar">', "mixed"), ('<aside class="related">', "menu"), ('<div class="ad">', "text"), ('<div class="ads banner sponsored">', "text"), ('<div class="advert promo">', "text"), ('<div class="cookie notice">', "text"), ('<div role="alert" class="notice consent">', "text"),
-    ('<form>', "form"), ('<form class="search">', "form"), ('<form class="newsletter subscribe">', "form"), ('<div class="comments">', "comments"), ('<section id="comments">', "comments"), ('<ol class="comment-list">', "comments"), ('<div class="share social">', "menu"), ('<ul class="breadcrumb">', "menu"), ('<div class="copyright legal">', "short"), ('<div class="popup modal">', "text"),
-)
+#: Words of class and id by what they are given to; ``both`` says nothing.
+_NAMES = {
+    "content": "article post entry story content main body text prose markdown blog richtext copy articlebody maincontent chapter essay",
+    "menu": "nav menu navbar navigation topbar toolbar breadcrumb breadcrumbs pagination pager tabs links share social follow related recommended trending popular tags skip more",
+    "short": "header footer foot colophon copyright legal masthead credits bottom byline imprint",
+    "mixed": "sidebar side aside rail widget widgets secondary complementary teaser teasers column",
+    "text": "ad ads advert advertisement advertising adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay paywall newsletter disclaimer privacy message",
+    "form": "search form login signup contact subscribe register poll",
+    "comments": "comments comment commentlist commentlist responses replies reply discussion disqus thread respond feedback reviews",
+    "both": "box block wrap wrapper inner container row col section area group item panel module layout grid page site a b c",
+}
+_NAMES = {k: v.split() for k, v in _NAMES.items()}
+_OWN_TAGS = {"menu": ["nav", "ul", "div"], "short": ["header", "footer", "div"], "mixed": ["aside", "section", "div"], "text": ["div", "aside", "section", "p"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "div"], "content": ["article", "main", "section", "div", "div"]}
 
 
-def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[Page, list[int]]]:
+def labelled_pages(n: int = 1500, seed: int = 5) -> list[tuple[Page, list[int]]]:
     """Seeded random page layouts with a label at every node: 1 where a text, or all texts below an element, are the article's."""
     rng = random.Random(seed)
     letters = "aeiounrstlmdp"
@@ -324,10 +360,22 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[Page, list[int]]]:
     def links(a=3, b=9):
         return "<ul>" + "".join(f'<li><a href="/{k}">{words(1, 3)}</a></li>' for k in range(rng.randint(a, b))) + "</ul>"
 
+    def named(kind):
+        """An element for a part of the page; its names say what it is, but for elements that say so themselves."""
+        tag = rng.choice(_OWN_TAGS[kind])
+        if tag not in ("div", "section", "p", "ul", "ol") and rng.random() < 0.4:
+            return f"<{tag}>"
+        names = [rng.choice(_NAMES[kind]) for _ in range(rng.choice([1, 1, 2]))] + [rng.choice(_NAMES["both"]) for _ in range(rng.choice([0, 0, 1, 2]))]
+        rng.shuffle(names)
+        hidden = rng.choice([" hidden", ' style="display:none"', ' aria-hidden="true"']) if kind != "content" and rng.random() < 0.05 else ""
+        role = ' role="main"' if kind == "content" and rng.random() < 0.1 else ""
+        return f'<{tag} {rng.choice(["class", "class", "id"])}="{rng.choice("-_ ").join(names)}"{role}{hidden}>'
+
     def boiler():
-        opened, kind = rng.choice(_BOILER)
-        body = {"menu": lambda: links(), "short": lambda: f"&copy; {words(1, 4)} &middot; {sentence()}" if rng.random() < 0.5 else sentence(1, 8), "text": lambda: f"<p>{prose(1, 3)}</p>" if rng.random() < 0.4 else prose(1, 2), "form": lambda: f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>",
-                "comments": lambda: "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{prose(1, 3)}</p></div>' for _ in range(rng.randint(1, 4))), "mixed": lambda: f"<h3>{words(1, 3)}</h3>{links(2, 5)}<p>{sentence()}</p>"}[kind]()
+        kind = rng.choice(["menu", "short", "mixed", "text", "text", "form", "comments"])
+        opened = named(kind)
+        body = {"menu": lambda: links(), "short": lambda: f"&copy; {words(1, 4)} &middot; {sentence()}" if rng.random() < 0.5 else sentence(1, 8), "text": lambda: f"<p>{prose(1, 4)}</p>" if rng.random() < 0.5 and not opened.startswith("<p") else prose(1, 2), "form": lambda: f"<label>{words(1, 3)}</label><input name=q><p>{prose(1, 2)}</p><button>{words(1, 2)}</button>",
+                "comments": lambda: "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{prose(1, 3)}</p></div>' for _ in range(rng.randint(1, 4))), "mixed": lambda: rng.choice([f"<h3>{words(1, 3)}</h3>{links(2, 5)}<p>{sentence()}</p>", f"<p>{prose(1, 4)}</p>", f"<h3>{words(1, 3)}</h3><a href=/y><p>{prose(1, 2)}</p></a>"])}[kind]()
         return opened + body + end(opened)
 
     def paragraph():
@@ -342,11 +390,17 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[Page, list[int]]]:
             return f"<h2>{mark(words(1, 8))}</h2>"
         if r < 0.29:
             return f"<pre><code>{mark(words(3, 20))}</code></pre>"
-        if r < 0.32:
+        if r < 0.35:
+            return f"<a href=/z><p>{mark(prose(1, 3))}</p></a>"
+        if r < 0.38:
             return f"<figure><img src=x><figcaption>{mark(sentence())}</figcaption></figure>"
         text = prose()
         if rng.random() < 0.3:
             text = f"{text} <a href=/x>\x01{words(1, 4)}</a>\x01 {sentence()}"
+        if rng.random() < 0.25:
+            tag = rng.choice(["em", "i", "span", "code", "sup", "strong", "font", "mi"])
+            around = (f"<math><{tag}>", f"</{tag}></math>") if rng.random() < 0.2 else (f"<{tag}>", f"</{tag}>")
+            text = f"{text} {around[0]}\x01{words(1, 3)}{around[1]}\x01 {words(1, 6)}"
         if rng.random() < 0.2:
             text = f"<b>{mark(words(1, 5))}</b>\x01 {text}"
         elif rng.random() < 0.2:
@@ -356,17 +410,23 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[Page, list[int]]]:
 
     out = []
     for _ in range(n):
-        opened = rng.choice(_CONTENT_WRAPS)
-        inner = [f"<h1>{mark(words(1, 12) if rng.random() < 0.6 else prose(1, 3))}</h1>"] + [paragraph() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14]))]
+        # some articles have no element of their own; without anything around them they need not even have a heading
+        opened = "" if rng.random() < 0.15 else "<div>" if rng.random() < 0.1 else named("content")
+        inner = [f"<h1>{mark(words(1, 12) if rng.random() < 0.6 else prose(1, 3))}</h1>"] + [paragraph() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 30]))]
+        if rng.random() < 0.06:  # long articles of very short paragraphs
+            inner += [f"<p>{mark(sentence(1, 3))}" for _ in range(rng.randint(30, 200))]
         if rng.random() < 0.2:
             inner[0] = f"<header>{inner[0]}</header>"
+        elif rng.random() < 0.15:
+            inner.pop(0)
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             inner.insert(rng.randint(1, len(inner)), boiler())
-        before, after = "".join(boiler() for _ in range(rng.randint(0, 4))), "".join(boiler() for _ in range(rng.randint(0, 4)))
+        most = rng.choice([0, 2, 4, 4])
+        before, after = "".join(boiler() for _ in range(rng.randint(0, most))), "".join(boiler() for _ in range(rng.randint(0, most)))
         body = before + opened + "".join(inner) + end(opened) + after
         if rng.random() < 0.3:
-            body = f'<div class="wrapper page">{body}</div>'
-        page = Page(f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{body}</body></html>")
+            body = f'<div class="{rng.choice(_NAMES["both"])} {rng.choice(_NAMES["both"])}">{body}</div>'
+        page = Page(f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{body}</body></html>" if rng.random() < 0.9 else body)
         label = [0] * len(page.tag)
         inside: list[list[int]] = [[0, 0] for _ in label]
         for i in range(len(label) - 1, -1, -1):
@@ -398,7 +458,7 @@ def extract_text(df: DataFrame, model: Model | None = None, html_col: str = "htm
     def apply(source: pd.Series) -> pd.Series:
         return pd.Series(extract(list(source), shared.value), dtype=object)
 
-    return small_batches(df).withColumn("_main", apply(F.col(html_col)))
+    return small_batches(df).withColumn(free(df, "_main"), apply(F.col(html_col)))
 
 
 def op4_html_extract(spark, sf_dir: str) -> DataFrame:
