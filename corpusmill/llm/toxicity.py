@@ -1,14 +1,15 @@
 """Toxicity by a subsequence string kernel, Nystrom landmarks and a support vector machine.
 
-Instances are the tokens of sentences: runs between white space with all but
-letters taken out ("i.d-iot" is "idiot"), and runs of single letters joined
-("i d i o t").  The kernel counts common subsequences of three characters,
+Instances are tokens: runs between white space with all but letters taken out
+("i.d-iot" is "idiot"), and runs of single letters joined ("i d i o t").  When
+a text is scored, two or three neighbours in a sentence that no clean document
+of the training sample knows are an instance, joined, too ("id iot").  The kernel counts common subsequences of three characters,
 each weighted by ``DECAY`` to the power of the stretch it spans in either token
 (``REACH`` characters at most), token ends included, so inserted characters and
 gaps cost little.  It is scaled by token length.
 
-A sentence is a bag of tokens and a document a bag of sentences.  Labels are
-the documents'; a multiple-instance SVM (L2-regularised squared hinge, solved
+A document is a bag of tokens.  Labels are the documents', so it is not known
+which sentence earns one; a multiple-instance SVM (L2-regularised squared hinge, solved
 by Newton steps in the space of the landmarks' Nystrom map) picks the witness
 tokens of toxic documents and retrains.  Landmarks are the tokens whose
 presence most raises the odds of the label, and the clean tokens most like
@@ -21,8 +22,10 @@ of their ids; scoring reads whole texts and nothing else.
 
 Defined cases: a null or empty text, or one without letters, has the score of a
 document whose best token is as far from the margin as the clean median;
-without labelled rows of both classes every score is 0; repeated rows each get
-their row; other columns pass through.
+without labelled rows of both classes every score is 0; rows whose labels
+contradict each other count as toxic; texts of any length are scored whole;
+repeated rows each get their row; other columns pass through (one named ``_tox``
+too: the result is then in ``_tox_``); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,13 +39,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches
+from .common import by_bytes, free, small_batches
 
 REACH, DECAY, SYMBOLS = 6, 0.6, 64
 PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, REACH + 1) for a in range(1, b)]
 LETTERS = re.compile(r"[^\W\d_]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W\d_]{1,3}){2,30}[^\W\d_](?![^\W\d_])")
+SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W\d_]{1,3}){2,}[^\W\d_](?![^\W\d_])")
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -63,9 +66,19 @@ def tokens(text: str | None) -> set[str]:
     return out
 
 
-def sentences(text: str) -> list[set[str]]:
-    """The tokens of each sentence that has any."""
-    return [t for t in map(tokens, SENTENCE.split(text)) if t]
+def split_words(text: str | None, common: frozenset[str], most: int = 3) -> set[str]:
+    """Neighbouring words of a sentence that are not common ones, joined two and up to ``most`` at a time."""
+    out: set[str] = set()
+    for sentence in SENTENCE.split((text or "").lower()):
+        run: list[str] = []
+        for w in [*sentence.split(), ""]:
+            if w and w not in common and len(w := NOT_LETTERS.sub("", w)) > 1 and w not in common:
+                run.append(w)
+                continue
+            for n in range(2, most + 1):
+                out.update("".join(run[i : i + n]) for i in range(len(run) - n + 1))
+            run = []
+    return out
 
 
 class Alphabet:
@@ -198,6 +211,7 @@ class Machine:
     """A trained scorer. rows: (label, text) pairs."""
 
     def __init__(self, rows: list[tuple[int, str]], landmarks: int = 240, rounds: int = 6, ridge: float = 0.02):
+        self.known: dict[str, float] = {}  # margins of tokens seen lately
         self.trained = len({y for y, _ in rows}) == 2
         if not self.trained:
             return
@@ -207,6 +221,7 @@ class Machine:
         n1 = sum(y == 1 for y, _ in bags)
         n0 = len(bags) - n1
         c1, c0 = Counter(t for y, b in bags if y == 1 for t in b), Counter(t for y, b in bags if y == 0 for t in b)
+        self.common = frozenset(c0)
         self.alphabet = Alphabet(sorted(c1.keys() | c0.keys()))
         # evidence: how unlikely so many toxic documents with a token are, if labels were dealt by chance; it must outweigh the choice among all tokens
         least = math.log(len(c1)) + 3
@@ -221,7 +236,8 @@ class Machine:
             return
         calm = sorted(t for t in c0 if evidence.get(t, 0) <= least)
         table = Table(lead, self.alphabet)
-        # the first negatives: clean tokens most like the toxic landmarks, and every 200th of the rest; the nearest of each become landmarks
+        # the first negatives: clean tokens most like the toxic landmarks, and every 200th of the rest (all that turn out to lie
+        # within the margin join them below); the nearest of each become landmarks
         rank = np.argsort(-weigh(calm, self.alphabet, table.spread(np.ones(len(lead)))), kind="stable")
         near = sorted(rank[:8_000].tolist())
         close = kernel([calm[i] for i in near], self.alphabet, table)
@@ -251,8 +267,7 @@ class Machine:
             strength = xs @ w
             self.beta, self.bias = table.spread(root @ w[:-1]), float(w[-1])
             # clean tokens within the margin join the negatives
-            inside = [i for i in np.argsort(-weigh(calm, self.alphabet, self.beta), kind="stable")[:20_000].tolist() if i not in used]
-            inside = [i for i, v in zip(inside, self.margins([calm[i] for i in inside]).tolist(), strict=True) if v > -1]
+            inside = [i for i in np.flatnonzero(self.margins(calm) > -1).tolist() if i not in used]
             if not inside:
                 break
             used |= set(inside)
@@ -265,6 +280,9 @@ class Machine:
         self.floor = float(np.median(best[label == 0]))
         self.slope, self.offset = self._logistic(best, label)
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
     @staticmethod
     def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         """Platt's curve of the margins, both classes weighted alike."""
@@ -290,18 +308,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-_margins: dict[int, dict[str, float]] = {}
-
-
-def score(texts: list[str | None], machine: Machine, cache: int = 400_000) -> np.ndarray:
-    """The scores of texts; margins of tokens are kept in a bounded cache."""
+def score(texts: list[str | None], machine: Machine, cache: int = 200_000) -> np.ndarray:
+    """The scores of texts; margins of tokens are kept in a bounded cache of the machine's own."""
     if not machine.trained:
         return np.zeros(len(texts))
-    known = _margins.setdefault(id(machine), {})
+    known = machine.known
     texts = [t or "" for t in texts]
     out = np.empty(len(texts))
-    for i, j in by_bytes(texts, 2 << 20):
-        bags = [tokens(t) for t in texts[i:j]]
+    for i, j in by_bytes(texts):
+        bags = [tokens(t) | split_words(t, machine.common) for t in texts[i:j]]
         words = set().union(*bags)
         if len(known) + len(words) > cache:
             known.clear()
@@ -333,7 +348,7 @@ def rate(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     def apply(text: pd.Series) -> pd.Series:
         return pd.Series(score(list(text), shared.value))
 
-    return small_batches(df).withColumn("_tox", apply(F.col(text_col)))
+    return small_batches(df).withColumn(free(df, "_tox"), apply(F.col(text_col)))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
