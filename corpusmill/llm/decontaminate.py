@@ -8,15 +8,19 @@ the same choice: no shared window escapes.  A kept k-gram of a document that
 the benchmark has kept too is extended: the windows around it, as strings, are
 joined with the benchmark's windows, so hits are exact.
 
-Before that join a bit map of the benchmark's fingerprints (a fixed number of
+Before that join a bit map of the benchmark's fingerprints (at most ``2**23``
 bits, whatever the size of the benchmark) passes only fingerprints that may be
 there, so documents shuffle nothing but likely hits and one row each.  Items
 shorter than ``window`` are compared as whole windows of their own lengths.
+A benchmark beyond ``BROADCAST_WINDOWS`` windows, or item ids of windows, is
+joined by a shuffle in which frequent windows are cut into parts.
 
 Defined cases: null texts and texts without words have no windows and no hits;
 rows with equal id and text give equal rows, as many as there were; null ids
 are ordinary values; item ids may repeat or be null (null ids are not listed);
-an empty benchmark leaves every document clean.
+long texts are taken whole; equal hashes of k-grams leave the rightmost; other
+columns are not read; an empty benchmark leaves every document clean and an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, word_array
+from .common import cut, salted_join, text_key, word_array
 
-BITS = 1 << 20
-#: Windows of benchmark text are broadcast up to this many; beyond, the join shuffles.
+BITS, MOST_BITS = 1 << 20, 1 << 23
+#: Windows of benchmark text, and ids with them, are broadcast up to this many; beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -84,27 +88,31 @@ def _window_at(n: int):
     return lambda s: F.struct(s.alias("at"), F.array_join(F.slice(F.col("w"), s + 1, n), " ").alias("win"), F.lit(n).alias("len"))
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """For each document: its id, ``n_words``, ``n_hit``, ``items`` (ids with hits, sorted) and ``spans`` (merged hit spans, from word and up to word).
 
     One row for each row of docs.
     """
-    from .common import cut
-
     wins = cut(windows_of(items, item_col, item_text, window))
-    count, short = wins.count(), sorted(r["len"] for r in wins.where(F.col("len") < window).select("len").distinct().collect())  # lengths below the window: a handful
+    count, ids = wins.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    short = sorted(r["len"] for r in wins.where(F.col("len") < window).select("len").distinct().collect())  # lengths below the window: a handful
     run = window - k + 1
     bench = wins.where(F.col("len") == window).withColumn("w", F.split("win", " "))
     prints = _with_grams(bench, k).select(F.explode(F.transform(_kept(F.col("g"), run), lambda i: F.get(F.col("g"), i))).alias("g"))
     if short:
         prints = prints.unionByName(wins.where(F.col("len") < window).select(F.xxhash64("win").alias("g")))
-    # a literal array of a fixed size
-    table = F.array(*[F.lit(0)]) if not count else F.from_json(F.lit(str(bit_map(prints))), "array<bigint>")
+    # a literal array of a bounded size; one bit in sixteen is set as long as that allows
+    bits = BITS
+    if count:
+        n = prints.count()
+        while bits < min(16 * n, MOST_BITS):
+            bits *= 2
+    table = F.array(*[F.lit(0)]) if not count else F.from_json(F.lit(str(bit_map(prints, bits))), "array<bigint>")
 
     d = docs.select(F.col(id_col).alias("_dc_id"), text_key(F.col(text_col)).alias("_dc_h"), word_array(F.col(text_col)).alias("w"))
     if count:
         d = _with_grams(d, k)
-        hits = F.filter(_kept(F.col("g"), run), lambda i: _maybe(table, F.get(F.col("g"), i)))
+        hits = F.filter(_kept(F.col("g"), run), lambda i: _maybe(table, F.get(F.col("g"), i), bits))
         # the windows that hold the k-gram at i start at i - run + 1 up to i
         starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - run + 1, F.lit(0)), F.least(i, F.size("w") - window)))))
         starts = F.when(F.size("w") >= window, starts).otherwise(F.array().cast("array<int>"))
@@ -112,7 +120,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         for n in short:
             places = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
             each = F.transform(places, _window_at(n))
-            found = F.concat(found, F.filter(each, lambda x: _maybe(table, F.xxhash64(x["win"]))))
+            found = F.concat(found, F.filter(each, lambda x: _maybe(table, F.xxhash64(x["win"]), bits)))
     else:
         found = F.array().cast("array<struct<at:int,win:string,len:int>>")
     # one row a document whatever is found, so that it comes back without a second read
@@ -120,11 +128,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     rows = d.select("_dc_id", "_dc_h", F.size("w").alias("n"), F.explode(F.concat(whole, found)).alias("f")).select("_dc_id", "_dc_h", "n", "f.*")
     side = wins.select("win", "len", "items")
     span = F.when(F.col("at") >= 0, F.struct(F.col("at"), (F.col("at") + F.col("len")).alias("to"))).alias("span")
-    if count <= BROADCAST_WINDOWS:
+    if max(count, ids) <= broadcast_windows:
         both = rows.join(F.broadcast(side), ["win", "len"], "left").where((F.col("at") < 0) | F.col("items").isNotNull())
     else:  # a shuffled join, in which the one row of each document takes no part
         rows = cut(rows)
-        both = rows.where("at >= 0").join(side, ["win", "len"]).unionByName(rows.where("at < 0").withColumn("items", F.lit(None).cast("array<string>")))
+        both = salted_join(rows.where("at >= 0"), side.drop("len"), "win").unionByName(rows.where("at < 0").withColumn("items", F.lit(None).cast("array<string>")))
     both = both.select("_dc_id", "_dc_h", "n", span, "items")
     per = both.groupBy("_dc_id", "_dc_h").agg(F.max("n").alias("n"), F.sum(F.when(F.col("span").isNull(), 1).otherwise(0)).alias("copies"), F.array_sort(F.collect_set("span")).alias("s"), F.collect_set("items").alias("i"))
     # the longest span of each start, so that those that can reach a word are among the last ``window``
