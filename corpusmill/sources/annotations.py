@@ -103,7 +103,8 @@ def yolo_full(spark, labels: str) -> DataFrame:
     d = lines(spark, labels).where(F.trim("value") != "").select(stem_of(F.col("_file")).alias("_id"), F.transform(F.split(F.trim("value"), r"[\s,]+"), lambda v: v.cast("double")).alias("f"))
     n = F.struct(B.box(*[F.col("f")[i] for i in (1, 2, 3, 4)]).alias("b"), F.col("f")[0].cast("int").alias("c"), F.col("f")[5].alias("conf"), F.col("f")[6].alias("w"), F.col("f")[7].alias("h"))
     g = d.groupBy("_id").agg(F.collect_list(n).alias("n"))
-    return g.select("_id", *[F.transform("n", lambda x, k=k: x[k]).alias(v) for k, v in (("b", "bboxes"), ("c", "classes"), ("conf", "confs"))], F.get("n", F.lit(0))["w"].alias("width"), F.get("n", F.lit(0))["h"].alias("height"))
+    pick = lambda k, name: F.transform("n", lambda x: x[k]).alias(name)  # noqa: E731  (a second parameter of a lambda would be the index)
+    return g.select("_id", *[pick(k, v) for k, v in (("b", "bboxes"), ("c", "classes"), ("conf", "confs"))], F.get("n", F.lit(0))["w"].alias("width"), F.get("n", F.lit(0))["h"].alias("height"))
 
 
 def _polygons(c: Column) -> Column:

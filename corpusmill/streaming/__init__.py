@@ -33,5 +33,8 @@ def sessions(df: DataFrame, time: str, key: str, gap: str = "30 minutes", late:
 
 
 def first_seen(df: DataFrame, time: str, keys: list[str], within: str = "1 hour") -> DataFrame:
-    """Rows whose keys have not been seen within the watermark."""
-    return df.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+    """Rows whose keys have not been seen within the watermark; of a batch, the earliest row of each key, ties by the other columns."""
+    if df.isStreaming:
+        return df.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in df.columns if c != time and c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(time, *rest)).alias("_first")).select(*[c if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
