@@ -19,18 +19,36 @@ def word_counts(df: DataFrame, words: str) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str = "id", start: int = 0) -> DataFrame:
+    """df with dense numbers in an order that no two rows share.
+
+    Ranges of the order are numbered side by side, each from the number of rows
+    in the ranges before it; the driver gets one count a range.  The ranges are
+    persisted, so that counting and numbering see the same ones.
+    """
+    refuse_stream(df, "number_rows")
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    before = [0]
+    for i in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(i, 0))
+    offset = F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col("_range"))
+    n = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, (n - 1 + start + offset).cast("long")).drop("_range")
+
+
 def word_ids(df: DataFrame, words: str, order_by: str, start: int = 0, keep=None) -> DataFrame:
     """Dense ids in the order of first sight: ``word``, ``id``. keep: a predicate on the word column.
 
-    First places are aggregated before anything is ordered; the one ordered
-    partition holds the vocabulary, not the tokens.
+    First places are aggregated before anything is ordered, and the vocabulary
+    is numbered in parallel (``number_rows``).
     """
     refuse_stream(df, "word_ids")
     seen = df.select(F.col(order_by).alias("at"), F.posexplode(words).alias("pos", "word"))
     if keep is not None:
         seen = seen.where(keep(F.col("word")))
     first = seen.groupBy("word").agg(F.min(F.struct("at", "pos")).alias("first"))
-    return first.select("word", (F.row_number().over(W.orderBy("first")) - 1 + start).cast("long").alias("id"))
+    return number_rows(first, [F.col("first")], "id", start).select("word", "id")
 
 
 def encode_words(words: Column, vocab: dict[str, int], unknown: str = "[UNK]") -> Column:

@@ -167,10 +167,8 @@ _VOCAB = "k AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 4 AS id FROM
 
 def vocabulary(spark, sf):
     """All words that occur twice, by frequency, behind five special tokens, as a table (word, id)."""
-    from pyspark.sql import Window as W
-
     n = encode.word_counts(docs(spark, sf).select(split.shallow_split(F.col("text")).alias("w")), "w").where("n > 1")
-    return n.select("word", (F.row_number().over(W.orderBy(F.desc("n"), "word")) + 4).cast("long").alias("id"))
+    return encode.number_rows(n, [F.desc("n"), F.col("word")], start=5).select("word", "id")
 
 
 @query("encode_words", _CUM + _VOCAB + "SELECT doc_id, list(coalesce(k.id, 1) ORDER BY p) AS ids FROM e LEFT JOIN k USING (w) GROUP BY doc_id")
