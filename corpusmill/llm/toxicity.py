@@ -46,7 +46,6 @@ PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, REACH + 1) for a in range(1,
 LETTERS = re.compile(r"[^\W\d_]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W\d_]{1,3}){2,}[^\W\d_](?![^\W\d_])")
-SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def tokens(text: str | None) -> set[str]:
@@ -66,18 +65,33 @@ def tokens(text: str | None) -> set[str]:
     return out
 
 
+ENDS = frozenset(".!?")
+
+
 def split_words(text: str | None, common: frozenset[str], most: int = 3) -> set[str]:
     """Neighbouring words of a sentence that are not common ones, joined two and up to ``most`` at a time."""
+    words = (text or "").lower().replace("\n", " . ").split()
     out: set[str] = set()
-    for sentence in SENTENCE.split((text or "").lower()):
-        run: list[str] = []
-        for w in [*sentence.split(), ""]:
-            if w and w not in common and len(w := NOT_LETTERS.sub("", w)) > 1 and w not in common:
-                run.append(w)
-                continue
-            for n in range(2, most + 1):
-                out.update("".join(run[i : i + n]) for i in range(len(run) - n + 1))
-            run = []
+    run: list[str] = []
+    last = -2
+
+    def close():
+        for n in range(2, min(most, len(run)) + 1):
+            out.update("".join(run[k : k + n]) for k in range(len(run) - n + 1))
+        run.clear()
+
+    for i in [i for i, w in enumerate(words) if w not in common]:
+        if i != last + 1:
+            close()
+        w = NOT_LETTERS.sub("", words[i])
+        if len(w) > 1 and w not in common:
+            run.append(w)
+            last = i
+            if not ENDS.isdisjoint(words[i]):
+                close()
+        else:
+            close()
+    close()
     return out
 
 
