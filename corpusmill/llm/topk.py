@@ -8,9 +8,11 @@ the processor's cache; a partition selection keeps the best k of each block,
 and a window merges the blocks.
 
 Queries are packed into blocks of about ``query_block`` rows by the hash of
-their ids.  A grid of cells, query block by slice of the candidates, is joined
-by its two numbers: a cell holds one query block and streams its slice, and the
-driver sees only counts.  The result does not depend on any block size.
+their ids.  Up to ``broadcast_bytes`` of packed queries (counted, not estimated)
+are broadcast to the candidates' blocks.  Beyond, a grid of cells, query block by
+slice of the candidates, is joined by its two numbers in a shuffle: a cell holds
+one query block and streams its slice.  The driver sees only counts, and the
+result does not depend on any block size or way.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
 take no part (``usable``); vectors of unequal length are padded with zeros;
@@ -116,18 +118,24 @@ def _pack(size: int):
     return run
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "q", query_block: int = 2048, block_rows: int = 1024) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "q", query_block: int = 2048, block_rows: int = 1024, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The k candidates of the largest inner product for each query id: ``query_id``, ``rank``, ``vec_id``, ``score``; vec_col holds array<long>."""
     spark = candidates.sparkSession
     rows = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     n = rows(queries).count()
     blocks = max(1, -(-n // query_block))
-    slices = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-tasks // blocks))
     by_block = rows(queries).repartition(blocks, F.xxhash64("id")) if blocks > 1 else rows(queries).coalesce(1)
     q = cut(by_block.mapInArrow(_pack(query_block), _PACKED).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("weights").alias("q_weights"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block")))
-    c = rows(candidates).mapInArrow(_pack(block_rows), _PACKED).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)))
+    c = rows(candidates).mapInArrow(_pack(block_rows), _PACKED)
     each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    cells = c.withColumn("block", each(blocks)).join(q.withColumn("slice", each(slices)), ["block", "slice"])
+    size = q.agg(F.sum(F.octet_length("q_ids") + F.octet_length("q_weights"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        cells = c.repartition(tasks).withColumn("block", each(blocks)).join(F.broadcast(q), "block")
+    else:
+        c = c.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)))
+        cells = c.withColumn("block", each(blocks)).join(q.withColumn("slice", each(slices)).hint("shuffle_hash"), ["block", "slice"])
 
     def search(batches):
         for b in batches:
