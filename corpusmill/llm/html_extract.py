@@ -390,9 +390,9 @@ def labelled_pages(n: int = 1500, seed: int = 5) -> list[tuple[Page, list[int]]]
             return f"<h2>{mark(words(1, 8))}</h2>"
         if r < 0.29:
             return f"<pre><code>{mark(words(3, 20))}</code></pre>"
-        if r < 0.35:
+        if r < 0.40:
             return f"<a href=/z><p>{mark(prose(1, 3))}</p></a>"
-        if r < 0.38:
+        if r < 0.43:
             return f"<figure><img src=x><figcaption>{mark(sentence())}</figcaption></figure>"
         text = prose()
         if rng.random() < 0.3:
