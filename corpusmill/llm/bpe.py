@@ -8,7 +8,7 @@ stands before it stay two tokens when encoded side by side, which the merge
 table decides.  Back-pointers from the end of the word then give the ids.
 
 All new words of a batch advance together, one prefix a step, in array
-operations; encodings are kept in a bounded cache of each worker.
+operations (very long words by themselves); encodings are kept in a bounded cache of each worker.
 
 The file format is that of the ``tokenizers`` library with a word-level BPE:
 NFC, lower case, a split into words, digits and runs of other characters, byte
@@ -138,6 +138,8 @@ class Encoder:
         keys = self.left[512:] << 20 | self.right[512:]
         keys, first = np.unique(keys, return_index=True)  # a pair listed twice merges at its first rank
         self.pairs = Slots(keys, made[first])
+        self.merged: dict[int, int] | None = None  # the same as a dictionary, and answers of _fit, once a long word comes
+        self.known: dict[int, bool] = {}
         self._automaton()
 
     def _automaton(self) -> None:
@@ -230,8 +232,57 @@ class Encoder:
             live, a, b, limit = live[~done], a[~done], b[~done], limit[~done]
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, given as UTF-8 bytes."""
+    def _fit(self, a: int, b: int) -> bool:
+        """``_fits`` for one pair; answers are remembered, up to a bound."""
+        key = a << 20 | b
+        if (known := self.known.get(key)) is not None:
+            return known
+        merged, limit, out = self.merged, 1 << 30, None
+        while out is None:
+            if merged.get(a << 20 | b, limit) < limit:
+                out = False
+                break
+            inner, first = (self.right_of[a], b, a), (a, self.left_of[b], b + 1)
+            steps = (inner, first) if a > b else (first, inner)
+            moved = next((s for s in steps if s[:2] != (a, b)), None)
+            if moved is None:
+                out = True
+            else:
+                a, b, limit = moved
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[key] = out
+        return out
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """Ids of one long word, for which a step at a time in plain numbers is faster than arrays of length one."""
+        if self.merged is None:
+            self.merged = {int(k): int(v) for k, v in zip(self.pairs.keys, self.pairs.values, strict=True) if k >= 0}
+            self.left_of, self.right_of, self.size_of, self.shorter_of, self.longest_of = (x.tolist() for x in (self.left, self.right, self.length, self.shorter, self.longest))
+        last, state = [-1] * len(word), 0
+        for t, sym in enumerate(word[:-1]):
+            state = int(self.go[self.row[state], sym])
+            c = self.longest_of[state]
+            while (before := t - self.size_of[c]) >= 0 and not self._fit(last[before], c):
+                c = self.shorter_of[c]
+            last[t] = c
+        t, sym = len(word) - 1, 256 + word[-1]
+        while (c := int(self.ends.get(np.array([state << 9 | sym]))[0])) < 0 < state:
+            state = int(self.fail[state])
+        c = sym if c < 0 else c
+        while (before := t - self.size_of[c]) >= 0 and not self._fit(last[before], c):
+            c = self.shorter_of[c]
+        last[t], ids = c, []
+        while t >= 0:
+            ids.append(int(self.id_of[last[t]]))
+            t -= self.size_of[last[t]]
+        return ids[::-1]
+
+    def encode_words(self, words: list[bytes], long: int = 512) -> list[list[int]]:
+        """Ids of each word, given as UTF-8 bytes; those of more than ``long`` bytes go by themselves."""
+        if any(len(w) > long for w in words):
+            rest = iter(self.encode_words([w for w in words if len(w) <= long], long))
+            return [self.encode_long(w) if len(w) > long else next(rest) for w in words]
         out: list[list[int]] = [[]] * len(words)
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
