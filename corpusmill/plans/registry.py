@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import extra_queries, media_queries, pixel_queries, source_queries, text_queries, vision_queries  # noqa: E402,F401  the queries register themselves
+from . import augment_queries, extra_queries, media_queries, pixel_queries, source_queries, text_queries, vision_queries  # noqa: E402,F401  the queries register themselves
