@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..functions import clean, encode, split
+from ..functions import clean, encode, perturb, split
 from ..operators import idmap, image, pipeline, tokenizers
 from ..sources import media
 from .pixel_queries import _E, colour
@@ -191,3 +191,38 @@ def set_operations(spark, sf):
     a = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("k"))
     b = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("k"))
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
+
+
+_IN = "(" + ", ".join(f"'{w}'" for w in _VOCABULARY if w[0] != "[") + ")"
+
+
+def _faults(edit):
+    """How many tokens of an edit that keeps places are not what their tags say: untouched ones the same, touched ones with their own ids as tags."""
+
+    def run(spark, sf):
+        d = _part_words(spark, sf).withColumn("m", edit(F.col("w"), F.col("p_partkey"), _VOCABULARY, 5, 0.5)).withColumn("ids", encode.encode_words(F.col("w"), _VOCABULARY))
+        wrong = lambda t, i: F.when(F.get("m.tags", i) == perturb.SKIP, t != F.get("m.tokens", i)).otherwise(F.get("m.tags", i) != F.get("ids", i))
+        places = F.transform("w", wrong)
+        return d.select("p_partkey", F.size("m.tokens").alias("n"), F.size(F.filter(places, lambda x: x)).alias("wrong"))
+
+    return run
+
+
+for _name, _edit in (("mask_places", perturb.random_mask), ("replace_places", perturb.random_replace)):
+    query(_name, "SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, 0 AS wrong FROM part")(_faults(_edit))
+
+
+@query("append_places", "SELECT p_partkey, p_name AS text, 0 AS wrong FROM part")
+def append_places(spark, sf):
+    """Without the words that were added the text is as it was, and added words are tagged with their ids."""
+    d = _part_words(spark, sf).withColumn("m", perturb.random_append(F.col("w"), F.col("p_partkey"), _VOCABULARY, 5, 0.5)).withColumn("ids", encode.encode_words(F.col("m.tokens"), _VOCABULARY))
+    z = F.arrays_zip(F.col("m.tokens").alias("t"), F.col("m.tags").alias("g"), F.col("ids").alias("i"))
+    old = F.transform(F.filter(z, lambda x: x["g"] == perturb.SKIP), lambda x: x["t"])
+    return d.select("p_partkey", F.array_join(old, " ").alias("text"), F.size(F.filter(z, lambda x: (x["g"] != perturb.SKIP) & (x["g"] != x["i"]))).alias("wrong"))
+
+
+@query("delete_places", f"SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) IN {_IN} THEN split_part(p_name, ' ', 1) ELSE p_name END AS text FROM part WHERE len(string_split(p_name, ' ')) = 2")
+def delete_places(spark, sf):
+    """Of two words the second goes wherever the first may be hit, as all are."""
+    d = _part_words(spark, sf).where(F.size("w") == 2)
+    return d.select("p_partkey", F.array_join(perturb.random_delete(F.col("w"), F.col("p_partkey"), _VOCABULARY, 5, 1.0)["tokens"], " ").alias("text"))

@@ -122,9 +122,21 @@ def chunk_random_retention(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(chunk.random_retention(split.to_paragraphs(F.col("text"), keep_sep=True), F.col("doc_id"), 512, 3)).alias("chunk_no", "chunk"))
 
 
-@query("chunk_k_pieces")
+_STOPS = r"。.!?！？\];；,，、》）}"
+
+
+@query(
+    "chunk_k_pieces",
+    f"""WITH u AS (SELECT doc_id, length(text) / 5.0::DOUBLE AS m, regexp_extract_all(text, '[^{_STOPS}]*[{_STOPS}]|[^{_STOPS}]+') AS us FROM documents),
+r AS (SELECT doc_id, list_reduce(list_transform(us, lambda x: {{'out': CAST([] AS VARCHAR[]), 'held': x, 'drift': 0.0::DOUBLE}}),
+  lambda a, x: CASE WHEN length(a.held) + length(x.held) <= m THEN {{'out': a.out, 'held': a.held || x.held, 'drift': a.drift}}
+    WHEN (length(a.held) - m + a.drift) + (length(a.held) + length(x.held) - m + a.drift) > 0 THEN {{'out': list_append(a.out, a.held), 'held': x.held, 'drift': length(a.held) - m + a.drift}}
+    ELSE {{'out': list_append(a.out, a.held || x.held), 'held': '', 'drift': length(a.held) + length(x.held) - m + a.drift}} END,
+  {{'out': CAST([] AS VARCHAR[]), 'held': '', 'drift': 0.0::DOUBLE}}) AS a FROM u)
+SELECT doc_id, unnest(range(len(c))) AS chunk_no, unnest(c) AS chunk FROM (SELECT doc_id, CASE WHEN a.held <> '' THEN list_append(a.out, a.held) ELSE a.out END AS c FROM r)""",
+)
 def chunk_k_pieces(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(chunk.k_pieces(F.col("text"), 5, True)).alias("chunk_no", "chunk"))
+    return docs(spark, sf).select("doc_id", F.posexplode(chunk.k_pieces(F.col("text"), 5, True)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 @query("chunk_tokens")
@@ -146,6 +158,17 @@ def truncate_head_tail(spark, sf):
     return docs(spark, sf).withColumn("w", w).select("doc_id", chunk.head(F.col("w"), 128).alias("head"), chunk.tail(F.col("w"), 128).alias("tail"))
 
 
+@query(
+    "truncate_two",
+    _CUM
+    + """c AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p) AS h, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p DESC) AS t, sum(length(w)) OVER (PARTITION BY doc_id) AS n FROM e)
+SELECT doc_id, CASE WHEN any_value(n) <= 128 THEN string_agg(w, '' ORDER BY p) ELSE coalesce(string_agg(w, '' ORDER BY p) FILTER (WHERE h <= 64), '') || coalesce(string_agg(w, '' ORDER BY p) FILTER (WHERE t <= 64), '') END AS two FROM c GROUP BY doc_id""",
+)
+def truncate_two(spark, sf):
+    """Head and tail of each text's words."""
+    return docs(spark, sf).withColumn("w", split.shallow_split(F.col("text"))).where(F.size("w") > 0).select("doc_id", chunk.two_pieces(F.col("w"), 128).alias("two"))
+
+
 @query("truncate_pieces")
 def truncate_pieces(spark, sf):
     d = docs(spark, sf).withColumn("w", split.shallow_split(F.col("text")))
