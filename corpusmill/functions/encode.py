@@ -69,7 +69,9 @@ def encode_by_join(df: DataFrame, key: str, words: str, vocab: DataFrame, unknow
     ``key`` has to name a row: the words of rows that share a key make one list.
     """
     each = df.select(key, F.posexplode(words).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
-    got = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown_id)).alias("id")))).alias("p")).select(key, F.transform("p", lambda x: x["id"]).alias("ids"))
+    got = each.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown_id)).alias("id")))).alias("p")
+    ).select(key, F.transform("p", lambda x: x["id"]).alias("ids"))
     return df.select(key).join(got, key, "left").select(key, F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
 
 
@@ -95,7 +97,9 @@ def one_hot_back(rows: Column) -> Column:
 def target_encode(df: DataFrame, category: str, target: str, smoothing: float = 0.0) -> DataFrame:
     """Mean target of each category, drawn to the overall mean by ``smoothing`` rows: ``category``, ``value``."""
     whole = df.agg(F.avg(target).alias("m"))
-    return df.groupBy(category).agg(F.sum(target).alias("s"), F.count(target).alias("n")).join(F.broadcast(whole)).select(category, ((F.col("s") + F.col("m") * smoothing) / (F.col("n") + smoothing)).alias("value"))
+    return df.groupBy(category).agg(F.sum(target).alias("s"), F.count(target).alias("n")).join(F.broadcast(whole)).select(
+        category, ((F.col("s") + F.col("m") * smoothing) / (F.col("n") + smoothing)).alias("value")
+    )
 
 
 def leave_one_out(df: DataFrame, category: str, target: str) -> DataFrame:
@@ -109,7 +113,9 @@ def weight_of_evidence(df: DataFrame, category: str, target: str, smoothing: flo
     one, zero = F.sum(F.col(target)), F.sum(1 - F.col(target))
     whole = df.agg(one.alias("a"), zero.alias("b"))
     part = df.groupBy(category).agg(one.alias("p"), zero.alias("q"))
-    return part.join(F.broadcast(whole)).select(category, F.ln(((F.col("p") + smoothing) / (F.col("a") + smoothing)) / ((F.col("q") + smoothing) / (F.col("b") + smoothing))).alias("value"))
+    return part.join(F.broadcast(whole)).select(
+        category, F.ln(((F.col("p") + smoothing) / (F.col("a") + smoothing)) / ((F.col("q") + smoothing) / (F.col("b") + smoothing))).alias("value")
+    )
 
 
 def add_token(items: Column, before=None, after=None) -> Column:
@@ -144,7 +150,10 @@ def pad(items: Column, n: Column | int, value=None) -> Column:
     return F.concat(items, F.array_repeat(F.lit(value), F.greatest(n - F.size(items), F.lit(0)).cast("int")))
 
 
-def align(df: DataFrame, column: str, mode: str = "auto", size: int = 512, batch: str | None = None, before=None, after=None, padding=None, out: str | None = None, keep_end: bool = False) -> DataFrame:
+def align(
+    df: DataFrame, column: str, mode: str = "auto", size: int = 512, batch: str | None = None, before=None, after=None, padding=None,
+    out: str | None = None, keep_end: bool = False
+) -> DataFrame:
     """df with the array column (or ``out``) given its end tokens, truncated to ``size`` and padded.
 
     Modes: ``none`` pads nothing; ``max`` pads to ``size``; ``auto`` pads to the

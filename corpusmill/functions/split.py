@@ -34,7 +34,9 @@ def join_mixed(segment: Column) -> Column:
     """Words joined by one blank, but for neighbours that are both non-ASCII, which are glued."""
     plain = lambda w: w.rlike(r"^[\x00-\x7F]*$")
     step = lambda a, w: F.struct(
-        F.concat(a["text"], F.when(a["first"] | (~plain(w) & ~a["ascii"]), w).otherwise(F.concat(F.lit(" "), w))).alias("text"), plain(w).alias("ascii"), F.lit(False).alias("first")
+        F.concat(
+            a["text"], F.when(a["first"] | (~plain(w) & ~a["ascii"]), w).otherwise(F.concat(F.lit(" "), w))
+        ).alias("text"), plain(w).alias("ascii"), F.lit(False).alias("first")
     )
     start = F.struct(F.lit("").alias("text"), F.lit(True).alias("ascii"), F.lit(True).alias("first"))
     return F.aggregate(segment, start, step, lambda a: a["text"])
@@ -63,7 +65,10 @@ def deep_split(segment: Column, *steps: Callable[[Column], Column]) -> Column:
     return segment
 
 
-def to_segment(c: Column, sep: str | None = None, pattern: str | None = None, special: tuple[str, ...] = (), punctuation: bool = True, cleaner: Callable[[Column], Column] | None = None, steps: tuple = ()) -> Column:
+def to_segment(
+    c: Column, sep: str | None = None, pattern: str | None = None, special: tuple[str, ...] = (), punctuation: bool = True,
+    cleaner: Callable[[Column], Column] | None = None, steps: tuple = ()
+) -> Column:
     """The words of a text: special tokens stay whole, the rest is cleaned, split, and cut at punctuation.
 
     A text that starts with a special token yields no empty first word here.
@@ -127,7 +132,15 @@ def merge_continued(spanned: Column, mark: str = "@@") -> Column:
     step = lambda a, x: F.struct(
         F.when(
             a["open"],
-            F.concat(F.slice(a["out"], 1, F.size(a["out"]) - 1), F.array(F.struct(F.concat(F.element_at(a["out"], -1)["word"], F.regexp_replace(x["word"], re.escape(mark) + "$", "")).alias("word"), F.element_at(a["out"], -1)["start"].alias("start"), x["end"].alias("end")))),
+            F.concat(
+                F.slice(a["out"], 1, F.size(a["out"]) - 1),
+                F.array(
+                    F.struct(
+                        F.concat(F.element_at(a["out"], -1)["word"], F.regexp_replace(x["word"], re.escape(mark) + "$", "")).alias("word"),
+                        F.element_at(a["out"], -1)["start"].alias("start"), x["end"].alias("end")
+                    )
+                )
+            ),
         )
         .otherwise(F.concat(a["out"], F.array(F.struct(F.regexp_replace(x["word"], re.escape(mark) + "$", "").alias("word"), x["start"].alias("start"), x["end"].alias("end")))))
         .alias("out"),
@@ -144,9 +157,22 @@ def merge_single_letters(spanned: Column) -> Column:
     step = lambda a, x: F.struct(
         F.when(
             a["open"] & single(x["word"]),
-            F.concat(F.slice(a["out"], 1, F.size(a["out"]) - 1), F.array(F.struct(F.concat(last(a)["word"], F.upper(x["word"])).alias("word"), last(a)["start"].alias("start"), x["end"].alias("end")))),
+            F.concat(
+                F.slice(a["out"], 1, F.size(a["out"]) - 1),
+                F.array(F.struct(F.concat(last(a)["word"], F.upper(x["word"])).alias("word"), last(a)["start"].alias("start"), x["end"].alias("end")))
+            ),
+        )
+        .otherwise(
+            F.concat(
+                a["out"],
+                F.array(
+                    F.struct(
+                        F.when(single(x["word"]), F.upper(x["word"])).otherwise(x["word"]).alias("word"), x["start"].alias("start"),
+                        x["end"].alias("end")
+                    )
+                )
+            )
         )
-        .otherwise(F.concat(a["out"], F.array(F.struct(F.when(single(x["word"]), F.upper(x["word"])).otherwise(x["word"]).alias("word"), x["start"].alias("start"), x["end"].alias("end")))))
         .alias("out"),
         single(x["word"]).alias("open"),
     )

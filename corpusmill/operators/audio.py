@@ -48,7 +48,10 @@ def mel_bank(bins: int, size: int, rate: float, low: float = 20.0, high: float =
     return np.maximum(0, np.minimum(up, down))
 
 
-def log_mel(x: np.ndarray, rate: float = 16000, bins: int = 23, length_ms: float = 25, step_ms: float = 10, emphasis: float = 0.97, dither: float = 0.0, seed: int = 0, energy: bool = False, subtract_mean: bool = False, low: float = 20.0, high: float = 0.0) -> np.ndarray:
+def log_mel(
+    x: np.ndarray, rate: float = 16000, bins: int = 23, length_ms: float = 25, step_ms: float = 10, emphasis: float = 0.97, dither: float = 0.0,
+    seed: int = 0, energy: bool = False, subtract_mean: bool = False, low: float = 20.0, high: float = 0.0
+) -> np.ndarray:
     """Log mel energies of whole frames: DC removed, pre-emphasised, Povey-windowed, power spectrum, mel filters."""
     size, step = int(rate * length_ms / 1000), int(rate * step_ms / 1000)
     if len(x) < size:

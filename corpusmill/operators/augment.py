@@ -51,7 +51,10 @@ def flip(horizontal: bool = True, prob: float = 1.0) -> Step:
 def scale(dst_w, dst_h, choice: str = "min", max_ratio: tuple[float, float] | None = None, truncate: bool = True) -> Step:
     """Resized in proportion towards a size (numbers or columns)."""
     params = lambda w, h, u: _sized(w, h, p=B.proportion(w, h, dst_w, dst_h, choice, max_ratio).cast("double"))
-    return Step("scale", params, lambda b, p: B.scale(b, p["p"], truncate=truncate), lambda b, p: B.scale(b, 1 / p["p"], truncate=False), lambda w, h, p: (F.round(w * p["p"]).cast("int"), F.round(h * p["p"]).cast("int")), _resize)
+    return Step(
+        "scale", params, lambda b, p: B.scale(b, p["p"], truncate=truncate), lambda b, p: B.scale(b, 1 / p["p"], truncate=False), lambda w, h,
+        p: (F.round(w * p["p"]).cast("int"), F.round(h * p["p"]).cast("int")), _resize
+    )
 
 
 def _resize(a, p):
@@ -62,7 +65,10 @@ def random_scale(dst_w, dst_h, choice: str = "longest", low: float = 1.14, high:
     """Resized towards a size times a number drawn between two bounds."""
     ratio = lambda u: F.lit(low) + u(0) * (high - low)
     params = lambda w, h, u: _sized(w, h, p=B.proportion(w, h, F.lit(dst_w) * ratio(u), F.lit(dst_h) * ratio(u), choice).cast("double"))
-    return Step("random_scale", params, lambda b, p: B.scale(b, p["p"], truncate=truncate), lambda b, p: B.scale(b, 1 / p["p"], truncate=False), lambda w, h, p: (F.round(w * p["p"]).cast("int"), F.round(h * p["p"]).cast("int")), _resize)
+    return Step(
+        "random_scale", params, lambda b, p: B.scale(b, p["p"], truncate=truncate), lambda b, p: B.scale(b, 1 / p["p"], truncate=False), lambda w, h,
+        p: (F.round(w * p["p"]).cast("int"), F.round(h * p["p"]).cast("int")), _resize
+    )
 
 
 def pad(dst_w, dst_h, side: tuple[str, str] = ("center", "center"), fill: int = 114) -> Step:
@@ -74,7 +80,10 @@ def pad(dst_w, dst_h, side: tuple[str, str] = ("center", "center"), fill: int =
 def window(kind: str, dst_w, dst_h, corner: tuple[str, str] = ("left", "top")) -> Step:
     """Cut to a window: random, center or corner, no larger than the image."""
     params = lambda w, h, u: B.window(kind, w, h, F.least(F.lit(dst_w), w), F.least(F.lit(dst_h), h), u(0), u(1), corner)
-    return Step("window", params, lambda b, p: b, B.uncrop, lambda w, h, p: (p["x2"] - p["x1"], p["y2"] - p["y1"]), lambda a, p: I.crop(a, p["x1"], p["x2"], p["y1"], p["y2"]), True)
+    return Step(
+        "window", params, lambda b, p: b, B.uncrop, lambda w, h, p: (p["x2"] - p["x1"], p["y2"] - p["y1"]), lambda a,
+        p: I.crop(a, p["x1"], p["x2"], p["y1"], p["y2"]), True
+    )
 
 
 def letterbox(dst_w, dst_h) -> list[Step]:

@@ -44,7 +44,10 @@ def vflip(boxes: Column, h) -> Column:
 def rotate90(boxes: Column, w, h, k: int) -> Column:
     """Turned counter-clockwise by k quarter turns; right for non-square images too."""
     k %= 4
-    turn = {0: lambda b: b, 1: lambda b: box(b["y1"], w - b["x2"], b["y2"], w - b["x1"]), 2: lambda b: box(w - b["x2"], h - b["y2"], w - b["x1"], h - b["y1"]), 3: lambda b: box(h - b["y2"], b["x1"], h - b["y1"], b["x2"])}[k]
+    turn = {
+        0: lambda b: b, 1: lambda b: box(b["y1"], w - b["x2"], b["y2"], w - b["x1"]),
+        2: lambda b: box(w - b["x2"], h - b["y2"], w - b["x1"], h - b["y1"]), 3: lambda b: box(h - b["y2"], b["x1"], h - b["y1"], b["x2"])
+    }[k]
     return F.transform(boxes, turn)
 
 
@@ -58,7 +61,10 @@ def scale(boxes: Column, px, py=None, truncate: bool = True) -> Column:
 def proportion(w: Column, h: Column, dst_w, dst_h, choice: str = "min", max_ratio: tuple[float, float] | None = None) -> Column:
     """The scale factor of a proportional resize: by the smaller or larger factor, the shorter or longer edge, or the smaller change."""
     fw, fh = F.lit(dst_w) / w, F.lit(dst_h) / h
-    p = {"min": lambda: F.least(fw, fh), "max": lambda: F.greatest(fw, fh), "shortest": lambda: F.when(w <= h, fw).otherwise(fh), "longest": lambda: F.when(w >= h, fw).otherwise(fh), "auto": lambda: F.when(F.abs(dst_w - w) / w < F.abs(dst_h - h) / h, fw).otherwise(fh)}[choice]()
+    p = {
+        "min": lambda: F.least(fw, fh), "max": lambda: F.greatest(fw, fh), "shortest": lambda: F.when(w <= h, fw).otherwise(fh),
+        "longest": lambda: F.when(w >= h, fw).otherwise(fh), "auto": lambda: F.when(F.abs(dst_w - w) / w < F.abs(dst_h - h) / h, fw).otherwise(fh)
+    }[choice]()
     return p if max_ratio is None else F.greatest(F.least(p, F.lit(1.0 + max_ratio[1])), F.lit(1 / (1 + max_ratio[0])))
 
 
@@ -66,7 +72,10 @@ def pad_params(w: Column, h: Column, dst_w, dst_h, side=("center", "center"), u:
     """Margins (l, r, t, d) that fill an image up to a size; sides: left, right, top, down, center, random (with uniforms u, v)."""
 
     def one(gap, where, r):
-        before = {"left": gap, "top": gap, "right": F.lit(0), "down": F.lit(0), "center": F.floor(gap / 2), "random": F.floor(r * gap) if r is not None else F.lit(0)}[where].cast("int")
+        before = {
+            "left": gap, "top": gap, "right": F.lit(0), "down": F.lit(0), "center": F.floor(gap / 2),
+            "random": F.floor(r * gap) if r is not None else F.lit(0)
+        }[where].cast("int")
         return before, (gap - before).cast("int")
 
     (left, right), (top, down) = one(F.greatest(F.lit(dst_w) - w, F.lit(0)), side[0], u), one(F.greatest(F.lit(dst_h) - h, F.lit(0)), side[1], v)
@@ -98,14 +107,22 @@ def window(kind: str, w: Column, h: Column, dst_w, dst_h, u: Column | None = Non
 
 def five_windows(w: Column, h: Column, dst_w, dst_h) -> Column:
     """The four corners and the centre, to be exploded."""
-    return F.array(*[window("corner", w, h, dst_w, dst_h, corner=c) for c in (("left", "top"), ("right", "top"), ("left", "down"), ("right", "down"))], window("center", w, h, dst_w, dst_h))
+    return F.array(
+        *[window("corner", w, h, dst_w, dst_h, corner=c) for c in (("left", "top"), ("right", "top"), ("left", "down"), ("right", "down"))],
+        window("center", w, h, dst_w, dst_h)
+    )
 
 
 def crop(boxes: Column, classes: Column, win: Column) -> Column:
     """Boxes moved into a window and clipped; those without an area go with their classes. Gives struct<bboxes, classes, dropped>."""
     clip = lambda c, top: F.least(F.greatest(c, F.lit(0.0)), top)
     width, height = (win["x2"] - win["x1"]).cast("double"), (win["y2"] - win["y1"]).cast("double")
-    moved = F.transform(boxes, lambda b: box(clip(b["x1"] - win["x1"], width), clip(b["y1"] - win["y1"], height), clip(b["x2"] - win["x1"], width), clip(b["y2"] - win["y1"], height)))
+    moved = F.transform(
+        boxes,
+        lambda b: box(
+            clip(b["x1"] - win["x1"], width), clip(b["y1"] - win["y1"], height), clip(b["x2"] - win["x1"], width), clip(b["y2"] - win["y1"], height)
+        )
+    )
     both = F.transform(F.sequence(F.lit(1), F.size(moved)), lambda i: F.struct(F.element_at(moved, i).alias("b"), F.element_at(classes, i).alias("c")))
     both = F.when(F.size(moved) > 0, both).otherwise(F.filter(F.array(F.struct(F.get(moved, F.lit(0)).alias("b"), F.get(classes, F.lit(0)).alias("c"))), lambda x: F.lit(False)))
     flat = lambda x: (x["b"]["x1"] == x["b"]["x2"]) | (x["b"]["y1"] == x["b"]["y2"])
@@ -190,7 +207,13 @@ def mosaic(boxes: Column, dx, dy, w, h, strict: bool = True) -> Column:
     moved = shift(boxes, dx, dy)
     if strict:
         return F.filter(moved, lambda b: (b["x1"] > 0) & (b["y1"] > 0) & (b["x2"] > 0) & (b["y2"] > 0))
-    fit = F.transform(moved, lambda b: box(F.least(F.greatest(b["x1"], F.lit(0.0)), w), F.least(F.greatest(b["y1"], F.lit(0.0)), h), F.least(F.greatest(b["x2"], F.lit(0.0)), w), F.least(F.greatest(b["y2"], F.lit(0.0)), h)))
+    fit = F.transform(
+        moved,
+        lambda b: box(
+            F.least(F.greatest(b["x1"], F.lit(0.0)), w), F.least(F.greatest(b["y1"], F.lit(0.0)), h), F.least(F.greatest(b["x2"], F.lit(0.0)), w),
+            F.least(F.greatest(b["y2"], F.lit(0.0)), h)
+        )
+    )
     return F.filter(fit, lambda b: area(b) > 0)
 
 

@@ -16,7 +16,9 @@ def char_table(df: DataFrame, key: str, parts: str, names: tuple[str, str, str]
     """A row for each character of an array of strings: key, offset in the whole, number of the part, offset in it."""
     a, p, c = names
     each = df.select(key, parts, _begins(F.col(parts)).alias("_b")).select(key, "_b", F.posexplode(parts).alias(p, "_t")).where(F.char_length("_t") > 0)
-    return each.select(key, F.get("_b", F.col(p)).alias("_o"), p, F.explode(F.sequence(F.lit(0), F.char_length("_t") - 1)).alias(c)).select(key, (F.col("_o") + F.col(c)).alias(a), p, c)
+    return each.select(
+        key, F.get("_b", F.col(p)).alias("_o"), p, F.explode(F.sequence(F.lit(0), F.char_length("_t") - 1)).alias(c)
+    ).select(key, (F.col("_o") + F.col(c)).alias(a), p, c)
 
 
 def paragraph_chunk_table(df: DataFrame, key: str, paragraphs: str, chunks: str) -> DataFrame:
@@ -28,7 +30,13 @@ def paragraph_chunk_table(df: DataFrame, key: str, paragraphs: str, chunks: str)
     d = df.select(key, paragraphs, _begins(F.col(paragraphs)).alias("_p"), chunks, _begins(F.col(chunks)).alias("_c"))
     each = d.select(key, "_p", chunks, "_c", F.posexplode(paragraphs).alias("pid", "_t")).where(F.char_length("_t") > 0)
     each = each.withColumn("_b", F.get("_p", F.col("pid"))).withColumn("_e", F.col("_b") + F.char_length("_t"))
-    spans = F.transform(F.col(chunks), lambda x, i: F.struct(i.alias("cid"), F.greatest(F.get("_c", i), F.col("_b")).alias("from"), F.least(F.get("_c", i) + F.char_length(x), F.col("_e")).alias("to"), F.get("_c", i).alias("at")))
+    spans = F.transform(
+        F.col(chunks), lambda x,
+        i: F.struct(
+            i.alias("cid"), F.greatest(F.get("_c", i), F.col("_b")).alias("from"),
+            F.least(F.get("_c", i) + F.char_length(x), F.col("_e")).alias("to"), F.get("_c", i).alias("at")
+        )
+    )
     over = each.select(key, "pid", "_b", F.explode(F.filter(spans, lambda x: x["from"] < x["to"])).alias("o"))
     chars = over.select(key, "pid", "_b", "o.cid", "o.at", F.explode(F.sequence(F.col("o.from"), F.col("o.to") - 1)).alias("acid"))
     return chars.select(key, "acid", "pid", (F.col("acid") - F.col("_b")).alias("pcid"), "cid", (F.col("acid") - F.col("at")).alias("ccid"))

@@ -346,6 +346,11 @@ def band_shift(a, rng, bands):
     return np.concatenate([a[int(bands[i][0]) : int(bands[i][1])] for i in order])
 
 
+def with_mirrors(a):
+    """Three channels of one plane: itself and its two mirror images."""
+    return np.dstack([a, vflip(a), hflip(a)])
+
+
 def mix_up(a, b, r):
     return _back(a * float(r) + b * (1 - float(r)), a)
 

@@ -13,7 +13,10 @@ from ..functions.encode import refuse_stream
 from ..functions.perturb import uniform
 
 
-def generate(df: DataFrame, parse: Callable[[DataFrame], DataFrame] | None = None, start_convert=None, start_filter=None, end_convert=None, end_filter=None, max_size: int | None = None) -> DataFrame:
+def generate(
+    df: DataFrame, parse: Callable[[DataFrame], DataFrame] | None = None, start_convert=None, start_filter=None, end_convert=None, end_filter=None,
+    max_size: int | None = None
+) -> DataFrame:
     """convert, filter, parse, drop empty records, convert, filter, then at most ``max_size`` rows; 0 and None mean all.
 
     A record is empty if each of its columns is null or an empty text, array or map.
@@ -57,7 +60,10 @@ def load_cache(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def split_sets(df: DataFrame, key: str, ratios: tuple[float, ...] = (0.8, 1.0), names: tuple[str, ...] = ("train", "test"), seed: int = 0, group: Callable[[Column], Column] | None = None, bits: int = 10) -> DataFrame:
+def split_sets(
+    df: DataFrame, key: str, ratios: tuple[float, ...] = (0.8, 1.0), names: tuple[str, ...] = ("train", "test"), seed: int = 0,
+    group: Callable[[Column], Column] | None = None, bits: int = 10
+) -> DataFrame:
     """df with ``split``: groups of keys in hashed order, cut at cumulative shares.
 
     Sizes are floor(share * groups); with ``group`` (a function of the key, for
@@ -99,7 +105,10 @@ def random_apply(df: DataFrame, key: str, column: str, ops: list[tuple[Callable[
     return df.withColumn(record, F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hit)]))).withColumn(column, c)
 
 
-def random_choice(df: DataFrame, key: str, column: str, ops: list[Callable[[Column], Column]], n: int | None = None, weights: list[float] | None = None, seed: int = 0, record: str = "applied") -> DataFrame:
+def random_choice(
+    df: DataFrame, key: str, column: str, ops: list[Callable[[Column], Column]], n: int | None = None, weights: list[float] | None = None,
+    seed: int = 0, record: str = "applied"
+) -> DataFrame:
     """n of the operators without replacement, in random order, by weight; all of them shuffled by default."""
     w = weights or [1.0] * len(ops)
     # exponential keys give weighted sampling without replacement

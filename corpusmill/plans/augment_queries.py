@@ -9,16 +9,23 @@ from ..operators import augment as A
 from ..operators import boxes as B
 from ..operators import image
 from ..sources import media
+from .media_queries import byte_image
 from .registry import query
 from .vision_queries import _wave
 
-_P = "WITH p AS (SELECT p_partkey AS k, p_brand AS g, CAST(p_size * 10 + 100 AS DOUBLE) AS w, CAST(p_partkey % 50 + 200 AS DOUBLE) AS h, CAST(p_size AS DOUBLE) AS x1, 20.0::DOUBLE AS y1, CAST(p_size * 2 + 60 AS DOUBLE) AS x2, 120.0::DOUBLE AS y2 FROM part) "
+_P = """WITH p AS (SELECT p_partkey AS k, p_brand AS g, CAST(p_size * 10 + 100 AS DOUBLE) AS w, CAST(p_partkey % 50 + 200 AS DOUBLE) AS h,
+  CAST(p_size AS DOUBLE) AS x1, 20.0::DOUBLE AS y1, CAST(p_size * 2 + 60 AS DOUBLE) AS x2, 120.0::DOUBLE AS y2
+FROM part) """
 
 
 def _parts(spark, sf) -> DataFrame:
     p = spark.read.parquet(f"{sf}/part.parquet")
     n = F.col("p_size").cast("double")
-    return p.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("g"), (F.col("p_size") * 10 + 100).cast("int").alias("width"), (F.col("p_partkey") % 50 + 200).cast("int").alias("height"), F.array(B.box(n, F.lit(20.0), n * 2 + 60, F.lit(120.0))).alias("bboxes"), F.array("p_size").alias("classes"))
+    return p.select(
+        F.col("p_partkey").alias("k"), F.col("p_brand").alias("g"), (F.col("p_size") * 10 + 100).cast("int").alias("width"),
+        (F.col("p_partkey") % 50 + 200).cast("int").alias("height"), F.array(B.box(n, F.lit(20.0), n * 2 + 60, F.lit(120.0))).alias("bboxes"),
+        F.array("p_size").alias("classes")
+    )
 
 
 def _flat(df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -91,20 +98,30 @@ def augment_rude_jitter(spark, sf):
     return d.select("k", (out + ((F.col("width") > 224) | (F.col("height") > 224)).cast("int")).alias("outside"))
 
 
-@query("augment_images", "SELECT vec_id, list_transform(range(100), lambda p: CASE WHEN p // 10 BETWEEN 1 AND 8 AND p % 10 BETWEEN 1 AND 8 THEN CAST(embedding AS DOUBLE[])[(p // 10 - 1) * 8 + 8 - (p % 10 - 1)] ELSE 114 END) AS v, 1.0::DOUBLE AS x1, 6.0::DOUBLE AS x2 FROM embeddings")
+@query(
+    "augment_images",
+    """SELECT vec_id, list_transform(range(100), lambda p: CASE WHEN p // 10 BETWEEN 1 AND 8 AND p % 10 BETWEEN 1 AND 8 THEN CAST(embedding AS DOUBLE[])[(p // 10 - 1) * 8 + 8 - (p % 10 - 1)] ELSE 114 END) AS v,
+  1.0::DOUBLE AS x1, 6.0::DOUBLE AS x2 FROM embeddings"""
+)
 def augment_images(spark, sf):
     """Images mirrored and filled up together with their boxes."""
-    d = _wave(spark, sf).select("vec_id", image.gray_from(F.col("v"), 8, 8).alias("image"), F.array(B.box(F.lit(3.0), F.lit(0.0), F.lit(8.0), F.lit(4.0))).alias("bboxes"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    d = _wave(spark, sf).select(
+        "vec_id", image.gray_from(F.col("v"), 8, 8).alias("image"), F.array(B.box(F.lit(3.0), F.lit(0.0), F.lit(8.0), F.lit(4.0))).alias("bboxes"),
+        F.lit(8).alias("width"), F.lit(8).alias("height")
+    )
     r = A.augment(d, [A.flip(), A.pad(10, 10)])
     b = F.get("bboxes", F.lit(0))
     return r.select("vec_id", image.pixels(F.col("image")).alias("v"), b["x1"].alias("x1"), b["x2"].alias("x2"))
 
 
-@query("image_drawn", "SELECT vec_id, list_transform(range(64), lambda p: CASE WHEN p // 8 BETWEEN 1 AND 5 AND p % 8 BETWEEN 2 AND 6 AND (p // 8 IN (1, 5) OR p % 8 IN (2, 6)) THEN 255 ELSE trunc(least(greatest(CAST(embedding AS DOUBLE[])[p + 1] * 30 + 128, 0), 255)) END) AS v FROM embeddings")
+@query(
+    "image_drawn",
+    """SELECT vec_id, list_transform(range(64), lambda p: CASE WHEN p // 8 BETWEEN 1 AND 5 AND p % 8 BETWEEN 2 AND 6 AND (p // 8 IN (1,
+  5) OR p % 8 IN (2, 6)) THEN 255 ELSE trunc(least(greatest(CAST(embedding AS DOUBLE[])[p + 1] * 30 + 128, 0),
+255)) END) AS v FROM embeddings"""
+)
 def image_drawn(spark, sf):
     """Boxes drawn on images, as PNG files."""
-    from .media_queries import _bytes
-
-    d = _wave(spark, sf).select("vec_id", image.on_image(image.gray_from(F.col("v"), 8, 8), _bytes).alias("image"))
+    d = _wave(spark, sf).select("vec_id", byte_image(image.gray_from(F.col("v"), 8, 8)).alias("image"))
     picture = A.drawn(F.col("image"), F.array(B.box(F.lit(2.0), F.lit(1.0), F.lit(7.0), F.lit(6.0))))
     return d.select("vec_id", image.pixels(media.decode_image(media.encode_image(picture), True)).alias("v"))

@@ -15,7 +15,13 @@ def event_windows(spark, sf):
     return streaming.windowed_counts(e, "ts", ["event_type"]).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-@query("event_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s")
+@query(
+    "event_sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
+FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s
+FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s
+GROUP BY user_id, s"""
+)
 def event_sessions(spark, sf):
     """Events of each user, cut where half an hour passes."""
     e = spark.read.parquet(f"{sf}/events.parquet")

@@ -49,14 +49,19 @@ def put_each(df: DataFrame, name: Column, content: Column, path: str) -> None:
 
 
 _SPLITS = ("train", "dev", "test")
-_PART = "p AS (SELECT p_partkey AS k, p_name AS a, p_type AS b, p_brand AS g, CAST(p_size AS BIGINT) AS n, ['train', 'dev', 'test'][p_partkey % 3 + 1] AS s, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS i, row_number() OVER (ORDER BY p_partkey) - 1 AS j FROM part) "
+_PART = """p AS (SELECT p_partkey AS k, p_name AS a, p_type AS b, p_brand AS g, CAST(p_size AS BIGINT) AS n, ['train', 'dev',
+  'test'][p_partkey % 3 + 1] AS s, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS i, row_number() OVER (ORDER BY p_partkey) - 1 AS j
+FROM part) """
 
 
 def part(spark, sf) -> DataFrame:
     """Parts as texts a and b, a group g, a number n and a split s."""
     p = spark.read.parquet(f"{sf}/part.parquet")
     split = F.element_at(F.array(*map(F.lit, _SPLITS)), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), F.col("p_type").alias("b"), F.col("p_brand").alias("g"), F.col("p_size").cast("long").alias("n"), split.alias("s"))
+    return p.select(
+        F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), F.col("p_type").alias("b"), F.col("p_brand").alias("g"),
+        F.col("p_size").cast("long").alias("n"), split.alias("s")
+    )
 
 
 def _tabs(*cells) -> Column:
@@ -76,7 +81,10 @@ def _two(d: DataFrame, *more) -> DataFrame:
     return d.select("split", *more, F.coalesce(F.col("_class").cast("long"), F.lit(-1)).alias("_class"), F.get("texts", F.lit(0)).alias("a"), F.get("texts", F.lit(1)).alias("b"))
 
 
-@query("source_cola", f"WITH {_PART} SELECT s AS split, i AS _id, CASE WHEN s <> 'test' THEN n % 2 ELSE -1 END AS _class, CASE WHEN s <> 'test' THEN g END AS flag, a AS text FROM p")
+@query(
+    "source_cola",
+    f"WITH {_PART} SELECT s AS split, i AS _id, CASE WHEN s <> 'test' THEN n % 2 ELSE -1 END AS _class, CASE WHEN s <> 'test' THEN g END AS flag, a AS text FROM p"
+)
 def source_cola(spark, sf):
     line = _tabs("k", F.col("n") % 2, "g", "a")
     root = _write_splits(spark, sf, "cola", {"train": (line, None), "dev": (line, None), "test": (_tabs("k", "a"), "index\tsentence")})
@@ -128,7 +136,12 @@ def source_stsb(spark, sf):
     return d.select("split", "_id", "genre", "score", F.get("texts", F.lit(0)).alias("a"), F.get("texts", F.lit(1)).alias("b"))
 
 
-@query("source_mnli", f"WITH {_PART} SELECT s AS split, CAST(k AS VARCHAR) AS _id, g AS genre, CASE WHEN s <> 'test' THEN n % 3 ELSE -1 END AS _class, CASE s WHEN 'train' THEN 1 WHEN 'dev' THEN 5 ELSE -1 END AS votes, a, b FROM p")
+@query(
+    "source_mnli",
+    f"""WITH {_PART} SELECT s AS split, CAST(k AS VARCHAR) AS _id, g AS genre, CASE WHEN s <> 'test' THEN n % 3 ELSE -1 END AS _class,
+  CASE s WHEN 'train' THEN 1 WHEN 'dev' THEN 5 ELSE -1 END AS votes, a, b
+FROM p"""
+)
 def source_mnli(spark, sf):
     word = F.element_at(F.array(*map(F.lit, X.NLI)), (F.col("n") % 3 + 1).cast("int"))
     cells = ["k", "k", "k", "g", *[F.lit("()")] * 4, "a", "b"]
@@ -160,7 +173,9 @@ def source_alpaca(spark, sf):
     return X.alpaca(spark, root).select(F.col("_id").cast("long").alias("_id"), F.array_join("classes", ",").alias("classes"), F.array_join("texts", "|").alias("texts"))
 
 
-_TALK = "t AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS _id, string_agg(role, ',' ORDER BY turn) AS classes, string_agg(text, '|' ORDER BY turn) AS texts FROM conversations GROUP BY conv_id) "
+_TALK = """t AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS _id, string_agg(role, ',' ORDER BY turn) AS classes,
+  string_agg(text, '|' ORDER BY turn) AS texts FROM conversations
+GROUP BY conv_id) """
 
 
 def _talks(spark, sf) -> DataFrame:
@@ -179,7 +194,10 @@ def source_chat(spark, sf):
 
 @query("source_sharegpt", f"WITH {_TALK} SELECT _id, classes, texts FROM t")
 def source_sharegpt(spark, sf):
-    d = _talks(spark, sf).select("k", F.transform("messages", lambda m: m["role"]).alias("classes"), F.transform("messages", lambda m: m["content"]).alias("texts"), F.lit("[]").alias("tools"))
+    d = _talks(spark, sf).select(
+        "k", F.transform("messages", lambda m: m["role"]).alias("classes"), F.transform("messages", lambda m: m["content"]).alias("texts"),
+        F.lit("[]").alias("tools")
+    )
     S.as_one_array(d, S.sharegpt(), "k", root := scratch(spark, "sharegpt"))
     return _spoken(X.sharegpt(spark, root).where("tools = '[]'"), F.col("classes"), F.col("texts"))
 
@@ -200,37 +218,73 @@ def source_preference(spark, sf):
 
 @query("source_extraction", f"WITH {_PART} SELECT j AS _id, a AS image, b AS content, g AS prompt, substring(b, 1, 5) AS found FROM p")
 def source_extraction(spark, sf):
-    row = F.to_json(F.struct(F.base64(F.col("a").cast("binary")).alias("image"), F.array(F.array(F.lit(0.0), F.lit(1.0))).alias("bbox"), F.col("b").alias("content"), F.array(F.struct(F.substring("b", 1, 5).alias("text"), F.lit(0).alias("start"), F.lit(5).alias("end"))).alias("result_list"), F.col("g").alias("prompt")))
+    row = F.to_json(
+        F.struct(
+            F.base64(F.col("a").cast("binary")).alias("image"), F.array(F.array(F.lit(0.0), F.lit(1.0))).alias("bbox"), F.col("b").alias("content"),
+            F.array(F.struct(F.substring("b", 1, 5).alias("text"), F.lit(0).alias("start"), F.lit(5).alias("end"))).alias("result_list"),
+            F.col("g").alias("prompt")
+        )
+    )
     put(part(spark, sf), row, root := scratch(spark, "extraction"))
-    return X.extraction(spark, root).select(F.col("_id").cast("long").alias("_id"), F.col("image").cast("string").alias("image"), "content", "prompt", F.get("result_list", F.lit(0))["text"].alias("found"))
+    return X.extraction(spark, root).select(
+        F.col("_id").cast("long").alias("_id"), F.col("image").cast("string").alias("image"), "content", "prompt",
+        F.get("result_list", F.lit(0))["text"].alias("found")
+    )
 
 
-@query("source_csc_train", f"WITH {_PART} SELECT CAST(k AS VARCHAR) AS _id, g AS title, a AS text, CASE WHEN n % 2 = 1 THEN n ELSE -1 END AS location, CASE WHEN n % 2 = 1 THEN b END AS correction FROM p")
+@query(
+    "source_csc_train",
+    f"WITH {_PART} SELECT CAST(k AS VARCHAR) AS _id, g AS title, a AS text, CASE WHEN n % 2 = 1 THEN n ELSE -1 END AS location, CASE WHEN n % 2 = 1 THEN b END AS correction FROM p"
+)
 def source_csc_train(spark, sf):
-    mistake = F.when(F.col("n") % 2 == 1, F.format_string('<MISTAKE id="%d" location="%d"><WRONG>%s</WRONG><CORRECTION>%s</CORRECTION></MISTAKE>', "k", "n", "a", "b")).otherwise("")
-    put(part(spark, sf), F.concat(F.format_string('<ESSAY title="%s"><TEXT><PASSAGE id="%d">%s</PASSAGE></TEXT>', "g", "k", "a"), mistake, F.lit("</ESSAY>")), root := scratch(spark, "sgml"))
+    mistake = F.when(
+        F.col("n") % 2 == 1,
+        F.format_string('<MISTAKE id="%d" location="%d"><WRONG>%s</WRONG><CORRECTION>%s</CORRECTION></MISTAKE>', "k", "n", "a", "b")
+    ).otherwise("")
+    put(
+        part(spark, sf),
+        F.concat(F.format_string('<ESSAY title="%s"><TEXT><PASSAGE id="%d">%s</PASSAGE></TEXT>', "g", "k", "a"), mistake, F.lit("</ESSAY>")),
+        root := scratch(spark, "sgml")
+    )
     m = F.get("mistakes", F.lit(0))
     return X.csc_train(spark, root).select("_id", "title", "text", F.coalesce(m["location"].cast("long"), F.lit(-1)).alias("location"), m["correction"].alias("correction"))
 
 
-@query("source_csc_test", f"WITH {_PART} SELECT CAST(k AS VARCHAR) AS _id, a AS text, CASE WHEN n % 2 = 1 THEN 3 ELSE -1 END AS location, CASE WHEN n % 2 = 1 THEN substring(a, 3, 1) END AS wrong, CASE WHEN n % 2 = 1 THEN 'x' END AS correction FROM p")
+@query(
+    "source_csc_test",
+    f"""WITH {_PART} SELECT CAST(k AS VARCHAR) AS _id, a AS text, CASE WHEN n % 2 = 1 THEN 3 ELSE -1 END AS location, CASE WHEN n % 2 = 1 THEN substring(a,
+  3, 1) END AS wrong, CASE WHEN n % 2 = 1 THEN 'x' END AS correction
+FROM p"""
+)
 def source_csc_test(spark, sf):
     d, root = part(spark, sf), scratch(spark, "csc")
     put(d, F.format_string("(id=%d) %s", "k", "a"), f"{root}/in")
     put(d, F.when(F.col("n") % 2 == 1, F.format_string("%d, 3, x", "k")).otherwise(F.format_string("%d, 0", "k")), f"{root}/truth")
     m = F.get("mistakes", F.lit(0))
-    return X.csc_test(spark, f"{root}/in", f"{root}/truth").select("_id", "text", F.coalesce(m["location"].cast("int"), F.lit(-1)).alias("location"), m["wrong"].alias("wrong"), m["correction"].alias("correction"))
+    return X.csc_test(spark, f"{root}/in", f"{root}/truth").select(
+        "_id", "text", F.coalesce(m["location"].cast("int"), F.lit(-1)).alias("location"), m["wrong"].alias("wrong"),
+        m["correction"].alias("correction")
+    )
 
 
 @query("source_csc_sentences", f"WITH {_PART} SELECT j AS _id, a AS text, n AS location, b AS correction FROM p")
 def source_csc_sentences(spark, sf):
-    put(part(spark, sf), F.format_string("<SENTENCE><TEXT>%s</TEXT><MISTAKE><LOCATION>%d</LOCATION><WRONG>%s</WRONG><CORRECTION>%s</CORRECTION></MISTAKE></SENTENCE>", "a", "n", "g", "b"), root := scratch(spark, "sentences"))
+    put(
+        part(spark, sf),
+        F.format_string(
+            "<SENTENCE><TEXT>%s</TEXT><MISTAKE><LOCATION>%d</LOCATION><WRONG>%s</WRONG><CORRECTION>%s</CORRECTION></MISTAKE></SENTENCE>", "a", "n",
+            "g", "b"
+        ),
+        root := scratch(spark, "sentences")
+    )
     m = F.get("mistakes", F.lit(0))
     return X.csc_sentences(spark, root).select(F.col("_id").cast("long").alias("_id"), "text", m["location"].cast("long").alias("location"), m["correction"].alias("correction"))
 
 
 # Boxes: two on a 640 x 480 image for each nation, and lines of them for each supplier.
-_NATION = "o AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS VARCHAR) AS _id, n_name AS name, CAST(n_nationkey * 8 + 1 AS DOUBLE) AS x1, CAST(n_nationkey * 4 + 2 AS DOUBLE) AS y1, CAST(n_nationkey * 8 + 65 AS DOUBLE) AS x2, CAST(n_nationkey * 4 + 34 AS DOUBLE) AS y2, CAST(n_regionkey AS BIGINT) AS c FROM nation) "
+_NATION = """o AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS VARCHAR) AS _id, n_name AS name, CAST(n_nationkey * 8 + 1 AS DOUBLE) AS x1,
+  CAST(n_nationkey * 4 + 2 AS DOUBLE) AS y1, CAST(n_nationkey * 8 + 65 AS DOUBLE) AS x2, CAST(n_nationkey * 4 + 34 AS DOUBLE) AS y2,
+  CAST(n_regionkey AS BIGINT) AS c FROM nation) """
 _SUM = "_id, 2 AS boxes, 2 * x1 + 10 AS x1, 2 * y1 AS y1, 2 * x2 + 10 AS x2, 2 * y2 AS y2"
 
 
@@ -238,8 +292,13 @@ def nation(spark, sf) -> DataFrame:
     """Nations as images with two boxes each, the second ten pixels right of the first."""
     n = spark.read.parquet(f"{sf}/nation.parquet")
     k = F.col("n_nationkey").cast("double")
-    d = n.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_nationkey").cast("string").alias("_id"), F.col("n_name").alias("name"), B.box(k * 8 + 1, k * 4 + 2, k * 8 + 65, k * 4 + 34).alias("b"), F.col("n_regionkey").cast("int").alias("c"))
-    return d.withColumn("bboxes", F.concat(F.array("b"), B.shift(F.array("b"), F.lit(10.0), F.lit(0.0)))).withColumn("classes", F.array("c", "c")).withColumn("width", F.lit(640)).withColumn("height", F.lit(480)).withColumn("text", F.array("name", "name"))
+    d = n.select(
+        F.col("n_nationkey").cast("long").alias("k"), F.col("n_nationkey").cast("string").alias("_id"), F.col("n_name").alias("name"),
+        B.box(k * 8 + 1, k * 4 + 2, k * 8 + 65, k * 4 + 34).alias("b"), F.col("n_regionkey").cast("int").alias("c")
+    )
+    return d.withColumn(
+        "bboxes", F.concat(F.array("b"), B.shift(F.array("b"), F.lit(10.0), F.lit(0.0)))
+    ).withColumn("classes", F.array("c", "c")).withColumn("width", F.lit(640)).withColumn("height", F.lit(480)).withColumn("text", F.array("name", "name"))
 
 
 def _sums(d: DataFrame, *more, digits: int = 3) -> DataFrame:
@@ -256,7 +315,12 @@ def _class() -> Column:
 def source_coco(spark, sf):
     d = nation(spark, sf)
     images = d.agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("id"), F.col("name").alias("file_name"), "width", "height"))).alias("images"))
-    one = d.select("k", "c", F.explode("bboxes").alias("b")).select(F.struct(F.col("k").alias("image_id"), F.col("c").alias("category_id"), F.array(F.col("b.x1"), F.col("b.y1"), F.col("b.x2") - F.col("b.x1"), F.col("b.y2") - F.col("b.y1")).alias("bbox")).alias("a"))
+    one = d.select("k", "c", F.explode("bboxes").alias("b")).select(
+        F.struct(
+            F.col("k").alias("image_id"), F.col("c").alias("category_id"),
+            F.array(F.col("b.x1"), F.col("b.y1"), F.col("b.x2") - F.col("b.x1"), F.col("b.y2") - F.col("b.y1")).alias("bbox")
+        ).alias("a")
+    )
     doc = images.crossJoin(F.broadcast(one.agg(F.collect_list("a").alias("annotations"))))  # one row each
     S.text_lines(doc, F.to_json(F.struct("images", "annotations")), root := scratch(spark, "coco"))
     return _sums(A.coco(spark, root).withColumn("_id", F.col("_id").cast("string")), _class(), F.col("file").alias("name"))
@@ -264,8 +328,14 @@ def source_coco(spark, sf):
 
 @query("source_voc", f"WITH {_NATION} SELECT {_SUM}, name, 640 AS width FROM o")
 def source_voc(spark, sf):
-    thing = lambda b: F.format_string("<object><name>%s</name><difficult>0</difficult><bndbox><xmin>%.0f</xmin><ymin>%.0f</ymin><xmax>%.0f</xmax><ymax>%.0f</ymax></bndbox></object>", F.col("name"), b["x1"], b["y1"], b["x2"], b["y2"])
-    page = F.concat(F.lit("<annotation><size><width>640</width><height>480</height><depth>3</depth></size>"), F.array_join(F.transform("bboxes", thing), ""), F.lit("</annotation>"))
+    thing = lambda b: F.format_string(
+        "<object><name>%s</name><difficult>0</difficult><bndbox><xmin>%.0f</xmin><ymin>%.0f</ymin><xmax>%.0f</xmax><ymax>%.0f</ymax></bndbox></object>",
+        F.col("name"), b["x1"], b["y1"], b["x2"], b["y2"]
+    )
+    page = F.concat(
+        F.lit("<annotation><size><width>640</width><height>480</height><depth>3</depth></size>"), F.array_join(F.transform("bboxes", thing), ""),
+        F.lit("</annotation>")
+    )
     put_each(nation(spark, sf), F.concat("_id", F.lit(".xml")), page, root := scratch(spark, "voc"))
     return _sums(A.voc(spark, root), F.get("classes", F.lit(0)).alias("name"), F.get("size", F.lit(0)).alias("width"))
 
@@ -296,7 +366,10 @@ def source_ocr_detection(spark, sf):
 @query("source_icdar", f"WITH {_NATION} SELECT {_SUM}, name || ',' || name AS text FROM o")
 def source_icdar(spark, sf):
     line = lambda b: F.concat_ws(",", *[b[k].cast("int").cast("string") for k in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")], F.col("name"))
-    put_each(nation(spark, sf), F.concat("_id", F.lit(".txt")), F.concat(F.array_join(F.transform("bboxes", line), "\n"), F.lit("\n1,1,2,1,2,2,1,2,###")), root := scratch(spark, "icdar"))
+    put_each(
+        nation(spark, sf), F.concat("_id", F.lit(".txt")), F.concat(F.array_join(F.transform("bboxes", line), "\n"), F.lit("\n1,1,2,1,2,2,1,2,###")),
+        root := scratch(spark, "icdar")
+    )
     return _sums(A.icdar(spark, root), F.array_join("text", ",").alias("text"))
 
 
@@ -309,7 +382,10 @@ def source_table_chunks(spark, sf):
 
 @query("source_facades", f"WITH {_NATION} SELECT {_SUM}, c FROM o")
 def source_facades(spark, sf):
-    thing = lambda b: F.format_string("<object><points><x>%.0f</x><x>%.0f</x><y>%.0f</y><y>%.0f</y></points><label>%d</label></object>", b["y1"], b["y2"], b["x1"], b["x2"], F.col("c") + 1)
+    thing = lambda b: F.format_string(
+        "<object><points><x>%.0f</x><x>%.0f</x><y>%.0f</y><y>%.0f</y></points><label>%d</label></object>", b["y1"], b["y2"], b["x1"], b["x2"],
+        F.col("c") + 1
+    )
     put_each(nation(spark, sf), F.concat("_id", F.lit(".xml")), F.array_join(F.transform("bboxes", thing), "\n"), root := scratch(spark, "facades"))
     return _sums(A.facades(spark, root), _class())
 
@@ -317,7 +393,10 @@ def source_facades(spark, sf):
 @query("source_tables_html", f"WITH {_NATION} SELECT {_SUM}, name || ',' || name AS text, 'train' AS split FROM o")
 def source_tables_html(spark, sf):
     cell = lambda b: F.struct(F.split("name", "").alias("tokens"), F.array(b["x1"], b["y1"], b["x2"], b["y2"]).alias("bbox"))
-    page = F.struct(F.concat("_id", F.lit(".png")).alias("filename"), F.lit("train").alias("split"), F.struct(F.struct(F.array(F.lit("<td>")).alias("tokens")).alias("structure"), F.transform("bboxes", cell).alias("cells")).alias("html"))
+    page = F.struct(
+        F.concat("_id", F.lit(".png")).alias("filename"), F.lit("train").alias("split"),
+        F.struct(F.struct(F.array(F.lit("<td>")).alias("tokens")).alias("structure"), F.transform("bboxes", cell).alias("cells")).alias("html")
+    )
     put(nation(spark, sf), F.to_json(page), root := scratch(spark, "tables"))
     return _sums(A.tables_html(spark, root), F.array_join("text", ",").alias("text"), "split")
 
@@ -413,7 +492,9 @@ def source_attributes(spark, sf):
         more = [F.col("k") % 3] if f == "part" else [] if f == "attr" else [F.col("n")]
         put(d, F.format_string(cells, "k", *more), f"{root}/{f}", "count" if f in ("attr", "box") else None)
     first = lambda c: F.get(c, F.lit(0)).cast("long")
-    return A.attributes(spark, root, "part", "id", "attr", "box", "marks").select("_id", "split", first("identity").alias("identity"), F.size("attr").cast("int").alias("attrs"), first("bbox").alias("x"))
+    return A.attributes(spark, root, "part", "id", "attr", "box", "marks").select(
+        "_id", "split", first("identity").alias("identity"), F.size("attr").cast("int").alias("attrs"), first("bbox").alias("x")
+    )
 
 
 @query("cache_round_trip", f"WITH {_PART} SELECT k, a, s AS split FROM p")
@@ -430,7 +511,10 @@ def generate_records(spark, sf):
     """Hooks in order: filter, parse (which empties some records), convert, filter."""
     gone = F.col("p_partkey") % 7 == 0
     parse = lambda d: d.select(F.when(~gone, F.col("p_partkey")).alias("k"), F.when(gone, "").otherwise(F.col("p_name")).alias("name"))
-    return pipeline.generate(spark.read.parquet(f"{sf}/part.parquet"), parse, start_filter="p_size > 10", end_convert=lambda d: d.withColumn("name", F.upper("name")), end_filter="length(name) > 3")
+    return pipeline.generate(
+        spark.read.parquet(f"{sf}/part.parquet"), parse, start_filter="p_size > 10", end_convert=lambda d: d.withColumn("name", F.upper("name")),
+        end_filter="length(name) > 3"
+    )
 
 
 _register_nli()

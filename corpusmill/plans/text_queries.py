@@ -25,20 +25,35 @@ def clean_blank(spark, sf):
     return docs(spark, sf).select("doc_id", clean.drop_blanks(F.col("text")).alias("text"))
 
 
-@query("clean_duplicate_blank", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([^\x00-\x7F])[ \t]+', '\1', 'g'), '([ \t])[ \t]+', '\1', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents")
+@query(
+    "clean_duplicate_blank",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([^\x00-\x7F])[ \t]+', '\1', 'g'),
+'([ \t])[ \t]+', '\1', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
+FROM documents"""
+)
 def clean_duplicate_blank(spark, sf):
     return docs(spark, sf).select("doc_id", clean.collapse_blanks(F.col("text")).alias("text"))
 
 
-@query("clean_short", "SELECT doc_id, CASE WHEN length(text) >= 200 THEN text ELSE '' END AS text, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 80) AS long_lines FROM documents")
+@query(
+    "clean_short",
+    "SELECT doc_id, CASE WHEN length(text) >= 200 THEN text ELSE '' END AS text, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 80) AS long_lines FROM documents"
+)
 def clean_short(spark, sf):
     return docs(spark, sf).select("doc_id", clean.drop_short(F.col("text"), 200).alias("text"), clean.keep_long(split.to_paragraphs(F.col("text")), 80).alias("long_lines"))
 
 
-@query("clean_pattern", r"SELECT doc_id, regexp_replace(text, '[0-9]+|[#*%$&]', '', 'g') AS dropped, array_to_string(regexp_extract_all(text, '[A-Za-z]+'), '') AS kept, lower(text) AS lowered FROM documents")
+@query(
+    "clean_pattern",
+    r"""SELECT doc_id, regexp_replace(text, '[0-9]+|[#*%$&]', '', 'g') AS dropped, array_to_string(regexp_extract_all(text,
+  '[A-Za-z]+'), '') AS kept, lower(text) AS lowered FROM documents"""
+)
 def clean_pattern(spark, sf):
     t = F.col("text")
-    return docs(spark, sf).select("doc_id", clean.drop_patterns(t, "[0-9]+", "[#*%$&]").alias("dropped"), clean.keep_patterns(t, clean.PATTERNS["en"]).alias("kept"), clean.lower(t).alias("lowered"))
+    return docs(spark, sf).select(
+        "doc_id", clean.drop_patterns(t, "[0-9]+", "[#*%$&]").alias("dropped"), clean.keep_patterns(t, clean.PATTERNS["en"]).alias("kept"),
+        clean.lower(t).alias("lowered")
+    )
 
 
 @query("strip_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")
@@ -51,9 +66,14 @@ def spell_numbers(spark, sf):
     return docs(spark, sf).select("doc_id", clean.spell_numbers(F.col("text"), "en").alias("en"), clean.spell_numbers(F.col("text"), "zh").alias("zh"))
 
 
-@query("split_paragraphs", "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) || chr(10) AS line FROM documents")
+@query(
+    "split_paragraphs",
+    "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) || chr(10) AS line FROM documents"
+)
 def split_paragraphs(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(split.to_paragraphs(F.col("text"), keep_sep=True)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    return docs(spark, sf).select(
+        "doc_id", F.posexplode(split.to_paragraphs(F.col("text"), keep_sep=True)).alias("line_no", "line")
+    ).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query("split_words", r"SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM documents")
@@ -61,7 +81,12 @@ def split_words(spark, sf):
     return docs(spark, sf).select("doc_id", split.shallow_split(F.col("text")).alias("words"))
 
 
-@query("split_punctuation", r"SELECT doc_id, flatten(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda w: regexp_extract_all(w, '[!-/:-@\[-`{-~]|[^!-/:-@\[-`{-~]+'))) AS words FROM documents")
+@query(
+    "split_punctuation",
+    r"""SELECT doc_id, flatten(list_transform(list_filter(regexp_split_to_array(text, '\s+'),
+lambda x: x <> ''), lambda w: regexp_extract_all(w, '[!-/:-@\[-`{-~]|[^!-/:-@\[-`{-~]+'))) AS words
+FROM documents"""
+)
 def split_punctuation(spark, sf):
     return docs(spark, sf).select("doc_id", split.to_segment(F.col("text")).alias("words"))
 
@@ -87,12 +112,20 @@ def chunk_window(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(c).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query("chunk_fixed", "SELECT doc_id, unnest(range(CAST(length(text) // 512 AS BIGINT) + 1)) AS chunk_no, unnest(list_transform(range(CAST(length(text) // 512 AS BIGINT) + 1), lambda i: substring(text, i * 512 + 1, 512))) AS chunk FROM documents")
+@query(
+    "chunk_fixed",
+    """SELECT doc_id, unnest(range(CAST(length(text) // 512 AS BIGINT) + 1)) AS chunk_no, unnest(list_transform(range(CAST(length(text) // 512 AS BIGINT) + 1),
+lambda i: substring(text, i * 512 + 1, 512))) AS chunk FROM documents"""
+)
 def chunk_fixed(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(chunk.fixed(F.col("text"))).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query("chunk_overlapped", "SELECT doc_id, unnest(range(CAST(length(text) // 410 AS BIGINT) + 1)) AS chunk_no, unnest(list_transform(range(CAST(length(text) // 410 AS BIGINT) + 1), lambda i: substring(text, i * 410 + 1, 512))) AS chunk FROM documents")
+@query(
+    "chunk_overlapped",
+    """SELECT doc_id, unnest(range(CAST(length(text) // 410 AS BIGINT) + 1)) AS chunk_no, unnest(list_transform(range(CAST(length(text) // 410 AS BIGINT) + 1),
+lambda i: substring(text, i * 410 + 1, 512))) AS chunk FROM documents"""
+)
 def chunk_overlapped(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(chunk.fixed(F.col("text"), 512, 102)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
@@ -119,7 +152,10 @@ def chunk_retention(spark, sf):
 
 @query("chunk_random_retention")
 def chunk_random_retention(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(chunk.random_retention(split.to_paragraphs(F.col("text"), keep_sep=True), F.col("doc_id"), 512, 3)).alias("chunk_no", "chunk"))
+    return docs(spark, sf).select(
+        "doc_id",
+        F.posexplode(chunk.random_retention(split.to_paragraphs(F.col("text"), keep_sep=True), F.col("doc_id"), 512, 3)).alias("chunk_no", "chunk")
+    )
 
 
 _STOPS = r"。.!?！？\];；,，、》）}"
@@ -144,7 +180,9 @@ def chunk_tokens(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(chunk.token_retention(split.to_segment(F.col("text")), 64)).alias("chunk_no", "tokens"))
 
 
-_CUM = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w), "
+_CUM = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'),
+lambda x: x <> '') AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
+FROM w), """
 
 
 @query(
@@ -172,7 +210,10 @@ def truncate_two(spark, sf):
 @query("truncate_pieces")
 def truncate_pieces(spark, sf):
     d = docs(spark, sf).withColumn("w", split.shallow_split(F.col("text")))
-    return d.select("doc_id", chunk.middle(F.col("w"), 128).alias("middle"), chunk.two_pieces(F.col("w"), 128).alias("two"), chunk.three_pieces(F.col("w"), 128).alias("three"), chunk.k_heads(F.col("w"), 128).alias("k"))
+    return d.select(
+        "doc_id", chunk.middle(F.col("w"), 128).alias("middle"), chunk.two_pieces(F.col("w"), 128).alias("two"),
+        chunk.three_pieces(F.col("w"), 128).alias("three"), chunk.k_heads(F.col("w"), 128).alias("k")
+    )
 
 
 @query("word_counts", _CUM + "z AS (SELECT 1) SELECT w AS word, count(*) AS n FROM e GROUP BY w")
@@ -216,13 +257,21 @@ def align_auto(spark, sf):
     return encode.align(d, "tokens", "auto", 64, "source", "[CLS]", "[SEP]", "[PAD]").select("doc_id", "tokens")
 
 
-@query("align_max", """SELECT doc_id, list_concat(t, list_transform(range(64 - len(t)), lambda i: '[PAD]')) AS tokens FROM (SELECT doc_id, list_concat(['[CLS]'], list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ['[SEP]'])[1:64] AS t FROM documents)""")
+@query(
+    "align_max",
+    """SELECT doc_id, list_concat(t, list_transform(range(64 - len(t)),
+lambda i: '[PAD]')) AS tokens FROM (SELECT doc_id, list_concat(['[CLS]'], list_filter(regexp_split_to_array(text,
+  '\\s+'), lambda x: x <> ''), ['[SEP]'])[1:64] AS t FROM documents)"""
+)
 def align_max(spark, sf):
     d = docs(spark, sf).select("doc_id", split.shallow_split(F.col("text")).alias("tokens"))
     return encode.align(d, "tokens", "max", 64, None, "[CLS]", "[SEP]", "[PAD]")
 
 
-@query("segment_numbers", "SELECT doc_id, flatten(list_transform(string_split(text, '.'), lambda x, j: list_transform(range(length(x) + 1), lambda i: j - 1)))[1:length(text)] AS numbers FROM documents")
+@query(
+    "segment_numbers",
+    "SELECT doc_id, flatten(list_transform(string_split(text, '.'), lambda x, j: list_transform(range(length(x) + 1), lambda i: j - 1)))[1:length(text)] AS numbers FROM documents"
+)
 def segment_numbers(spark, sf):
     """Sentence numbers of all characters of each text."""
     return docs(spark, sf).select("doc_id", F.transform(encode.segment_numbers(F.split("text", "", -1), "."), lambda x: x.cast("long")).alias("numbers"))
@@ -233,14 +282,30 @@ def one_hot(spark, sf):
     return _read(spark, sf, "supplier").select("s_suppkey", F.get(encode.one_hot(F.array("s_nationkey"), 25), F.lit(0)).alias("row"))
 
 
-@query("char_map", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), e AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pid, unnest(ps) AS p FROM l), o AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e) SELECT doc_id, count(*) FILTER (WHERE length(p) > 0) AS paragraphs, CAST(sum(length(p)) AS BIGINT) AS chars, CAST(sum(CASE WHEN length(p) > 0 THEN b * length(p) + length(p) * (length(p) - 1) // 2 ELSE 0 END) AS BIGINT) AS acid_sum, CAST(sum(pid * length(p)) AS BIGINT) AS pid_sum FROM o GROUP BY doc_id HAVING sum(length(p)) > 0")
+@query(
+    "char_map",
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
+e AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pid, unnest(ps) AS p
+FROM l), o AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+0) AS b FROM e) SELECT doc_id, count(*) FILTER (WHERE length(p) > 0) AS paragraphs, CAST(sum(length(p)) AS BIGINT) AS chars,
+  CAST(sum(CASE WHEN length(p) > 0 THEN b * length(p) + length(p) * (length(p) - 1) // 2 ELSE 0 END) AS BIGINT) AS acid_sum,
+  CAST(sum(pid * length(p)) AS BIGINT) AS pid_sum FROM o GROUP BY doc_id HAVING sum(length(p)) > 0"""
+)
 def char_map(spark, sf):
     """Sums over the table of character coordinates."""
     t = idmap.char_table(docs(spark, sf).select("doc_id", split.to_paragraphs(F.col("text")).alias("p")), "doc_id", "p")
-    return t.groupBy("doc_id").agg(F.countDistinct("pid").alias("paragraphs"), F.count("*").alias("chars"), F.sum("acid").cast("long").alias("acid_sum"), F.sum("pid").cast("long").alias("pid_sum"))
+    return t.groupBy("doc_id").agg(
+        F.countDistinct("pid").alias("paragraphs"), F.count("*").alias("chars"), F.sum("acid").cast("long").alias("acid_sum"),
+        F.sum("pid").cast("long").alias("pid_sum")
+    )
 
 
-@query("paragraph_chunk_map", "WITH l AS (SELECT doc_id, replace(text, chr(10), '') AS t FROM documents) SELECT doc_id, length(t) AS chars, CAST(length(t) // 512 + CASE WHEN length(t) % 512 > 0 THEN 1 ELSE 0 END AS BIGINT) AS chunks FROM l WHERE length(t) > 0")
+@query(
+    "paragraph_chunk_map",
+    """WITH l AS (SELECT doc_id, replace(text, chr(10), '') AS t FROM documents)
+SELECT doc_id, length(t) AS chars, CAST(length(t) // 512 + CASE WHEN length(t) % 512 > 0 THEN 1 ELSE 0 END AS BIGINT) AS chunks
+FROM l WHERE length(t) > 0"""
+)
 def paragraph_chunk_map(spark, sf):
     """Characters matched and chunks reached by the join of paragraph and chunk coordinates."""
     d = docs(spark, sf).select("doc_id", split.to_paragraphs(F.col("text")).alias("p"))
@@ -257,7 +322,10 @@ def random_mask(spark, sf):
 
 @query("bert_encode")
 def bert_encode(spark, sf):
-    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *"abcdefghijklmnopqrstuvwxyz0123456789.,!#%&*$|", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"], "the", "and", "of", "##tion", "##ing"]
+    words = [
+        "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *"abcdefghijklmnopqrstuvwxyz0123456789.,!#%&*$|",
+        *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"], "the", "and", "of", "##tion", "##ing"
+    ]
     return tokenizers.bert(docs(spark, sf).select("doc_id", "text"), "text", {w: i for i, w in enumerate(words)}, 128)
 
 
@@ -284,7 +352,13 @@ def llama_prompt(spark, sf):
     return c.where(tokenizers.llama_valid(F.col("messages"))).select("conv_id", tokenizers.llama_prompt(F.col("messages")).alias("prompt"))
 
 
-@query("llama_rejected", f"""WITH {_TURNS}, t AS (SELECT conv_id, list_filter(m, lambda x: x.role <> 'system') AS m FROM m) SELECT conv_id, len(m) AS turns FROM t WHERE NOT (len(m) > 0 AND m[len(m)].role = 'user' AND len(list_filter(list_transform(m, lambda x, i: (x.role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)), lambda b: NOT b)) = 0)""")
+@query(
+    "llama_rejected",
+    f"""WITH {_TURNS}, t AS (SELECT conv_id, list_filter(m, lambda x: x.role <> 'system') AS m
+FROM m) SELECT conv_id, len(m) AS turns FROM t WHERE NOT (len(m) > 0 AND m[len(m)].role = 'user' AND len(list_filter(list_transform(m,
+  lambda x, i: (x.role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)),
+lambda b: NOT b)) = 0)"""
+)
 def llama_rejected(spark, sf):
     """Conversations that the template does not accept, found by an anti-join."""
     c = tokenizers.conversations(_read(spark, sf, "conversations"))
@@ -297,12 +371,20 @@ def prompt_weights(spark, sf):
     return docs(spark, sf).select("doc_id", tokenizers.weighted_prompt(F.col("text")).alias("parts"))
 
 
-@query("split_sets", "WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT 1 AS ok, count(*) AS groups, CAST(sum(n) AS BIGINT) AS docs, CAST(floor(0.8 * count(*)) AS BIGINT) AS train_groups FROM s")
+@query(
+    "split_sets",
+    """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT 1 AS ok, count(*) AS groups, CAST(sum(n) AS BIGINT) AS docs, CAST(floor(0.8 * count(*)) AS BIGINT) AS train_groups
+FROM s"""
+)
 def split_sets(spark, sf):
     """Sizes of a grouped split: no source is cut in two."""
     d = pipeline.split_sets(docs(spark, sf).select("doc_id", "source"), "source")
     g = d.groupBy("source").agg(F.count_distinct("split").alias("parts"), F.count("*").alias("n"), F.min("split").alias("split"))
-    return g.agg(F.max("parts").cast("int").alias("ok"), F.count("*").alias("groups"), F.sum("n").alias("docs"), F.sum((F.col("split") == "train").cast("long")).alias("train_groups"))
+    return g.agg(
+        F.max("parts").cast("int").alias("ok"), F.count("*").alias("groups"), F.sum("n").alias("docs"),
+        F.sum((F.col("split") == "train").cast("long")).alias("train_groups")
+    )
 
 
 @query("labelled_documents", "SELECT d.doc_id, source, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'en'")
@@ -323,13 +405,24 @@ def target_encode(spark, sf):
     return encode.target_encode(d, "lang", "toxic").withColumn("value", F.round("value", 9))
 
 
-@query("leave_one_out", "WITH d AS (SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id)), s AS (SELECT lang, sum(toxic) AS s, count(*) AS n FROM d GROUP BY lang) SELECT doc_id, CASE WHEN n > 1 THEN round((s - toxic) / (n - 1), 9) END AS value FROM d JOIN s USING (lang)")
+@query(
+    "leave_one_out",
+    """WITH d AS (SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT lang, sum(toxic) AS s, count(*) AS n FROM d GROUP BY lang)
+SELECT doc_id, CASE WHEN n > 1 THEN round((s - toxic) / (n - 1),
+9) END AS value FROM d JOIN s USING (lang)"""
+)
 def leave_one_out(spark, sf):
     d = docs(spark, sf).select("doc_id", "lang").join(_read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
     return encode.leave_one_out(d, "lang", "toxic").select("doc_id", F.round("value", 9).alias("value"))
 
 
-@query("weight_of_evidence", "WITH d AS (SELECT lang, toxic FROM documents JOIN labels USING (doc_id)), t AS (SELECT sum(toxic) AS a, sum(1 - toxic) AS b FROM d) SELECT lang, round(ln(((sum(toxic) + 0.5) / (any_value(a) + 0.5)) / ((sum(1 - toxic) + 0.5) / (any_value(b) + 0.5))), 9) AS value FROM d, t GROUP BY lang")
+@query(
+    "weight_of_evidence",
+    """WITH d AS (SELECT lang, toxic FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT sum(toxic) AS a, sum(1 - toxic) AS b FROM d) SELECT lang, round(ln(((sum(toxic) + 0.5) / (any_value(a) + 0.5)) / ((sum(1 - toxic) + 0.5) / (any_value(b) + 0.5))),
+9) AS value FROM d, t GROUP BY lang"""
+)
 def weight_of_evidence(spark, sf):
     d = docs(spark, sf).select("doc_id", "lang").join(_read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
     return encode.weight_of_evidence(d, "lang", "toxic").withColumn("value", F.round("value", 9))

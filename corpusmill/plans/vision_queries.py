@@ -8,7 +8,9 @@ from ..operators import audio, boxes, image
 from ..operators.pipeline import random_apply
 from .registry import query
 
-_BOX = "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity * 10) AS DOUBLE) AS x1, CAST(l_linenumber * 40 AS DOUBLE) AS y1, CAST(trunc(l_quantity * 10 + 50 + l_discount * 100) AS DOUBLE) AS x2, CAST(trunc(l_linenumber * 40 + 30 + l_tax * 100) AS DOUBLE) AS y2, CAST(l_suppkey % 10 AS INTEGER) AS c FROM lineitem"
+_BOX = """SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity * 10) AS DOUBLE) AS x1, CAST(l_linenumber * 40 AS DOUBLE) AS y1,
+  CAST(trunc(l_quantity * 10 + 50 + l_discount * 100) AS DOUBLE) AS x2, CAST(trunc(l_linenumber * 40 + 30 + l_tax * 100) AS DOUBLE) AS y2,
+  CAST(l_suppkey % 10 AS INTEGER) AS c FROM lineitem"""
 
 
 def flat(spark, sf):
@@ -16,15 +18,26 @@ def flat(spark, sf):
     d = spark.read.parquet(f"{sf}/lineitem.parquet")
     t = lambda c: c.cast("long").cast("double")
     q, n = F.col("l_quantity") * 10, F.col("l_linenumber") * 40
-    return d.select("l_orderkey", "l_linenumber", boxes.box(t(q), n.cast("double"), t(q + 50 + F.col("l_discount") * 100), t(n + 30 + F.col("l_tax") * 100)).alias("b"), (F.col("l_suppkey") % 10).cast("int").alias("c"))
+    return d.select(
+        "l_orderkey", "l_linenumber",
+        boxes.box(t(q), n.cast("double"), t(q + 50 + F.col("l_discount") * 100), t(n + 30 + F.col("l_tax") * 100)).alias("b"),
+        (F.col("l_suppkey") % 10).cast("int").alias("c")
+    )
 
 
 def _one(spark, sf, f, *more):
     """f on single boxes, by order line."""
-    return flat(spark, sf).select("l_orderkey", "l_linenumber", F.get(f(F.array("b")), F.lit(0)).alias("r"), *more).select("l_orderkey", "l_linenumber", *[F.round(f"r.{k}", 6).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return flat(spark, sf).select("l_orderkey", "l_linenumber", F.get(f(F.array("b")), F.lit(0)).alias("r"), *more).select(
+        "l_orderkey", "l_linenumber", *[F.round(f"r.{k}", 6).alias(k) for k in ("x1", "y1", "x2", "y2")]
+    )
 
 
-@query("box_groups", f"WITH b AS ({_BOX}), g AS (SELECT l_orderkey, count(*) AS n, CAST(sum(x1) AS BIGINT) AS sx FROM b GROUP BY l_orderkey) SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(sx, 0) AS sx FROM orders LEFT JOIN g ON l_orderkey = o_orderkey")
+@query(
+    "box_groups",
+    f"""WITH b AS ({_BOX}), g AS (SELECT l_orderkey, count(*) AS n, CAST(sum(x1) AS BIGINT) AS sx
+FROM b GROUP BY l_orderkey) SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(sx, 0) AS sx
+FROM orders LEFT JOIN g ON l_orderkey = o_orderkey"""
+)
 def box_groups(spark, sf):
     """Images left-joined with their grouped boxes."""
     g = flat(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("b.x1").cast("long").alias("sx"))
@@ -73,7 +86,10 @@ def box_crop(spark, sf):
     win = F.struct(F.lit(100).alias("x1"), F.lit(400).alias("x2"), F.lit(50).alias("y1"), F.lit(250).alias("y2"))
     r = g.select("l_orderkey", boxes.crop(F.col("b"), F.col("c"), win).alias("r"))
     total = F.aggregate("r.bboxes", F.lit(0.0), lambda a, x: a + x["x1"] + x["y1"] + x["x2"] + x["y2"])
-    return r.select("l_orderkey", F.size("r.bboxes").cast("long").alias("kept"), F.size("r.dropped").cast("long").alias("dropped"), total.cast("long").alias("coords"), F.aggregate("r.classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("classes"))
+    return r.select(
+        "l_orderkey", F.size("r.bboxes").cast("long").alias("kept"), F.size("r.dropped").cast("long").alias("dropped"),
+        total.cast("long").alias("coords"), F.aggregate("r.classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("classes")
+    )
 
 
 @query("box_scale", f"WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, trunc(x1 * 0.65) AS x1, trunc(y1 * 0.65) AS y1, trunc(x2 * 0.65) AS x2, trunc(y2 * 0.65) AS y2 FROM b")
@@ -82,7 +98,10 @@ def box_scale(spark, sf):
     return _one(spark, sf, lambda b: boxes.scale(b, boxes.proportion(F.lit(640), F.lit(480), 416, 416)))
 
 
-@query("box_letterbox", f"WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, trunc(x1 * 0.65) AS x1, trunc(y1 * 0.65) + 52 AS y1, trunc(x2 * 0.65) AS x2, trunc(y2 * 0.65) + 52 AS y2 FROM b")
+@query(
+    "box_letterbox",
+    f"WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, trunc(x1 * 0.65) AS x1, trunc(y1 * 0.65) + 52 AS y1, trunc(x2 * 0.65) AS x2, trunc(y2 * 0.65) + 52 AS y2 FROM b"
+)
 def box_letterbox(spark, sf):
     return _one(spark, sf, lambda b: boxes.letterbox(b, boxes.letterbox_params(F.lit(640), F.lit(480), 416, 416)))
 
@@ -96,17 +115,28 @@ def box_iou(spark, sf):
     """Boxes of one image that overlap when laid to the same top."""
     d = flat(spark, sf).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "b")).alias("g"))
     top = lambda c: F.get(boxes.shift(F.array(c), F.lit(0.0), -c["y1"]), F.lit(0))
-    each = d.select("l_orderkey", "g", F.explode("g").alias("p")).select("l_orderkey", "p", F.explode(F.filter("g", lambda q: q["l_linenumber"] > F.col("p.l_linenumber"))).alias("q"))
+    each = d.select("l_orderkey", "g", F.explode("g").alias("p")).select(
+        "l_orderkey", "p", F.explode(F.filter("g", lambda q: q["l_linenumber"] > F.col("p.l_linenumber"))).alias("q")
+    )
     iou = F.round(boxes.iou(top(F.col("p.b")), top(F.col("q.b"))), 9)
     return each.select("l_orderkey", F.col("p.l_linenumber").alias("i"), F.col("q.l_linenumber").alias("j"), iou.alias("iou")).where("iou > 0")
 
 
-@query("box_mosaic", f"WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, x1 - 320 AS x1, y1 - 100 AS y1, x2 - 320 AS x2, y2 - 100 AS y2 FROM b WHERE x1 > 320 AND y1 > 100 AND x2 > 320 AND y2 > 100")
+@query(
+    "box_mosaic",
+    f"""WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, x1 - 320 AS x1, y1 - 100 AS y1, x2 - 320 AS x2, y2 - 100 AS y2
+FROM b WHERE x1 > 320 AND y1 > 100 AND x2 > 320 AND y2 > 100"""
+)
 def box_mosaic(spark, sf):
     return _one(spark, sf, lambda b: boxes.mosaic(b, F.lit(-320.0), F.lit(-100.0), F.lit(640.0), F.lit(480.0))).where("x1 is not null")
 
 
-@query("box_yolo", f"WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, round((x1 + (x2 - x1) / 2) / 640, 9) AS x, round((y1 + (y2 - y1) / 2) / 480, 9) AS y, round((x2 - x1) / 640, 9) AS w, round((y2 - y1) / 480, 9) AS h FROM b")
+@query(
+    "box_yolo",
+    f"""WITH b AS ({_BOX}) SELECT l_orderkey, l_linenumber, round((x1 + (x2 - x1) / 2) / 640, 9) AS x, round((y1 + (y2 - y1) / 2) / 480,
+  9) AS y, round((x2 - x1) / 640, 9) AS w, round((y2 - y1) / 480, 9) AS h
+FROM b"""
+)
 def box_yolo(spark, sf):
     """Centres and sizes in shares of the image."""
     q = boxes.xyxy_to_xywh(F.col("b"), True, 640, 480)
@@ -133,7 +163,13 @@ def audio_frames(spark, sf):
     return _wave(spark, sf).select("vec_id", audio.frames(F.col("v"), 16, 8).alias("frames"))
 
 
-@query("audio_stack", "WITH f AS (SELECT vec_id, list_transform(range(8), lambda i: CAST(embedding AS DOUBLE[])[i * 8 + 1 : i * 8 + 8]) AS f FROM embeddings) SELECT vec_id, list_transform(range(2), lambda k: flatten(list_transform(range(7), lambda j: f[least(greatest(k * 6 + j - 3, 0), 7) + 1]))) AS rows FROM f")
+@query(
+    "audio_stack",
+    """WITH f AS (SELECT vec_id, list_transform(range(8), lambda i: CAST(embedding AS DOUBLE[])[i * 8 + 1 : i * 8 + 8]) AS f
+FROM embeddings) SELECT vec_id, list_transform(range(2), lambda k: flatten(list_transform(range(7),
+lambda j: f[least(greatest(k * 6 + j - 3, 0), 7) + 1]))) AS rows
+FROM f"""
+)
 def audio_stack(spark, sf):
     d = _wave(spark, sf).withColumn("f", audio.frames(F.col("v"), 8, 8))
     return d.select("vec_id", audio.stack_frames(F.col("f")).alias("rows"))

@@ -73,10 +73,15 @@ def coco(spark, path: str) -> DataFrame:
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", s).alias("d"))
     image = doc.select(F.explode("d.images").alias("i")).select("i.*")
     b = F.col("a.bbox")
-    note = doc.select(F.explode("d.annotations").alias("a")).select(F.col("a.image_id").alias("id"), F.struct(B.xywh_to_xyxy(b[0], b[1], b[2], b[3]).alias("b"), F.col("a.category_id").alias("c")).alias("n"))
+    note = doc.select(F.explode("d.annotations").alias("a")).select(
+        F.col("a.image_id").alias("id"), F.struct(B.xywh_to_xyxy(b[0], b[1], b[2], b[3]).alias("b"), F.col("a.category_id").alias("c")).alias("n")
+    )
     got = note.groupBy("id").agg(F.array_sort(F.collect_list("n")).alias("n"))
     out = image.join(got, "id", "left").withColumn("n", F.coalesce("n", F.array().cast(got.schema["n"].dataType)))
-    return out.select(F.col("id").alias("_id"), F.col("file_name").alias("file"), F.array("width", "height").alias("size"), F.transform("n", lambda x: x["b"]).alias("bboxes"), F.transform("n", lambda x: x["c"]).alias("classes"))
+    return out.select(
+        F.col("id").alias("_id"), F.col("file_name").alias("file"), F.array("width", "height").alias("size"),
+        F.transform("n", lambda x: x["b"]).alias("bboxes"), F.transform("n", lambda x: x["c"]).alias("classes")
+    )
 
 
 def voc(spark, path: str, classes: list[str] | None = None) -> DataFrame:
@@ -86,25 +91,41 @@ def voc(spark, path: str, classes: list[str] | None = None) -> DataFrame:
     z = F.arrays_zip(*[num(f"//object/bndbox/{k}").alias(k) for k in ("xmin", "ymin", "xmax", "ymax")])
     names = F.xpath("x", F.lit("//object/name/text()"))
     return d.select(
-        "_id", F.array(F.xpath_int("x", F.lit("//size/width")), F.xpath_int("x", F.lit("//size/height")), F.xpath_int("x", F.lit("//size/depth"))).alias("size"), F.transform(z, lambda v: B.box(v["xmin"], v["ymin"], v["xmax"], v["ymax"])).alias("bboxes"),
-        (F.transform(names, lambda n: label_index(n, classes, False)) if classes else names).alias("classes"), F.transform(F.xpath("x", F.lit("//object/difficult/text()")), lambda v: v.cast("int")).alias("difficult"),
+        "_id", F.array(
+            F.xpath_int("x", F.lit("//size/width")), F.xpath_int("x", F.lit("//size/height")), F.xpath_int("x", F.lit("//size/depth"))
+        ).alias("size"), F.transform(z, lambda v: B.box(v["xmin"], v["ymin"], v["xmax"], v["ymax"])).alias("bboxes"),
+        (
+            F.transform(names, lambda n: label_index(n, classes, False)) if classes else names
+        ).alias("classes"), F.transform(F.xpath("x", F.lit("//object/difficult/text()")), lambda v: v.cast("int")).alias("difficult"),
     )
 
 
 def yolo(spark, labels: str, width: Column | float = 1.0, height: Column | float = 1.0) -> DataFrame:
     """Label files ``class cx cy w h`` in shares of the image: one row a file. Images without a file are found by an anti-join."""
-    d = lines(spark, labels).where(F.trim("value") != "").select(stem_of(F.col("_file")).alias("_id"), F.transform(F.split(F.trim("value"), r"\s+"), lambda v: v.cast("double")).alias("f"))
+    d = lines(spark, labels).where(F.trim("value") != "").select(
+        stem_of(F.col("_file")).alias("_id"), F.transform(F.split(F.trim("value"), r"\s+"), lambda v: v.cast("double")).alias("f")
+    )
     b = B.xywh_to_xyxy(F.col("f")[1], F.col("f")[2], F.col("f")[3], F.col("f")[4], True, width, height)
-    return d.groupBy("_id").agg(F.collect_list(F.struct(b.alias("b"), F.col("f")[0].cast("int").alias("c"))).alias("n")).select("_id", F.transform("n", lambda x: x["b"]).alias("bboxes"), F.transform("n", lambda x: x["c"]).alias("classes"))
+    return d.groupBy("_id").agg(F.collect_list(F.struct(b.alias("b"), F.col("f")[0].cast("int").alias("c"))).alias("n")).select(
+        "_id", F.transform("n", lambda x: x["b"]).alias("bboxes"), F.transform("n", lambda x: x["c"]).alias("classes")
+    )
 
 
 def yolo_full(spark, labels: str) -> DataFrame:
     """Label files ``class x1 y1 x2 y2 conf w h`` in pixels."""
-    d = lines(spark, labels).where(F.trim("value") != "").select(stem_of(F.col("_file")).alias("_id"), F.transform(F.split(F.trim("value"), r"[\s,]+"), lambda v: v.cast("double")).alias("f"))
-    n = F.struct(B.box(*[F.col("f")[i] for i in (1, 2, 3, 4)]).alias("b"), F.col("f")[0].cast("int").alias("c"), F.col("f")[5].alias("conf"), F.col("f")[6].alias("w"), F.col("f")[7].alias("h"))
+    d = lines(spark, labels).where(F.trim("value") != "").select(
+        stem_of(F.col("_file")).alias("_id"), F.transform(F.split(F.trim("value"), r"[\s,]+"), lambda v: v.cast("double")).alias("f")
+    )
+    n = F.struct(
+        B.box(*[F.col("f")[i] for i in (1, 2, 3, 4)]).alias("b"), F.col("f")[0].cast("int").alias("c"), F.col("f")[5].alias("conf"),
+        F.col("f")[6].alias("w"), F.col("f")[7].alias("h")
+    )
     g = d.groupBy("_id").agg(F.collect_list(n).alias("n"))
     pick = lambda k, name: F.transform("n", lambda x: x[k]).alias(name)  # noqa: E731  (a second parameter of a lambda would be the index)
-    return g.select("_id", *[pick(k, v) for k, v in (("b", "bboxes"), ("c", "classes"), ("conf", "confs"))], F.get("n", F.lit(0))["w"].alias("width"), F.get("n", F.lit(0))["h"].alias("height"))
+    return g.select(
+        "_id", *[pick(k, v) for k, v in (("b", "bboxes"), ("c", "classes"), ("conf", "confs"))], F.get("n", F.lit(0))["w"].alias("width"),
+        F.get("n", F.lit(0))["h"].alias("height")
+    )
 
 
 def _polygons(c: Column) -> Column:
@@ -131,15 +152,23 @@ def ocr_recognition(spark, path: str, distilled: bool = False) -> DataFrame:
 
 def icdar(spark, path: str) -> DataFrame:
     """Lines ``x1,y1,...,x4,y4,text``; unreadable ones (###) are dropped; one row a file."""
-    d = lines(spark, path).where(F.trim("value") != "").select(stem_of(F.col("_file")).alias("_id"), F.split(F.regexp_replace("value", "^﻿", ""), ",", 9).alias("f")).where(F.get("f", F.lit(8)) != "###")
+    d = lines(spark, path).where(F.trim("value") != "").select(
+        stem_of(F.col("_file")).alias("_id"), F.split(F.regexp_replace("value", "^﻿", ""), ",", 9).alias("f")
+    ).where(F.get("f", F.lit(8)) != "###")
     p = F.array(*[F.struct(F.col("f")[2 * i].cast("double").alias("x"), F.col("f")[2 * i + 1].cast("double").alias("y")) for i in range(4)])
-    return d.groupBy("_id").agg(F.collect_list(F.struct(p.alias("p"), F.col("f")[8].alias("t"))).alias("n")).select("_id", F.transform("n", lambda x: x["p"]).alias("segmentations"), F.transform("n", lambda x: B.bounds(x["p"])).alias("bboxes"), F.transform("n", lambda x: x["t"]).alias("text"))
+    return d.groupBy("_id").agg(F.collect_list(F.struct(p.alias("p"), F.col("f")[8].alias("t"))).alias("n")).select(
+        "_id", F.transform("n", lambda x: x["p"]).alias("segmentations"), F.transform("n", lambda x: B.bounds(x["p"])).alias("bboxes"),
+        F.transform("n", lambda x: x["t"]).alias("text")
+    )
 
 
 def synth_words(spark, path: str) -> DataFrame:
     """Lines ``path number``; the text is the second part of the name."""
     d = lines(spark, path).select(F.split("value", r"\s+").alias("f"))
-    return d.select(stem_of(F.col("f")[0]).alias("_id"), F.col("f")[0].alias("path"), F.get(F.split(stem_of(F.col("f")[0]), "_"), F.lit(1)).alias("text"), F.col("f")[1].cast("int").alias("word"))
+    return d.select(
+        stem_of(F.col("f")[0]).alias("_id"), F.col("f")[0].alias("path"), F.get(F.split(stem_of(F.col("f")[0]), "_"), F.lit(1)).alias("text"),
+        F.col("f")[1].cast("int").alias("word")
+    )
 
 
 def attributes(spark, root: str, partition: str, identity: str, attr: str, bbox: str, landmarks: str) -> DataFrame:
@@ -158,13 +187,24 @@ def tables_html(spark, path: str) -> DataFrame:
     s = "struct<filename:string,split:string,html:struct<structure:struct<tokens:array<string>>,cells:array<struct<tokens:array<string>,bbox:array<double>>>>>"
     d = lines(spark, path).select(F.from_json("value", s).alias("e"))
     cells = F.filter("e.html.cells", lambda c: c["bbox"].isNotNull())
-    return d.select(stem_of(F.col("e.filename")).alias("_id"), F.col("e.split").alias("split"), F.col("e.html.structure.tokens").alias("structure"), F.transform(cells, lambda c: F.array_join(c["tokens"], "")).alias("text"), F.transform(cells, lambda c: B.box(c["bbox"][0], c["bbox"][1], c["bbox"][2], c["bbox"][3])).alias("bboxes"))
+    return d.select(
+        stem_of(F.col("e.filename")).alias("_id"), F.col("e.split").alias("split"), F.col("e.html.structure.tokens").alias("structure"),
+        F.transform(cells, lambda c: F.array_join(c["tokens"], "")).alias("text"),
+        F.transform(cells, lambda c: B.box(c["bbox"][0], c["bbox"][1], c["bbox"][2], c["bbox"][3])).alias("bboxes")
+    )
 
 
 def table_chunks(spark, path: str, page_height: float = 842.0) -> DataFrame:
     """Chunk files ``{chunks: [{pos: [x1, x2, y1, y2], text}]}`` with y up: boxes with y down."""
-    d = spark.read.text(path, wholetext=True).select(stem_of(F.col("_metadata.file_path")).alias("_id"), F.from_json("value", "struct<chunks:array<struct<pos:array<double>,text:string>>>").alias("e"))
-    return d.select("_id", F.transform("e.chunks", lambda c: B.box(c["pos"][0], page_height - c["pos"][3], c["pos"][1], page_height - c["pos"][2])).alias("bboxes"), F.transform("e.chunks", lambda c: c["text"]).alias("text"))
+    d = spark.read.text(path, wholetext=True).select(
+        stem_of(F.col("_metadata.file_path")).alias("_id"),
+        F.from_json("value", "struct<chunks:array<struct<pos:array<double>,text:string>>>").alias("e")
+    )
+    return d.select(
+        "_id",
+        F.transform("e.chunks", lambda c: B.box(c["pos"][0], page_height - c["pos"][3], c["pos"][1], page_height - c["pos"][2])).alias("bboxes"),
+        F.transform("e.chunks", lambda c: c["text"]).alias("text")
+    )
 
 
 def facades(spark, path: str) -> DataFrame:
@@ -173,7 +213,10 @@ def facades(spark, path: str) -> DataFrame:
     num = lambda p: F.transform(F.xpath("x", F.lit(p)), lambda v: F.trim(v).cast("double"))
     xs, ys, ls = num("//object/points/x/text()"), num("//object/points/y/text()"), num("//object/label/text()")
     k = F.sequence(F.lit(0), F.size(ls) - 1)
-    return d.select("_id", F.transform(k, lambda i: B.box(F.get(ys, i * 2), F.get(xs, i * 2), F.get(ys, i * 2 + 1), F.get(xs, i * 2 + 1))).alias("bboxes"), F.transform(ls, lambda v: (v - 1).cast("int")).alias("classes"))
+    return d.select(
+        "_id", F.transform(k, lambda i: B.box(F.get(ys, i * 2), F.get(xs, i * 2), F.get(ys, i * 2 + 1), F.get(xs, i * 2 + 1))).alias("bboxes"),
+        F.transform(ls, lambda v: (v - 1).cast("int")).alias("classes")
+    )
 
 
 _LS = "array<struct<id:string,data:map<string,string>,annotations:array<struct<result:array<struct<type:string,original_width:int,original_height:int,value:struct<x:double,y:double,width:double,height:double,points:array<array<double>>,rectanglelabels:array<string>,polygonlabels:array<string>,choices:array<string>,text:array<string>,labels:array<string>,start:double,end:double>>>>>>>"
@@ -185,13 +228,22 @@ def labelling_tasks(spark, path: str, key: str = "image") -> DataFrame:
     p = F.element_at("t.data", F.lit(key))
     name = stem_of(p)
     r = F.flatten(F.transform("t.annotations", lambda a: a["result"]))
-    return d.select(F.when(name.contains("-"), F.regexp_extract(name, r"^([^-]*)-", 1)).alias("sub_id"), F.regexp_replace(name, r"^[^-]*-", "").alias("_id"), p.alias("path"), r.alias("results"))
+    return d.select(
+        F.when(name.contains("-"), F.regexp_extract(name, r"^([^-]*)-", 1)).alias("sub_id"), F.regexp_replace(name, r"^[^-]*-", "").alias("_id"),
+        p.alias("path"), r.alias("results")
+    )
 
 
 def labelled_classes(spark, path: str, classes: list[str]) -> DataFrame:
     """Choices as class numbers."""
     d = labelling_tasks(spark, path)
-    return d.select("_id", "sub_id", "path", F.transform(F.flatten(F.transform(F.filter("results", lambda r: r["value"]["choices"].isNotNull()), lambda r: r["value"]["choices"])), lambda c: label_index(c, classes, False)).alias("classes"))
+    return d.select(
+        "_id", "sub_id", "path",
+        F.transform(
+            F.flatten(F.transform(F.filter("results", lambda r: r["value"]["choices"].isNotNull()), lambda r: r["value"]["choices"])),
+            lambda c: label_index(c, classes, False)
+        ).alias("classes")
+    )
 
 
 def labelled_boxes(spark, path: str) -> DataFrame:
@@ -200,8 +252,19 @@ def labelled_boxes(spark, path: str) -> DataFrame:
     rect, poly = F.filter("results", lambda r: r["value"]["rectanglelabels"].isNotNull()), F.filter("results", lambda r: r["value"]["polygonlabels"].isNotNull())
     px = lambda v, n: F.least(F.greatest(v * n / 100, F.lit(0.0)), n.cast("double"))
     return d.select(
-        "_id", "sub_id", "path", F.transform(rect, lambda r: B.xywh_to_xyxy(r["value"]["x"], r["value"]["y"], r["value"]["width"], r["value"]["height"], False, r["original_width"] / 100, r["original_height"] / 100)).alias("bboxes"), F.transform(rect, lambda r: r["value"]["rectanglelabels"][0]).alias("classes"),
-        F.transform(poly, lambda r: F.transform(r["value"]["points"], lambda q: F.struct(px(q[0], r["original_width"]).alias("x"), px(q[1], r["original_height"]).alias("y")))).alias("segmentations"), F.transform(poly, lambda r: r["value"]["polygonlabels"][0]).alias("polygon_classes"),
+        "_id", "sub_id", "path", F.transform(
+            rect,
+            lambda r: B.xywh_to_xyxy(
+                r["value"]["x"], r["value"]["y"], r["value"]["width"], r["value"]["height"], False, r["original_width"] / 100,
+                r["original_height"] / 100
+            )
+        ).alias("bboxes"), F.transform(rect, lambda r: r["value"]["rectanglelabels"][0]).alias("classes"),
+        F.transform(
+            poly,
+            lambda r: F.transform(
+                r["value"]["points"], lambda q: F.struct(px(q[0], r["original_width"]).alias("x"), px(q[1], r["original_height"]).alias("y"))
+            )
+        ).alias("segmentations"), F.transform(poly, lambda r: r["value"]["polygonlabels"][0]).alias("polygon_classes"),
     )
 
 
@@ -209,14 +272,20 @@ def labelled_speech(spark, path: str) -> DataFrame:
     """Text areas joined, choices behind."""
     d = labelling_tasks(spark, path, "audio")
     text = F.array_join(F.flatten(F.transform(F.filter("results", lambda r: r["value"]["text"].isNotNull()), lambda r: r["value"]["text"])), "")
-    return d.select("_id", "sub_id", F.col("path").alias("audio"), text.alias("text"), F.flatten(F.transform(F.filter("results", lambda r: r["value"]["choices"].isNotNull()), lambda r: r["value"]["choices"])).alias("choices"))
+    return d.select(
+        "_id", "sub_id", F.col("path").alias("audio"), text.alias("text"),
+        F.flatten(F.transform(F.filter("results", lambda r: r["value"]["choices"].isNotNull()), lambda r: r["value"]["choices"])).alias("choices")
+    )
 
 
 def labelled_spans(spark, path: str) -> DataFrame:
     """Labelled audio intervals in seconds."""
     d = labelling_tasks(spark, path, "audio")
     r = F.filter("results", lambda r: r["value"]["labels"].isNotNull())
-    return d.select("_id", "sub_id", F.col("path").alias("audio"), F.transform(r, lambda x: x["value"]["labels"][0]).alias("classes"), F.transform(r, lambda x: F.struct(x["value"]["start"].alias("start"), x["value"]["end"].alias("end"))).alias("timestamps"))
+    return d.select(
+        "_id", "sub_id", F.col("path").alias("audio"), F.transform(r, lambda x: x["value"]["labels"][0]).alias("classes"),
+        F.transform(r, lambda x: F.struct(x["value"]["start"].alias("start"), x["value"]["end"].alias("end"))).alias("timestamps")
+    )
 
 
 def speech_lines(spark, path: str) -> DataFrame:
@@ -299,4 +368,9 @@ def synthetic_glyphs(spark, n: int, alphabet: str = "0123456789", length: int =
 
 def shrink_glyph_boxes(boxes: Column, share: float = 0.2, zoom: float = 1.33) -> Column:
     """Character boxes of a page layout shrunk in height from both sides and zoomed to pixels."""
-    return F.transform(boxes, lambda b: B.box(b["x1"] * zoom, (b["y1"] + (b["y2"] - b["y1"]) * share / 2) * zoom, b["x2"] * zoom, (b["y2"] - (b["y2"] - b["y1"]) * share / 2) * zoom))
+    return F.transform(
+        boxes,
+        lambda b: B.box(
+            b["x1"] * zoom, (b["y1"] + (b["y2"] - b["y1"]) * share / 2) * zoom, b["x2"] * zoom, (b["y2"] - (b["y2"] - b["y1"]) * share / 2) * zoom
+        )
+    )

@@ -48,7 +48,13 @@ def alpaca(classes: str = "classes", texts: str = "texts") -> Column:
 
 def chat(classes: str = "classes", texts: str = "texts", key: str = "messages") -> Column:
     """Speakers and texts as JSON messages."""
-    return F.to_json(F.struct(F.transform(F.arrays_zip(F.col(classes).alias("c"), F.col(texts).alias("t")), lambda x: F.struct(x["c"].alias("role"), x["t"].alias("content"))).alias(key)))
+    return F.to_json(
+        F.struct(
+            F.transform(
+                F.arrays_zip(F.col(classes).alias("c"), F.col(texts).alias("t")), lambda x: F.struct(x["c"].alias("role"), x["t"].alias("content"))
+            ).alias(key)
+        )
+    )
 
 
 def messages(column: str = "messages", key: str = "messages") -> Column:
@@ -65,7 +71,12 @@ def sharegpt(classes: str = "classes", texts: str = "texts", tools: str = "tools
     """Speakers and texts as a conversation; a first system text goes to its own key."""
     z = F.transform(F.arrays_zip(F.col(classes).alias("c"), F.col(texts).alias("t")), lambda x: F.struct(x["c"].alias("from"), x["t"].alias("value")))
     system = F.get(F.col(classes), F.lit(0)) == "system"
-    return F.to_json(F.struct(F.when(system, F.slice(z, 2, F.size(z))).otherwise(z).alias("conversations"), F.when(system, F.get(F.col(texts), F.lit(0))).alias("system"), F.col(tools).alias("tools")))
+    return F.to_json(
+        F.struct(
+            F.when(system, F.slice(z, 2, F.size(z))).otherwise(z).alias("conversations"),
+            F.when(system, F.get(F.col(texts), F.lit(0))).alias("system"), F.col(tools).alias("tools")
+        )
+    )
 
 
 def yolo(boxes: str = "bboxes", classes: str = "classes", width: str = "width", height: str = "height") -> Column:
@@ -84,13 +95,26 @@ def yolo_full(boxes: str = "bboxes", classes: str = "classes", confs: str | None
     c = F.col(confs) if confs else F.array_repeat(F.lit(1.0), F.size(boxes))
     w, h = (F.col(width) if width else F.lit(-1)).cast("double"), (F.col(height) if height else F.lit(-1)).cast("double")
     z = F.arrays_zip(F.col(boxes).alias("b"), F.col(classes).alias("c"), c.alias("p"))
-    return F.array_join(F.transform(z, lambda x: F.format_string("%d %.6f %.6f %.6f %.6f %.6f %.0f %.0f", x["c"], x["b"]["x1"], x["b"]["y1"], x["b"]["x2"], x["b"]["y2"], x["p"], w, h)), "\n")
+    return F.array_join(
+        F.transform(
+            z,
+            lambda x: F.format_string(
+                "%d %.6f %.6f %.6f %.6f %.6f %.0f %.0f", x["c"], x["b"]["x1"], x["b"]["y1"], x["b"]["x2"], x["b"]["y2"], x["p"], w, h
+            )
+        ),
+        "\n"
+    )
 
 
 def ocr_detection(path: str = "path", polygons: str = "segmentations", texts: str = "text") -> Column:
     """``path<tab>[{points, transcription}]``."""
     z = F.arrays_zip(F.col(polygons).alias("p"), F.col(texts).alias("t"))
-    return F.concat_ws("\t", F.col(path), F.to_json(F.transform(z, lambda x: F.struct(F.transform(x["p"], lambda q: F.array(q["x"], q["y"])).alias("points"), x["t"].alias("transcription")))))
+    return F.concat_ws(
+        "\t", F.col(path),
+        F.to_json(
+            F.transform(z, lambda x: F.struct(F.transform(x["p"], lambda q: F.array(q["x"], q["y"])).alias("points"), x["t"].alias("transcription")))
+        )
+    )
 
 
 def ocr_crops(df: DataFrame, image: str = "image", boxes: str = "bboxes", texts: str = "text") -> DataFrame:
@@ -118,7 +142,16 @@ def box_results(boxes: str = "bboxes", classes: str = "classes", width: str = "w
     z = F.arrays_zip(F.col(boxes).alias("b"), F.col(classes).alias("c"))
     w, h = F.col(width), F.col(height)
     p = lambda v, n: v * 100.0 / n
-    return F.transform(z, lambda x: F.struct(F.lit("rectanglelabels").alias("type"), w.alias("original_width"), h.alias("original_height"), F.struct(p(x["b"]["x1"], w).alias("x"), p(x["b"]["y1"], h).alias("y"), p(x["b"]["x2"] - x["b"]["x1"], w).alias("width"), p(x["b"]["y2"] - x["b"]["y1"], h).alias("height"), F.array(x["c"]).alias("rectanglelabels")).alias("value")))
+    return F.transform(
+        z,
+        lambda x: F.struct(
+            F.lit("rectanglelabels").alias("type"), w.alias("original_width"), h.alias("original_height"),
+            F.struct(
+                p(x["b"]["x1"], w).alias("x"), p(x["b"]["y1"], h).alias("y"), p(x["b"]["x2"] - x["b"]["x1"], w).alias("width"),
+                p(x["b"]["y2"] - x["b"]["y1"], h).alias("height"), F.array(x["c"]).alias("rectanglelabels")
+            ).alias("value")
+        )
+    )
 
 
 def choice_results(classes: str = "classes") -> Column:
@@ -134,7 +167,13 @@ def text_results(text: str = "text") -> Column:
 def span_results(spans: str = "timestamps", classes: str = "classes") -> Column:
     """Labelled intervals."""
     z = F.arrays_zip(F.col(spans).alias("s"), F.col(classes).alias("c"))
-    return F.transform(z, lambda x: F.struct(F.lit("labels").alias("type"), F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), F.array(x["c"]).alias("labels")).alias("value")))
+    return F.transform(
+        z,
+        lambda x: F.struct(
+            F.lit("labels").alias("type"),
+            F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), F.array(x["c"]).alias("labels")).alias("value")
+        )
+    )
 
 
 def save_binary(df: DataFrame, path: str, name: str = "name", content: str = "content") -> None:

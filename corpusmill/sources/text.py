@@ -72,7 +72,10 @@ def sst2(spark, root: str, splits=("train", "dev", "test")) -> DataFrame:
     return _glue(spark, root, splits, one)
 
 
-def pairs(spark, root: str, names: list[str | None], labels: list[str] | None = None, splits=("train", "dev", "test"), id_col: str = "index", class_col: str | None = "label", files: str = "{root}/{split}.tsv", id_as=None) -> DataFrame:
+def pairs(
+    spark, root: str, names: list[str | None], labels: list[str] | None = None, splits=("train", "dev", "test"), id_col: str = "index",
+    class_col: str | None = "label", files: str = "{root}/{split}.tsv", id_as=None
+) -> DataFrame:
     """Text pairs: ``_id``, ``_class`` (null where a file has none), ``texts``. names: the columns of a labelled file, with ``a`` and ``b`` the texts."""
 
     def one(s):
@@ -127,7 +130,10 @@ def mnli(spark, root: str, splits=("train", "dev", "test"), task: str = "full")
 
     def one(path, n_labels):
         d = fields(numbered_lines(spark, path, 1), base + [f"l{i}" for i in range(n_labels)])
-        cols = [F.struct(F.col("index"), F.col("prompt").alias("prompt_id"), F.col("pair").alias("pair_id")).alias("_id"), "genre", F.array("a", "b").alias("texts"), F.array("p1", "p2").alias("texts_parse"), F.array("b1", "b2").alias("texts_binary_parse")]
+        cols = [
+            F.struct(F.col("index"), F.col("prompt").alias("prompt_id"), F.col("pair").alias("pair_id")).alias("_id"), "genre",
+            F.array("a", "b").alias("texts"), F.array("p1", "p2").alias("texts_parse"), F.array("b1", "b2").alias("texts_binary_parse")
+        ]
         if n_labels:
             cols.append(label_index(F.col(f"l{n_labels - 1}"), NLI).alias("_class"))
             cols.append(F.array(*[label_index(F.col(f"l{i}"), NLI) for i in range(n_labels - 1)]).alias("aux_class"))
@@ -167,7 +173,13 @@ def alpaca(spark, path: str) -> DataFrame:
 def sharegpt(spark, path: str) -> DataFrame:
     """Conversations: ``classes`` (speakers), ``texts``, ``tools``; a system text comes first. Records without tools give null."""
     d = json_array(spark, path, "struct<conversations:array<struct<`from`:string,value:string>>,system:string,tools:string>")
-    turns = F.concat(F.when(F.col("e.system").isNotNull() & (F.col("e.system") != ""), F.array(F.struct(F.lit("system").alias("from"), F.col("e.system").alias("value")))).otherwise(F.array().cast("array<struct<`from`:string,value:string>>")), F.col("e.conversations"))
+    turns = F.concat(
+        F.when(
+            F.col("e.system").isNotNull() & (F.col("e.system") != ""),
+            F.array(F.struct(F.lit("system").alias("from"), F.col("e.system").alias("value")))
+        ).otherwise(F.array().cast("array<struct<`from`:string,value:string>>")),
+        F.col("e.conversations")
+    )
     return d.select("_id", F.transform(turns, lambda t: t["from"]).alias("classes"), F.transform(turns, lambda t: t["value"]).alias("texts"), F.col("e.tools").alias("tools"))
 
 
@@ -202,8 +214,16 @@ def csc_train(spark, path: str) -> DataFrame:
     passages = passages.select(F.regexp_extract("p", r'id="([^"]*)"', 1).alias("_id"), "title", F.regexp_replace("p", r"(?s)^<PASSAGE[^>]*>\s*|\s*</PASSAGE>$", "").alias("text"))
     m = whole.select(F.explode(F.regexp_extract_all("essay", F.lit(r"(?s)<MISTAKE.*?</MISTAKE>"), F.lit(0))).alias("m"))
     g = lambda p: F.regexp_extract("m", p, 1)
-    m = m.select(g(r'id="([^"]*)"').alias("_id"), F.struct(g(r'location="(\d+)"').cast("int").alias("location"), g(r"(?s)<WRONG>\s*(.*?)\s*</WRONG>").alias("wrong"), g(r"(?s)<CORRECTION>\s*(.*?)\s*</CORRECTION>").alias("correction")).alias("x"))
-    return passages.join(m.groupBy("_id").agg(F.array_sort(F.collect_list("x")).alias("mistakes")), "_id", "left").withColumn("mistakes", F.coalesce("mistakes", F.array().cast(_MISTAKES)))
+    m = m.select(
+        g(r'id="([^"]*)"').alias("_id"),
+        F.struct(
+            g(r'location="(\d+)"').cast("int").alias("location"), g(r"(?s)<WRONG>\s*(.*?)\s*</WRONG>").alias("wrong"),
+            g(r"(?s)<CORRECTION>\s*(.*?)\s*</CORRECTION>").alias("correction")
+        ).alias("x")
+    )
+    return passages.join(
+        m.groupBy("_id").agg(F.array_sort(F.collect_list("x")).alias("mistakes")), "_id", "left"
+    ).withColumn("mistakes", F.coalesce("mistakes", F.array().cast(_MISTAKES)))
 
 
 def csc_test(spark, inputs: str, truth: str) -> DataFrame:
@@ -212,8 +232,23 @@ def csc_test(spark, inputs: str, truth: str) -> DataFrame:
     f = F.split("value", r",\s*", -1)
     x = lines(spark, truth).select(F.get(f, F.lit(0)).alias("_id"), f.alias("f"))
     n = F.floor((F.size("f") - 1) / 2).cast("int")
-    got = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("f", 1 + i * 2).cast("int").alias("location"), F.get("f", 2 + i * 2).alias("correction")))).otherwise(F.array().cast("array<struct<location:int,correction:string>>"))
-    return t.join(x.select("_id", got.alias("m")), "_id", "left").select("_id", "text", F.transform(F.coalesce("m", F.array().cast("array<struct<location:int,correction:string>>")), lambda m: F.struct(m["location"].alias("location"), F.substring(F.col("text"), m["location"], F.lit(1)).alias("wrong"), m["correction"].alias("correction"))).alias("mistakes"))
+    got = F.when(
+        n > 0,
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(F.get("f", 1 + i * 2).cast("int").alias("location"), F.get("f", 2 + i * 2).alias("correction"))
+        )
+    ).otherwise(F.array().cast("array<struct<location:int,correction:string>>"))
+    return t.join(x.select("_id", got.alias("m")), "_id", "left").select(
+        "_id", "text",
+        F.transform(
+            F.coalesce("m", F.array().cast("array<struct<location:int,correction:string>>")),
+            lambda m: F.struct(
+                m["location"].alias("location"), F.substring(F.col("text"), m["location"], F.lit(1)).alias("wrong"),
+                m["correction"].alias("correction")
+            )
+        ).alias("mistakes")
+    )
 
 
 def csc_sentences(spark, path: str) -> DataFrame:
@@ -221,7 +256,10 @@ def csc_sentences(spark, path: str) -> DataFrame:
     s = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<SENTENCE>.*?</SENTENCE>"), F.lit(0))).alias("_id", "s"))
     pick = lambda tag: F.xpath("s", F.lit(f"//{tag}/text()"))
     z = F.arrays_zip(pick("LOCATION").alias("l"), pick("WRONG").alias("w"), pick("CORRECTION").alias("c"))
-    return s.select("_id", F.xpath_string("s", F.lit("//TEXT")).alias("text"), F.transform(z, lambda x: F.struct(x["l"].cast("int").alias("location"), x["w"].alias("wrong"), x["c"].alias("correction"))).alias("mistakes"))
+    return s.select(
+        "_id", F.xpath_string("s", F.lit("//TEXT")).alias("text"),
+        F.transform(z, lambda x: F.struct(x["l"].cast("int").alias("location"), x["w"].alias("wrong"), x["c"].alias("correction"))).alias("mistakes")
+    )
 
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))

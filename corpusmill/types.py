@@ -33,10 +33,25 @@ def unused(i: int) -> str:
 BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")])
 POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y")])
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-IMAGE = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("dtype", T.StringType()), T.StructField("data", T.BinaryType())])
+IMAGE = T.StructType(
+    [
+        T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()),
+        T.StructField("dtype", T.StringType()), T.StructField("data", T.BinaryType())
+    ]
+)
 SPAN = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
 IMAGE_CLASS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("image", IMAGE), T.StructField("_class", T.IntegerType())])
-DETECTION = T.StructType([T.StructField("_id", T.StringType()), T.StructField("image", IMAGE), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("bboxes", T.ArrayType(BOX)), T.StructField("classes", T.ArrayType(T.IntegerType()))])
+DETECTION = T.StructType(
+    [
+        T.StructField("_id", T.StringType()), T.StructField("image", IMAGE), T.StructField("size", T.ArrayType(T.IntegerType())),
+        T.StructField("bboxes", T.ArrayType(BOX)), T.StructField("classes", T.ArrayType(T.IntegerType()))
+    ]
+)
 SEGMENTATION = T.StructType([T.StructField("_id", T.StringType()), T.StructField("image", IMAGE), T.StructField("label_mask", IMAGE)])
 AUDIO_CLASS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("audio", T.ArrayType(T.FloatType())), T.StructField("_class", T.IntegerType())])
-AUDIO_SPANS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("audio", T.StringType()), T.StructField("timestamps", T.ArrayType(SPAN)), T.StructField("classes", T.ArrayType(T.StringType()))])
+AUDIO_SPANS = T.StructType(
+    [
+        T.StructField("_id", T.StringType()), T.StructField("audio", T.StringType()), T.StructField("timestamps", T.ArrayType(SPAN)),
+        T.StructField("classes", T.ArrayType(T.StringType()))
+    ]
+)

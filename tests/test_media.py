@@ -28,7 +28,9 @@ def png(rows, w, h, depth, kind, filters, palette=b"", clear=b""):
     chunk = lambda n, x: struct.pack(">I", len(x)) + n + x + struct.pack(">I", zlib.crc32(n + x))
     body = zlib.compress(out)
     more = (chunk(b"PLTE", palette) if palette else b"") + (chunk(b"tRNS", clear) if clear else b"")
-    return media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)) + more + chunk(b"IDAT", body[:10]) + chunk(b"IDAT", body[10:]) + chunk(b"IEND", b"")
+    return media.SIGNATURE + chunk(
+        b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)
+    ) + more + chunk(b"IDAT", body[:10]) + chunk(b"IDAT", body[10:]) + chunk(b"IEND", b"")
 
 
 @pytest.mark.parametrize("kind, depth, channels", [(0, 8, 1), (2, 8, 3), (4, 8, 2), (6, 8, 4), (0, 16, 1), (2, 16, 3)])
@@ -62,14 +64,21 @@ def test_payload_columns(spark):
     raw = media.write_png(np.array([[1, 2], [3, 4]], np.uint8))
     rows = [(1, raw, base64.b64encode(raw).decode()), (2, None, None), (3, b"no image", "data:image/png;base64," + base64.b64encode(raw).decode())]
     df = spark.createDataFrame(rows, "id int, b binary, t string")
-    got = {r["id"]: (r["b"], r["t"]) for r in df.select("id", image.pixels(media.decode_image(F.col("b"))).alias("b"), image.pixels(media.decode_image(F.col("t"))).alias("t")).collect()}
+    got = {
+        r["id"]: (r["b"], r["t"]) for r in df.select(
+            "id", image.pixels(media.decode_image(F.col("b"))).alias("b"), image.pixels(media.decode_image(F.col("t"))).alias("t")
+        ).collect()
+    }
     assert got == {1: ([1, 2, 3, 4], [1, 2, 3, 4]), 2: (None, None), 3: (None, [1, 2, 3, 4])}
     with pytest.raises(Exception):
         df.select(media.decode_image(F.col("b"), True).alias("b")).collect()
 
 
 def test_sounds(spark, tmp_path):
-    for width, values, want in ((1, [0, 128, 255], [-1, 0, 127 / 128]), (2, [-32768, 0, 16384], [-1, 0, 0.5]), (3, [-(1 << 23), 0, 1 << 22], [-1, 0, 0.5]), (4, [-(1 << 31), 0, 1 << 30], [-1, 0, 0.5])):
+    for width, values, want in (
+        (1, [0, 128, 255], [-1, 0, 127 / 128]), (2, [-32768, 0, 16384], [-1, 0, 0.5]), (3, [-(1 << 23), 0, 1 << 22], [-1, 0, 0.5]),
+        (4, [-(1 << 31), 0, 1 << 30], [-1, 0, 0.5])
+    ):
         path = tmp_path / f"{width}.wav"
         with wave.open(str(path), "wb") as w:
             w.setnchannels(1)

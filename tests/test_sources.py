@@ -39,7 +39,15 @@ def test_glue(spark, tmp_path):
 
 
 def test_chat_round_trips(spark, tmp_path):
-    p = put(tmp_path / "s.json", json.dumps([{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}], "system": "be kind", "tools": "[]"}, {"conversations": [{"from": "human", "value": "x"}]}]))
+    p = put(
+        tmp_path / "s.json",
+        json.dumps(
+            [
+                {"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}], "system": "be kind", "tools": "[]"},
+                {"conversations": [{"from": "human", "value": "x"}]}
+            ]
+        )
+    )
     d = X.sharegpt(spark, p)
     r = d.orderBy("_id").collect()
     assert r[0]["classes"] == ["system", "human", "gpt"] and r[1]["tools"] is None
@@ -61,7 +69,10 @@ def test_chat_round_trips(spark, tmp_path):
 
 
 def test_spelling(spark, tmp_path):
-    p = put(tmp_path / "train.sgml", '<ESSAY title="T">\n<TEXT>\n<PASSAGE id="A1">abc</PASSAGE>\n<PASSAGE id="A2">xyz</PASSAGE>\n</TEXT>\n<MISTAKE id="A1" location="2">\n<WRONG>b</WRONG>\n<CORRECTION>q</CORRECTION>\n</MISTAKE>\n</ESSAY>\n')
+    p = put(
+        tmp_path / "train.sgml",
+        '<ESSAY title="T">\n<TEXT>\n<PASSAGE id="A1">abc</PASSAGE>\n<PASSAGE id="A2">xyz</PASSAGE>\n</TEXT>\n<MISTAKE id="A1" location="2">\n<WRONG>b</WRONG>\n<CORRECTION>q</CORRECTION>\n</MISTAKE>\n</ESSAY>\n'
+    )
     r = {x["_id"]: x["mistakes"] for x in X.csc_train(spark, p).collect()}
     assert r["A2"] == [] and tuple(r["A1"][0]) == (2, "b", "q")
     i, t = put(tmp_path / "in.txt", "(pid=B1)\tabc\n(pid=B2)\txyz\n"), put(tmp_path / "truth.txt", "B1, 0\nB2, 1, q, 3, w\n")
@@ -70,10 +81,21 @@ def test_spelling(spark, tmp_path):
 
 
 def test_detection(spark, tmp_path):
-    p = put(tmp_path / "coco.json", json.dumps({"images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 20}, {"id": 2, "file_name": "b.jpg", "width": 1, "height": 1}], "annotations": [{"image_id": 1, "category_id": 3, "bbox": [1, 2, 3, 4]}], "categories": []}))
+    p = put(
+        tmp_path / "coco.json",
+        json.dumps(
+            {
+                "images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 20}, {"id": 2, "file_name": "b.jpg", "width": 1, "height": 1}],
+                "annotations": [{"image_id": 1, "category_id": 3, "bbox": [1, 2, 3, 4]}], "categories": []
+            }
+        )
+    )
     r = {x["_id"]: x for x in A.coco(spark, p).collect()}
     assert tuple(r[1]["bboxes"][0]) == (1, 2, 4, 6) and r[1]["classes"] == [3] and r[2]["bboxes"] == []
-    put(tmp_path / "voc/x.xml", "<annotation><size><width>5</width><height>6</height><depth>3</depth></size><object><name>cat</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>")
+    put(
+        tmp_path / "voc/x.xml",
+        "<annotation><size><width>5</width><height>6</height><depth>3</depth></size><object><name>cat</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>"
+    )
     v = A.voc(spark, str(tmp_path / "voc")).first()
     assert tuple(v["bboxes"][0]) == (1, 2, 3, 4) and v["classes"] == ["cat"] and v["difficult"] == [1] and v["size"] == [5, 6, 3]
     put(tmp_path / "yolo/a.txt", "2 0.5 0.5 0.2 0.4\n")

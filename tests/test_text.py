@@ -36,7 +36,12 @@ def test_split(spark):
     assert one(spark, split.to_segment(F.lit("hello, [MASK]world!"), special=("[MASK]",))) == ["hello", ",", "[MASK]", "world", "!"]
     assert one(spark, split.join_mixed(arr(["你", "好", "a", "b", "中"]))) == "你好 a b 中"
     assert one(spark, split.word_pieces(arr(["unaffable", "xyz"]), {"un", "##aff", "##able"})) == ["un", "##aff", "##able", "xyz"]
-    spans = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(a).alias("start"), F.lit(b).alias("end")) for w, a, b in (("ab@@", 0.0, 1.0), ("cd", 1.0, 2.0), ("x", 2.0, 3.0), ("y", 3.0, 4.0))])
+    spans = F.array(
+        *[
+            F.struct(F.lit(w).alias("word"), F.lit(a).alias("start"), F.lit(b).alias("end")) for w, a,
+            b in (("ab@@", 0.0, 1.0), ("cd", 1.0, 2.0), ("x", 2.0, 3.0), ("y", 3.0, 4.0))
+        ]
+    )
     assert [tuple(r) for r in one(spark, split.merge_continued(spans))][0] == ("abcd", 0.0, 2.0)
     assert [tuple(r) for r in one(spark, split.merge_single_letters(spans))][-1] == ("XY", 2.0, 4.0)
 
@@ -89,7 +94,11 @@ def test_encode(spark):
 def test_perturbation_is_seeded(spark):
     vocab = {w: i for i, w in enumerate("abcdefgh")}
     df = spark.range(200).select("id", arr(list("abcdefgh")).alias("w"))
-    mask = lambda d: {r["id"]: (r["m"]["tokens"], r["m"]["tags"]) for r in d.select("id", perturb.random_mask(F.col("w"), F.col("id"), vocab, 5, 0.3).alias("m")).collect()}
+    mask = lambda d: {
+        r["id"]: (r["m"]["tokens"], r["m"]["tags"]) for r in d.select(
+            "id", perturb.random_mask(F.col("w"), F.col("id"), vocab, 5, 0.3).alias("m")
+        ).collect()
+    }
     a, b = mask(df), mask(df.repartition(7))
     assert a == b
     share = sum(t != perturb.SKIP for _, tags in a.values() for t in tags) / 1600
@@ -115,7 +124,9 @@ def test_prompt_weights():
     assert tokenizers.prompt_weights("") == [("", 1.0)]
     assert tokenizers.prompt_weights("(unnecessary)(parens)") == [("unnecessaryparens", 1.1)]
     nested = tokenizers.prompt_weights("a (((house:1.3)) [on] a (hill:0.5), sun, (((sky))).")
-    assert [(t, round(w, 6)) for t, w in nested] == [("a ", 1.0), ("house", 1.573), (" ", 1.1), ("on", 1.0), (" a ", 1.1), ("hill", 0.55), (", sun, ", 1.1), ("sky", 1.4641), (".", 1.1)]
+    assert [(t, round(w, 6)) for t, w in nested] == [
+        ("a ", 1.0), ("house", 1.573), (" ", 1.1), ("on", 1.0), (" a ", 1.1), ("hill", 0.55), (", sun, ", 1.1), ("sky", 1.4641), (".", 1.1)
+    ]
     assert tokenizers.prompt_weights("a BREAK b") == [("a", 1.0), ("BREAK", -1.0), ("b", 1.0)]
     assert [t for t, _ in tokenizers.prompt_weights("(a [b) c]")] == ["a ", "b", " c"]
     assert tokenizers.prompt_weights("a) b] :1.5) c") == [("a) b] :1.5) c", 1.0)]
