@@ -345,7 +345,7 @@ class Encoder:
 class Codec:
     """Encoder with a bounded cache of words; texts to id strings and back."""
 
-    def __init__(self, spec: str, cache: int = 60_000):
+    def __init__(self, spec: str, cache: int = 120_000):
         self.encoder = Encoder(spec)
         self.cache, self.ids, self.shown = cache, {}, {}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.encoder.special, key=len, reverse=True)) + ")") if self.encoder.special else None
