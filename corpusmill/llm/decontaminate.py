@@ -62,7 +62,10 @@ def _kept(grams: Column, w: int) -> Column:
 def bit_map(hashes: DataFrame, bits: int = BITS) -> list[int]:
     """A bit map of a column ``g`` of hashes, as ``bits / 64`` longs; summed up in Spark, so the driver gets these at most."""
     at = F.pmod(F.col("g"), F.lit(bits))
-    rows = hashes.select(F.floor(at / 64).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    rows = hashes.select(
+        F.floor(at / 64).cast("int").alias("slot"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")
+    ).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     out = [0] * (bits // 64)
     for r in rows.collect():
         out[r["slot"]] = r["bits"]
@@ -88,7 +91,10 @@ def _window_at(n: int):
     return lambda s: F.struct(s.alias("at"), F.array_join(F.slice(F.col("w"), s + 1, n), " ").alias("win"), F.lit(n).alias("len"))
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    window: int = 10, k: int = 5, broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
     """For each document: its id, ``n_words``, ``n_hit``, ``items`` (ids with hits, sorted) and ``spans`` (merged hit spans, from word and up to word).
 
     One row for each row of docs.
@@ -134,19 +140,37 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         rows = cut(rows)
         both = salted_join(rows.where("at >= 0"), side.drop("len"), "win").unionByName(rows.where("at < 0").withColumn("items", F.lit(None).cast("array<string>")))
     both = both.select("_dc_id", "_dc_h", "n", span, "items")
-    per = both.groupBy("_dc_id", "_dc_h").agg(F.max("n").alias("n"), F.sum(F.when(F.col("span").isNull(), 1).otherwise(0)).alias("copies"), F.array_sort(F.collect_set("span")).alias("s"), F.collect_set("items").alias("i"))
+    per = both.groupBy("_dc_id", "_dc_h").agg(
+        F.max("n").alias("n"), F.sum(F.when(F.col("span").isNull(), 1).otherwise(0)).alias("copies"), F.array_sort(F.collect_set("span")).alias("s"),
+        F.collect_set("items").alias("i")
+    )
     # the longest span of each start, so that those that can reach a word are among the last ``window``
     per = per.withColumn("s", F.filter("s", lambda x, i: F.coalesce(F.get(F.col("s"), i + 1)["at"] > x["at"], F.lit(True))))
     new = F.filter(
         F.transform("s", lambda x, i: F.struct(x["at"].alias("at"), x["to"].alias("to"), i.alias("i"))),
-        lambda x: (x["i"] == 0) | (F.array_max(F.transform(F.slice(F.col("s"), F.greatest(x["i"] - window + 1, F.lit(1)), F.least(x["i"], F.lit(window))), lambda y: y["to"])) < x["at"]),
+        lambda x: (x["i"] == 0) | (
+            F.array_max(
+                F.transform(F.slice(F.col("s"), F.greatest(x["i"] - window + 1, F.lit(1)), F.least(x["i"], F.lit(window))), lambda y: y["to"])
+            ) < x["at"]
+        ),
     )
     per = per.withColumn("b", new)
-    spans = F.transform("b", lambda x, j: F.struct(x["at"].alias("at"), F.array_max(F.transform(F.slice(F.col("s"), x["i"] + 1, F.coalesce(F.get(F.col("b"), j + 1)["i"], F.size("s")) - x["i"]), lambda y: y["to"])).alias("to")))
+    spans = F.transform(
+        "b", lambda x,
+        j: F.struct(
+            x["at"].alias("at"),
+            F.array_max(
+                F.transform(F.slice(F.col("s"), x["i"] + 1, F.coalesce(F.get(F.col("b"), j + 1)["i"], F.size("s")) - x["i"]), lambda y: y["to"])
+            ).alias("to")
+        )
+    )
     out = per.withColumn("spans", spans).withColumn("items", F.array_sort(F.array_distinct(F.flatten("i"))))
     out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["at"]))
     again = F.when(F.col("copies") > 1, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array(F.lit(1).cast("long")))
-    return out.select(F.col("_dc_id").alias(id_col), "_dc_h", F.col("n").cast("long").alias("n_words"), "n_hit", "items", "spans", F.explode(again).alias("_dc_copy")).drop("_dc_copy")
+    return out.select(
+        F.col("_dc_id").alias(id_col), "_dc_h", F.col("n").cast("long").alias("n_words"), "n_hit", "items", "spans",
+        F.explode(again).alias("_dc_copy")
+    ).drop("_dc_copy")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -154,7 +178,10 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     out = find(docs, items)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 ORACLE = r"""

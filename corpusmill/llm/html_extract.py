@@ -52,12 +52,23 @@ NEVER = frozenset("script style head template iframe noembed noframes title sele
 #: Elements that make a form the page's frame rather than a form.
 FRAMED = frozenset("article main h1".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption br".split()
+    """
+    address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+    header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption br
+    """.split()
 )
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "caption"}
 #: An open element that a new one closes, and what stops the search for it.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAGS = ("#text a abbr address article aside b blockquote body button code dd details div dl dt em figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html i input label li main nav ol p pre q section small span strong summary sub sup table tbody td th thead time tr u ul").split()
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})
+}
+TAGS = (
+    """
+    #text a abbr address article aside b blockquote body button code dd details div dl dt em figcaption figure footer form h1 h2 h3 h4 h5 h6
+    header hr html i input label li main nav ol p pre q section small span strong summary sub sup table tbody td th thead time tr u ul
+    """
+).split()
 TAG = {t: i for i, t in enumerate(TAGS)}
 OTHER = len(TAGS)
 
@@ -333,7 +344,11 @@ _NAMES = {
     "both": "box block wrap wrapper inner container row col section area group item panel module layout grid page site a b c",
 }
 _NAMES = {k: v.split() for k, v in _NAMES.items()}
-_OWN_TAGS = {"menu": ["nav", "ul", "div"], "short": ["header", "footer", "div"], "mixed": ["aside", "section", "div"], "text": ["div", "aside", "section", "p"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "div"], "content": ["article", "main", "section", "div", "div"]}
+_OWN_TAGS = {
+    "menu": ["nav", "ul", "div"], "short": ["header", "footer", "div"], "mixed": ["aside", "section", "div"],
+    "text": ["div", "aside", "section", "p"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "div"],
+    "content": ["article", "main", "section", "div", "div"]
+}
 
 
 def labelled_pages(n: int = 1500, seed: int = 5) -> list[tuple[Page, list[int]]]:
@@ -371,12 +386,30 @@ def labelled_pages(n: int = 1500, seed: int = 5) -> list[tuple[Page, list[int]]]
         role = ' role="main"' if kind == "content" and rng.random() < 0.1 else ""
         return f'<{tag} {rng.choice(["class", "class", "id"])}="{rng.choice("-_ ").join(names)}"{role}{hidden}>'
 
+    def filling(kind, opened):
+        """What stands in a part of a page that is not the article."""
+        if kind == "menu":
+            return links()
+        if kind == "short":
+            return f"&copy; {words(1, 4)} &middot; {sentence()}" if rng.random() < 0.5 else sentence(1, 8)
+        if kind == "text":
+            return f"<p>{prose(1, 4)}</p>" if rng.random() < 0.5 and not opened.startswith("<p") else prose(1, 2)
+        if kind == "form":
+            return f"<label>{words(1, 3)}</label><input name=q><p>{prose(1, 2)}</p><button>{words(1, 2)}</button>"
+        if kind == "comments":
+            return "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{prose(1, 3)}</p></div>' for _ in range(rng.randint(1, 4)))
+        return rng.choice(
+            [
+                f"<h3>{words(1, 3)}</h3>{links(2, 5)}<p>{sentence()}</p>",
+                f"<p>{prose(1, 4)}</p>",
+                f"<h3>{words(1, 3)}</h3><a href=/y><p>{prose(1, 2)}</p></a>",
+            ]
+        )
+
     def boiler():
         kind = rng.choice(["menu", "short", "mixed", "text", "text", "form", "comments"])
         opened = named(kind)
-        body = {"menu": lambda: links(), "short": lambda: f"&copy; {words(1, 4)} &middot; {sentence()}" if rng.random() < 0.5 else sentence(1, 8), "text": lambda: f"<p>{prose(1, 4)}</p>" if rng.random() < 0.5 and not opened.startswith("<p") else prose(1, 2), "form": lambda: f"<label>{words(1, 3)}</label><input name=q><p>{prose(1, 2)}</p><button>{words(1, 2)}</button>",
-                "comments": lambda: "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{prose(1, 3)}</p></div>' for _ in range(rng.randint(1, 4))), "mixed": lambda: rng.choice([f"<h3>{words(1, 3)}</h3>{links(2, 5)}<p>{sentence()}</p>", f"<p>{prose(1, 4)}</p>", f"<h3>{words(1, 3)}</h3><a href=/y><p>{prose(1, 2)}</p></a>"])}[kind]()
-        return opened + body + end(opened)
+        return opened + filling(kind, opened) + end(opened)
 
     def paragraph():
         r = rng.random()

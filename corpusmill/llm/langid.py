@@ -138,7 +138,9 @@ def sample_labelled(df: DataFrame, id_col: str, text_col: str, label_col: str, p
     from pyspark.sql import Window as W
 
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 20))
-    labelled = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"), h.alias("h"), F.xxhash64(text_col).alias("g"))
+    labelled = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
+        F.col(label_col).alias("y"), F.col(text_col).alias("t"), h.alias("h"), F.xxhash64(text_col).alias("g")
+    )
     sizes = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
     if not sizes:
         return []

@@ -93,7 +93,11 @@ TEMPLATES = (
     ("gpl-2.0", _GPL.format(2), "either version 2 of the license"),
     ("gpl-3.0", "licensed under the GNU General Public License version 3", "general public license version 3"),
     ("gpl-2.0", "licensed under the GNU General Public License version 2", "general public license version 2"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "under the terms of the gnu general public license"),
+    (
+        "gpl",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "under the terms of the gnu general public license"
+    ),
     ("lgpl", _GPL.format(3).replace("General Public", "Lesser General Public"), "under the terms of the gnu lesser general public license"),
     ("agpl", _GPL.format(3).replace("General Public", "Affero General Public"), "under the terms of the gnu affero general public license"),
     ("mpl-2.0", _MPL, "mozilla public license"),
@@ -158,7 +162,13 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, base=BASE,
     if frequencies is None:
         frequencies = document_frequencies(df, text_col, vocabulary)
     strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    index = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p.place[w]).alias("p")) for t, p in enumerate(parsed) if w in p.place]))]) if vocabulary else None
+    index = F.create_map(
+        *[
+            x for w in vocabulary for x in (
+                F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p.place[w]).alias("p")) for t, p in enumerate(parsed) if w in p.place])
+            )
+        ]
+    ) if vocabulary else None
     step = 1 << 40  # one code a posting: template above, offset below
     w = df.select(whole_row(df), word_array(F.col(text_col)).alias("words"))
     w = w.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
@@ -174,7 +184,9 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, base=BASE,
     w = w.withColumn("wanted", F.array_distinct(F.flatten("looked")))
     seen = F.filter(F.transform("words", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("wanted"), x["w"]))
     mine = lambda o: F.filter(index[o["w"]], lambda p: F.array_contains(F.get(F.col("looked"), p["t"]), o["w"]))
-    codes = F.array_sort(F.flatten(F.transform(seen, lambda o: F.transform(mine(o), lambda p: p["t"].cast("long") * step + (step // 2) + o["i"] - p["p"])))) if vocabulary else F.array().cast("array<long>")
+    codes = F.array_sort(
+        F.flatten(F.transform(seen, lambda o: F.transform(mine(o), lambda p: p["t"].cast("long") * step + (step // 2) + o["i"] - p["p"])))
+    ) if vocabulary else F.array().cast("array<long>")
     w = w.withColumn("codes", F.when(F.size("wanted") > 0, codes).otherwise(F.array().cast("array<long>")))
     starts = F.filter(F.transform("codes", lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(F.col("codes"), x["i"] - 1) != x["c"]))
     w = w.withColumn("starts", starts)
@@ -189,9 +201,19 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, base=BASE,
     w = w.withColumn("votes", F.filter(votes, lambda v: v["votes"] * 2 >= F.size(F.get(F.col("looked"), v["t"]))))
     key_at, key_size = (F.array(*[F.lit(x) for x in xs]) for xs in ([t.key_at for t in parsed], [t.key_size for t in parsed]))
     begin = lambda v: v["word"] + F.get(key_at, v["t"])
-    stands = lambda v: (begin(v) >= 0) & (F.array_join(F.slice(F.col("words"), F.greatest(begin(v), F.lit(0)) + 1, F.get(key_size, v["t"])), " ") == F.get(strings([t.phrase for t in parsed]), v["t"]))
+    stands = lambda v: (begin(v) >= 0) & (
+        F.array_join(
+            F.slice(F.col("words"), F.greatest(begin(v), F.lit(0)) + 1, F.get(key_size, v["t"])), " "
+        ) == F.get(strings([t.phrase for t in parsed]), v["t"])
+    )
     good = F.filter("votes", stands)
-    matches = F.transform(good, lambda v: F.struct(F.get(strings([t.label for t in parsed]), v["t"]).alias("label"), v["word"].alias("word"), v["votes"].alias("votes"), F.size(F.get(F.col("looked"), v["t"])).alias("of")))
+    matches = F.transform(
+        good,
+        lambda v: F.struct(
+            F.get(strings([t.label for t in parsed]), v["t"]).alias("label"), v["word"].alias("word"), v["votes"].alias("votes"),
+            F.size(F.get(F.col("looked"), v["t"])).alias("of")
+        )
+    )
     w = w.withColumn("matches", matches)
     n_base = sum((n for n, _, _ in places[1:]), places[0][0])
     share = F.coalesce(F.array_max(F.transform("matches", lambda m: m["votes"] / m["of"])), F.lit(0.0))

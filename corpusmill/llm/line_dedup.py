@@ -87,7 +87,9 @@ def _stream(schema: pa.Schema, min_docs: int):
                 yield from out(count(held.iloc[:cut_at].copy(), first, False))
                 held, first = held.iloc[cut_at:].reset_index(drop=True), False
             elif first:  # one open run so far: its rows can go as they are, but the last document may go on
-                d = (held._ld_h.to_numpy() != held._ld_h.to_numpy()[-1]) | (pd.factorize(held._ld_id, use_na_sentinel=False)[0] != pd.factorize(held._ld_id, use_na_sentinel=False)[0][-1])
+                d = (held._ld_h.to_numpy() != held._ld_h.to_numpy()[-1]) | (
+                    pd.factorize(held._ld_id, use_na_sentinel=False)[0] != pd.factorize(held._ld_id, use_na_sentinel=False)[0][-1]
+                )
                 k = int(len(d) - np.argmax(d[::-1])) if d.any() else 0
                 if k:
                     yield from out(count(held.iloc[:k].copy(), True, True))
@@ -126,7 +128,9 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([one(*x) for x in zip(n, pos, strict=True)], dtype=object)
 
-    out = dropped.groupBy("_ld_id", "_ld_h").agg(F.max("_ld_n").alias("n_lines"), F.collect_set("_ld_pos").alias("pos")).select("_ld_id", "_ld_h", "n_lines", bitmap("n_lines", "pos").alias("keep"))
+    out = dropped.groupBy("_ld_id", "_ld_h").agg(
+        F.max("_ld_n").alias("n_lines"), F.collect_set("_ld_pos").alias("pos")
+    ).select("_ld_id", "_ld_h", "n_lines", bitmap("n_lines", "pos").alias("keep"))
     return cut(out)  # bitmaps are small; whoever applies them needs no second Python worker beside
 
 
@@ -162,7 +166,10 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """The digest of line dedup over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = drop_lines(docs)
-    return out.select("doc_id", F.col("_ld_lines").cast("long").alias("n_lines"), F.col("_ld_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", F.col("_ld_lines").cast("long").alias("n_lines"), F.col("_ld_dropped").cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
 
 
 ORACLE = """

@@ -76,7 +76,12 @@ def document_frequencies(df: DataFrame, text_col: str, bits: int = 19, size: int
                 total += np.bincount((key >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
             for i in range(0, len(total), 1 << 12):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([i >> 12], pa.int32()), "counts": pa.array([zlib.compress(total[i : i + (1 << 12)].tobytes(), 1)], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": pa.array([i >> 12], pa.int32()),
+                        "counts": pa.array([zlib.compress(total[i : i + (1 << 12)].tobytes(), 1)], pa.binary())
+                    }
+                )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         parts = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in frame.counts)
@@ -265,12 +270,24 @@ def components(edges: DataFrame) -> DataFrame:
     while not _all_stars(e):
         # large star: a node's larger neighbours go to the smallest of its neighbourhood; hubs have many
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")).select("u", F.least("u", "m").alias("m"), "n").where("n > 0"), narrow=True)
-        large = spread_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(
+            both.groupBy("u").agg(
+                F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")
+            ).select("u", F.least("u", "m").alias("m"), "n").where("n > 0"),
+            narrow=True
+        )
+        large = spread_join(
+            e.select(F.col("v").alias("u"), F.col("u").alias("v")), least, ["u"], "n"
+        ).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         large = cut(large, narrow=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), narrow=True)
+        small = cut(
+            large.join(low, "u").select(
+                F.col("v").alias("u"), F.col("m").alias("v")
+            ).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(),
+            narrow=True
+        )
         remove(spark, e, least, large)
         e = small
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -303,10 +320,14 @@ def _blocks(member: DataFrame) -> DataFrame:
     parted = large.unionByName(small)
     chunk = parted.select(*keys, "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(*keys, F.struct("of", "part").alias("c"))
     only = chunk.groupBy(*keys).agg(F.count("*").alias("chunks"), F.min("c").alias("i")).where("chunks = 1").select(*keys, "i", F.col("i").alias("j"))
-    met = chunk.withColumnRenamed("c", "i").join(chunk.withColumnRenamed("c", "j"), keys).where((F.col("i") < F.col("j")) & ((F.col("i.of") != F.col("j.of")) | (F.col("i.of") == F.lit(b"")))).unionByName(only)
+    met = chunk.withColumnRenamed("c", "i").join(chunk.withColumnRenamed("c", "j"), keys).where(
+        (F.col("i") < F.col("j")) & ((F.col("i.of") != F.col("j.of")) | (F.col("i.of") == F.lit(b"")))
+    ).unionByName(only)
     met = met.select(*keys, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("c"))
     deal = size.select(*keys, "label", "n", F.when(own, F.col("label")).otherwise(F.lit(b"")).alias("of")).join(parted, [*keys, "of"])
-    placed = spread_join(member, deal, [*keys, "label"], "n").withColumn("part", F.pmod(F.when(F.col("of") == F.lit(b""), F.xxhash64("label")).otherwise(F.xxhash64("node")), F.col("parts")))
+    placed = spread_join(member, deal, [*keys, "label"], "n").withColumn(
+        "part", F.pmod(F.when(F.col("of") == F.lit(b""), F.xxhash64("label")).otherwise(F.xxhash64("node")), F.col("parts"))
+    )
     return placed.select(*keys, "node", "label", F.struct("of", "part").alias("c")).join(met, [*keys, "c"]).drop("c")
 
 
@@ -331,7 +352,10 @@ def near_classes(
                 for k, x in enumerate(at):
                     sig[x] = keys[k]
                     weight[x] = total[k]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(weight), pa.array(sig, pa.list_(pa.int64()))], ["id", "node", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(weight), pa.array(sig, pa.list_(pa.int64()))],
+                    ["id", "node", "weight", "bands"]
+                )
 
     id_type = d.schema["id"].dataType.simpleString()
     node = F.unhex(F.md5(F.col("text").cast("binary")))
@@ -392,7 +416,13 @@ def near_classes(
     classes = found.groupBy("label").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
     found = spread_join(found.select("node", "label"), classes, ["label"], "n").drop("n")
     # a text with no link is a class of its own
-    by_node = cut(ids.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), "copies"), narrow=True)
+    by_node = cut(
+        ids.join(found, "node", "left").select(
+            "node", F.coalesce("label", "node").alias("label"),
+            F.when(F.col("label").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), "copies"
+        ),
+        narrow=True
+    )
     return spread_join(signed.select("id", "node"), by_node, ["node"], "copies").drop("copies")
 
 

@@ -99,7 +99,10 @@ def minimiser_counts(docs: DataFrame, window: int, m: int) -> DataFrame:
 def bits_above(counts: DataFrame, n: int, bits: int) -> np.ndarray:
     """A bit map of the minimisers that occur more than n times; its size is fixed, and it is filled in Spark."""
     at = F.pmod(F.col("mini"), F.lit(1 << bits))
-    rows = counts.where(F.col("n") > n).select(F.shiftright(at, 6).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    rows = counts.where(F.col("n") > n).select(
+        F.shiftright(at, 6).cast("int").alias("slot"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")
+    ).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << bits - 6, np.int64)
     got = rows.toArrow()
     out[got["slot"].to_numpy()] = got["bits"].to_numpy()
@@ -127,7 +130,10 @@ def count_windows(packed: list[str], times: np.ndarray, window: int) -> list[byt
     return [bytes(f) if f.any() else None for f in np.split(twice, stop[:-1])]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, m: int = 6, filter_bits: int = 26, hot: int = 4096, hot_bits: int = 24) -> DataFrame:
+def removed_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, m: int = 6, filter_bits: int = 26, hot: int = 4096,
+    hot_bits: int = 24
+) -> DataFrame:
     """For each document that loses words ``_sd_id``, ``_sd_h`` and ``spans``: (first word, number of windows, flags) of its super-k-mers with repeats."""
     spark = docs.sparkSession
     d = small_batches(docs).select(F.col(id_col).alias("_sd_id"), text_key(F.col(text_col)).alias("_sd_h"), F.col(text_col).alias("text"))
@@ -157,7 +163,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     y = slice(x, x + 20_000)
                     own = pa.array(doc[y] + i)
                     packed = pa.array([raw[p:q] for p, q in zip(lo[y], hi[y], strict=True)], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array((at - first[doc])[y].astype(np.int32)), pa.array(n[y].astype(np.int32)), pa.array(mini[y]), packed], ["_sd_id", "_sd_h", "at", "n", "mini", "packed"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column(0).take(own), b.column(1).take(own), pa.array((at - first[doc])[y].astype(np.int32)),
+                            pa.array(n[y].astype(np.int32)), pa.array(mini[y]), packed
+                        ],
+                        ["_sd_id", "_sd_h", "at", "n", "mini", "packed"]
+                    )
 
     id_type = d.schema["_sd_id"].dataType.simpleString()
     sent = d.select("_sd_id", "_sd_h", "text").mapInArrow(pack, f"_sd_id {id_type}, _sd_h long, at int, n int, mini long, packed string")

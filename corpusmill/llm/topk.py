@@ -103,7 +103,12 @@ def select_block(scores: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int)
 
 def _packed(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(ids, kind="stable")
-    return pa.RecordBatch.from_pydict({"ids": pa.array([ids[order].tobytes()], pa.binary()), "width": pa.array([rows.shape[1]], pa.int32()), "weights": pa.array([rows[order].tobytes()], pa.binary())})
+    return pa.RecordBatch.from_pydict(
+        {
+            "ids": pa.array([ids[order].tobytes()], pa.binary()), "width": pa.array([rows.shape[1]], pa.int32()),
+            "weights": pa.array([rows[order].tobytes()], pa.binary())
+        }
+    )
 
 
 def _pack(size: int):
@@ -118,7 +123,10 @@ def _pack(size: int):
     return run
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "q", query_block: int = 2048, block_rows: int = 1024, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def top_k(
+    candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "q", query_block: int = 2048,
+    block_rows: int = 1024, broadcast_bytes: int = 32 << 20
+) -> DataFrame:
     """The k candidates of the largest inner product for each query id: ``query_id``, ``rank``, ``vec_id``, ``score``; vec_col holds array<long>."""
     spark = candidates.sparkSession
     rows = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
@@ -127,7 +135,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, -(-tasks // blocks))
     by_block = rows(queries).repartition(blocks, F.xxhash64("id")) if blocks > 1 else rows(queries).coalesce(1)
-    q = cut(by_block.mapInArrow(_pack(query_block), _PACKED).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("weights").alias("q_weights"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block")))
+    q = cut(
+        by_block.mapInArrow(_pack(query_block), _PACKED).select(
+            F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("weights").alias("q_weights"),
+            F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block")
+        )
+    )
     c = rows(candidates).mapInArrow(_pack(block_rows), _PACKED)
     each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     size = q.agg(F.sum(F.octet_length("q_ids") + F.octet_length("q_weights"))).first()[0] or 0

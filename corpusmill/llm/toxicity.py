@@ -342,7 +342,9 @@ def score(texts: list[str | None], machine: Machine, cache: int = 200_000) -> np
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Machine:
     """A machine from at most ``per_class`` documents of each label, outside the held-out fold."""
-    mine = labels.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_tx_id"), F.col(label_col).cast("int").alias("_tx_y"))
+    mine = labels.where(
+        (F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(label_col).isin(0, 1)
+    ).select(F.col(id_col).alias("_tx_id"), F.col(label_col).cast("int").alias("_tx_y"))
     mine = mine.groupBy("_tx_id").agg(F.max("_tx_y").alias("_tx_y")).withColumn("_tx_h", F.xxhash64("_tx_id", F.lit(11)))
     # at most per_class ids of each label, which is what the broadcast is bounded by; texts are not shuffled
     ids = None
@@ -370,4 +372,7 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = rate(docs, fit(docs, labels))
-    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.col("_tox").alias("score"), (F.col("_tox") >= 0.7).cast("int").alias("predicted"))
+    return out.select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.col("_tox").alias("score"),
+        (F.col("_tox") >= 0.7).cast("int").alias("predicted")
+    )

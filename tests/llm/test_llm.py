@@ -17,7 +17,10 @@ from corpusmill.llm.queries import ORACLES, QUERIES
 from oracle import agree
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-EDGE = [(1, None), (2, ""), (3, " \n \n"), (None, "All rights reserved. " + "alpha beta gamma delta " * 20), (5, "é" * 3000), (6, "x " * 4000), (6, "x " * 4000), (7, "one line\nOne line \nother"), (8, "日本 語 😀")]
+EDGE = [
+    (1, None), (2, ""), (3, " \n \n"), (None, "All rights reserved. " + "alpha beta gamma delta " * 20), (5, "é" * 3000), (6, "x " * 4000),
+    (6, "x " * 4000), (7, "one line\nOne line \nother"), (8, "日本 語 😀")
+]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +49,10 @@ def test_rows(spark, sf, name):
 
 
 def test_decontaminate_edges(spark, edge, nothing):
-    items = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma"), (2, "One LINE"), (2, None), (None, "x x"), (9, "")], "item_id long, text string")
+    items = spark.createDataFrame(
+        [(1, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma"), (2, "One LINE"), (2, None), (None, "x x"), (9, "")],
+        "item_id long, text string"
+    )
     got = decontaminate.find(edge, items).collect()
     assert len(got) == len(EDGE)
     by = {r["doc_id"]: r for r in got}
@@ -260,7 +266,9 @@ def test_bpe_equals_the_library(spark, sf, edge, nothing):
     assert len(out) == len(EDGE) and {r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 3)} == {0}
     assert bpe.encode(nothing).count() == 0
     assert bpe.encode(edge.withColumnRenamed("n", "_bpe")).select("_bpe", "_bpe_.n_tokens").count() == len(EDGE)
-    assert bpe.decode(lib.encode("some words", add_special_tokens=False).ids, bpe.Vocabulary.read()) == lib.decode(lib.encode("some words", add_special_tokens=False).ids, skip_special_tokens=False)
+    assert bpe.decode(lib.encode("some words", add_special_tokens=False).ids, bpe.Vocabulary.read()) == lib.decode(
+        lib.encode("some words", add_special_tokens=False).ids, skip_special_tokens=False
+    )
 
 
 def test_bpe_all_planes():
@@ -285,7 +293,9 @@ def test_bpe_long_word():
 
 
 def test_language_id(spark, sf, edge, nothing):
-    got = QUERIES["op6_language_id"](spark, sf.replace("0.001", "0.01")).join(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    got = QUERIES["op6_language_id"](spark, sf.replace("0.001", "0.01")).join(
+        spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).collect()
     held = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.97
@@ -329,7 +339,9 @@ def test_toxicity_held_out(spark, edge, nothing):
 
 def test_toxicity_machines_do_not_share_margins():
     """A machine built where a freed one lay keeps its own answers."""
-    rows = lambda bad: [(1, f"you are an {bad} number {i} of the kind we know") for i in range(60)] + [(0, f"we are in a house number {i} of the kind we know") for i in range(60)]
+    rows = lambda bad: [(1, f"you are an {bad} number {i} of the kind we know") for i in range(60)] + [
+        (0, f"we are in a house number {i} of the kind we know") for i in range(60)
+    ]
     first = toxicity.Machine(rows("idiot"))
     assert toxicity.score(["what idiot"], first)[0] > 0.5
     del first
@@ -399,14 +411,23 @@ _BODY = "<p>Body text stands here, plain and long.</p>"
     "page, want",
     [
         (f"<article><h1>T</h1>{_BODY}</article><form action=x><p>Give us your mail please.</p><input></form>", "T\nBody text stands here, plain and long."),
-        (f'<body><div class="gdpr-consent"><p>We use cookies to make this better. Accept all.</p></div><article>{_BODY}</article></body>', "Body text stands here, plain and long."),
+        (
+            f'<body><div class="gdpr-consent"><p>We use cookies to make this better. Accept all.</p></div><article>{_BODY}</article></body>',
+            "Body text stands here, plain and long."
+        ),
         (f'<article><h1>T</h1>{_BODY}</article><div id="disqus_thread"><p>I do not agree with this at all.</p></div>', "T\nBody text stands here, plain and long."),
         (f"<div><div id=rail><p>Other things that you may like to read now.</p></div><article>{_BODY}</article></div>", "Body text stands here, plain and long."),
-        (f'<article>{_BODY}<a href="/x"><p>A linked paragraph of the article itself.</p></a></article>', "Body text stands here, plain and long.\nA linked paragraph of the article itself."),
+        (
+            f'<article>{_BODY}<a href="/x"><p>A linked paragraph of the article itself.</p></a></article>',
+            "Body text stands here, plain and long.\nA linked paragraph of the article itself."
+        ),
         ("<p>Only a paragraph.</p>", "Only a paragraph."),
         ("<h1>Head</h1><p>One here.</p><p>Two here.</p>", "Head\nOne here.\nTwo here."),
         (f"<form id=frame><div class=nav><ul><li><a href=x>Home</a></li></ul></div><article><h1>T</h1>{_BODY}</article></form>", "T\nBody text stands here, plain and long."),
-        (f"<nav><ul><li><a href=a>A</a></li></ul></nav><main>{_BODY}<ul><li>Item one.</li><li>Item two.</li></ul></main><footer>&copy; 2020</footer>", "Body text stands here, plain and long.\nItem one.\nItem two."),
+        (
+            f"<nav><ul><li><a href=a>A</a></li></ul></nav><main>{_BODY}<ul><li>Item one.</li><li>Item two.</li></ul></main><footer>&copy; 2020</footer>",
+            "Body text stands here, plain and long.\nItem one.\nItem two."
+        ),
     ],
 )
 def test_html_kinds(page, want):
@@ -499,7 +520,10 @@ def test_license_brute_force(spark, sf, edge, nothing):
         assert r["labels"] == ",".join(sorted(labels | more))
         assert r["score"] == (1.0 if labels else share)
     assert found >= 30
-    more = spark.createDataFrame([(1, "cc by cc by x cc by"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the apache flew over the license"), (4, None)], "doc_id long, text string")
+    more = spark.createDataFrame(
+        [(1, "cc by cc by x cc by"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the apache flew over the license"), (4, None)],
+        "doc_id long, text string"
+    )
     got = {r["doc_id"]: r["_lic"] for r in license_scan.scan(more).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (3, 0, 5)
     assert got[2]["labels"] == "apache-2.0" and got[2]["score"] == 1.0 and got[3]["labels"] == "" and got[4]["n_words"] == 0
@@ -510,7 +534,10 @@ def test_license_brute_force(spark, sf, edge, nothing):
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (7, None), (8, [1.0, None]), (9, [nan, 1.0]), (10, [inf, 1.0]), (100, [0.0]), (None, [1.0, 1.0])]
+    rows = [
+        (0, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (7, None), (8, [1.0, None]), (9, [nan, 1.0]),
+        (10, [inf, 1.0]), (100, [0.0]), (None, [1.0, 1.0])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").where(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("q"))
     got = {}
     for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 3).collect():
@@ -576,11 +603,18 @@ def test_pipeline_stage_edges(spark, sf):
     import corpus_pipeline as P
 
     prose = "the cat and the hat went to the market of the old town and came back with a dog and some more of the same "
-    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\t", None), (None, prose + "one", "en"), (5, prose * 3000, "en"), (6, prose + "two of them here", "en"), (6, prose + "two of them here", "en"), (7, "½²", "en"), (8, "die Katze und der Hut " * 9, "de"), (9, "die Katze und der Hut " * 9, "de")]
+    rows = [
+        (1, None, "en"), (2, "", "en"), (3, " \n\t", None), (None, prose + "one", "en"), (5, prose * 3000, "en"),
+        (6, prose + "two of them here", "en"), (6, prose + "two of them here", "en"), (7, "½²", "en"), (8, "die Katze und der Hut " * 9, "de"),
+        (9, "die Katze und der Hut " * 9, "de")
+    ]
     extra = {"row": 1, "key": 2, "id": 3, "h": 4, "_lang": 5, "_bpe": 6, "_ld_lines": 7, "node": 8, "label": 9}
     df = spark.createDataFrame([(i, t, y, "s", len(t or "")) for i, t, y in rows], "doc_id long, text string, lang string, source string, n_chars long")
     df = df.withColumns({k: F.lit(v) for k, v in extra.items()})
-    want = {"language_id": [5, 6, 6, 8, 9, None], "line_dedup": [1, 2, 3, 5, 6, 6, 7, 8, 9, None], "decontaminate": [1, 2, 3, 5, 6, 6, 7, 8, 9, None], "bpe": [1, 2, 3, 5, 6, 6, 7, 8, 9, None]}
+    want = {
+        "language_id": [5, 6, 6, 8, 9, None], "line_dedup": [1, 2, 3, 5, 6, 6, 7, 8, 9, None], "decontaminate": [1, 2, 3, 5, 6, 6, 7, 8, 9, None],
+        "bpe": [1, 2, 3, 5, 6, 6, 7, 8, 9, None]
+    }
     for name, stage in P.STAGES:
         out = stage(spark, df, sf)
         got = out.collect()
