@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import pathlib
 import shutil
 import tempfile
 import uuid
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import boxes as B
-from ..operators import pipeline, tokenizers
+from ..operators import image, pipeline, tokenizers
 from ..sources import annotations as A
+from ..sources import formats, media
 from ..sources import sinks as S
 from ..sources import text as X
 from .registry import query
@@ -430,6 +432,50 @@ def source_zip(spark, sf):
     return A.zip_members(spark, root).select("name", F.col("content").cast("string").alias("content"))
 
 
+@query("source_zip_format", f"WITH {_NATION} SELECT _id || '.png' AS name, name AS content FROM o WHERE k % 2 = 0 UNION ALL SELECT _id || '.jpg', name FROM o WHERE k % 2 = 1")
+def source_zip_format(spark, sf):
+    """Two archives in a folder, read by the registered format."""
+    formats.register(spark)
+    root, d = scratch(spark, "zips"), nation(spark, sf)
+    pathlib.Path(local(root)).mkdir(parents=True)
+    for i, kind in enumerate(("png", "jpg")):
+        S.zip_file(d.where(F.col("k") % 2 == i).select(F.concat("_id", F.lit("." + kind)).alias("name"), F.col("name").cast("binary").alias("content")), f"{local(root)}/{kind}.zip")
+    found = spark.read.format("corpusmill_zip").option("members", "5").option("suffixes", ".png,.jpg").load(root)
+    return found.select("name", F.col("content").cast("string").alias("content"))
+
+
+@query("sink_class_folders", f"WITH {_NATION} SELECT _id, c AS _class, 4 AS height, 3 AS width, CAST(k * 12 AS DOUBLE) AS total FROM o")
+def sink_class_folders(spark, sf):
+    """Images written as PNG files to a folder for each class, and read back with the folders' numbers."""
+    root = scratch(spark, "classes")
+    d = nation(spark, sf).withColumn("folder", F.concat(F.lit("r"), F.col("c").cast("string")))
+    shown = image.on_image(image.gray_from(F.array_repeat(F.col("k").cast("double"), 12), 4, 3), lambda a: a.astype("uint8"))
+    S.save_images(d.withColumn("image", shown), local(root), "_id", "image", "folder")
+    found = A.class_folders(spark, root, {f"r{i}": i for i in range(5)}).select("_id", "_class", media.decode_image(F.col("content"), True).alias("image"))
+    total = F.aggregate(image.pixels(F.col("image")), F.lit(0.0), lambda a, x: a + x)
+    return found.select("_id", F.col("_class").cast("long").alias("_class"), "image.height", "image.width", total.alias("total"))
+
+
+@query("sink_sounds", f"WITH {_NATION} SELECT _id, 8000 AS rate, CAST(k AS DOUBLE) / 32768 AS first, 5 AS n FROM o")
+def sink_sounds(spark, sf):
+    """Samples written as WAV files and read back."""
+    root = scratch(spark, "sounds")
+    S.save_sounds(nation(spark, sf).withColumn("samples", F.array_repeat(F.col("k") / 32768.0, 5)), local(root), 8000, "_id")
+    found = A.files(spark, root, (".wav",)).select("_id", media.decode_sound(F.col("content"), True).alias("s"))
+    return found.select("_id", "s.rate", F.get("s.samples", F.lit(0)).alias("first"), F.size("s.samples").alias("n"))
+
+
+@query("sink_extraction", f"WITH {_PART} SELECT j AS _id, a AS image, b AS content, g AS prompt FROM p")
+def sink_extraction(spark, sf):
+    """Extraction records written by the sink."""
+    d = part(spark, sf).select(
+        "k", F.col("a").cast("binary").alias("image"), F.array(F.array(F.lit(0.0))).alias("bbox"), F.col("b").alias("content"),
+        F.array(F.struct(F.lit("x").alias("text"), F.lit(0).alias("start"), F.lit(1).alias("end"))).alias("result_list"), F.col("g").alias("prompt"),
+    )
+    put(d, S.extraction(), root := scratch(spark, "extraction"))
+    return X.extraction(spark, root).select(F.col("_id").cast("long").alias("_id"), F.col("image").cast("string").alias("image"), "content", "prompt")
+
+
 @query("source_labelled_boxes", f"WITH {_NATION} SELECT {_SUM}, CAST(c AS VARCHAR) AS c FROM o")
 def source_labelled_boxes(spark, sf):
     d = nation(spark, sf).withColumn("path", F.format_string("/data/upload/ab-%s.jpg", "_id")).withColumn("classes", F.transform("classes", lambda c: c.cast("string")))

@@ -176,18 +176,43 @@ def span_results(spans: str = "timestamps", classes: str = "classes") -> Column:
     )
 
 
-def save_binary(df: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
-    """A file for each row, written by the tasks to a folder that all of them share."""
+def save_binary(df: DataFrame, path: str, name: str = "name", content: str = "content", folder: str | None = None) -> None:
+    """A file for each row, written by the tasks to a folder that all of them share; with ``folder``, a column, to a folder in it.
+
+    Only the last part of a name counts, so that no name leads out of the
+    folder; rows without content write nothing; of equal names one stays.
+    """
     import os
 
     def write(rows):
-        os.makedirs(path, exist_ok=True)
         for r in rows:
-            to = os.path.join(path, os.path.basename(r[name]))
-            with open(to, "wb") as f:
-                f.write(r[content])
+            to = os.path.join(path, os.path.basename(str(r[folder])) if folder else "")
+            os.makedirs(to, exist_ok=True)
+            if r[content] is not None:
+                with open(os.path.join(to, os.path.basename(r[name])), "wb") as f:
+                    f.write(r[content])
+
+    df.select(name, content, *([folder] if folder else [])).foreachPartition(write)
+
+
+def save_images(df: DataFrame, path: str, name: str = "name", image: str = "image", folder: str | None = None) -> None:
+    """Images as PNG files, in a folder for each class if ``folder`` names its column."""
+    from .media import encode_image
+
+    out = df.select(F.concat(F.col(name), F.lit(".png")).alias("_file"), encode_image(F.col(image)).alias("_content"), *([folder] if folder else []))
+    save_binary(out, path, "_file", "_content", folder)
+
+
+def save_sounds(df: DataFrame, path: str, rate: int, name: str = "name", samples: str = "samples", channels: int = 1) -> None:
+    """Arrays of samples as WAV files."""
+    from .media import encode_sound
+
+    save_binary(df.select(F.concat(F.col(name), F.lit(".wav")).alias("_file"), encode_sound(F.col(samples), rate, channels).alias("_content")), path, "_file", "_content")
+
 
-    df.select(name, content).foreachPartition(write)
+def extraction(image: str = "image", bbox: str = "bbox", content: str = "content", result: str = "result_list", prompt: str = "prompt") -> Column:
+    """Document extraction records as JSON, images as base64: the inverse of the extraction source."""
+    return F.to_json(F.struct(F.base64(F.col(image)).alias("image"), F.col(bbox).alias("bbox"), F.col(content).alias("content"), F.col(result).alias("result_list"), F.col(prompt).alias("prompt")))
 
 
 def zip_file(df: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
