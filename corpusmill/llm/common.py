@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -121,10 +123,13 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
 
     A key of more than one in 4096 of these rows meets its rows by broadcast
     (there are at most 4096 such keys); the others are shuffled.  So no key's
-    rows gather in one task.  Left is read twice.
+    rows gather in one task.  Left is read twice; where there is no such key it
+    is a plain join.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
+    total, most = right.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     limit = max(least, total // 4096)
+    if most <= limit:
+        return left.join(right, keys, how)
     hot = F.broadcast(right.where(F.col(count) > limit))
     rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= limit), keys, how)
     return left.join(hot, keys).unionByName(rest)
@@ -135,10 +140,13 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, least: int = 256) -
 
     A key of more than one in 4096 of left's rows is cut into parts, each with
     a copy of right's row, so no key's rows gather in one task.  Left is read
-    twice.
+    twice; where there is no such key it is a plain join.
     """
     n = left.groupBy(key).agg(F.count("*").alias("_n"))
-    limit = max(least, left.count() // 4096)
+    total, most = n.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    limit = max(least, total // 4096)
+    if most <= limit:
+        return left.join(right, key)
     hot = F.broadcast(n.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).alias("_parts")))  # at most 4096 rows
     salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0).cast("long"))
     a = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
@@ -159,6 +167,13 @@ def whole_row(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a driver keeps what it held for a moment otherwise."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text; with the document's id it names a document."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

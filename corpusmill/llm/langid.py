@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, free, small_batches
+from .common import by_bytes, free, give_back, small_batches
 
 LETTER = regex.compile(r"\p{L}")  # not the numerals that other engines count as letters
 SPACE, DIGIT, OTHER = 26, 27, 28
@@ -207,7 +207,9 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = 1000) -> dict[str, ContextTree]:
     """Trees from at most ``per_class`` labelled rows of each language, outside the held-out fold."""
     learn = docs.where((F.crc32(F.col(id_col).cast("string")) % 5 != 0) & F.col(label_col).isNotNull())
-    return train(sample_labelled(learn, id_col, text_col, label_col, per_class))
+    model = train(sample_labelled(learn, id_col, text_col, label_col, per_class))
+    give_back()
+    return model
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

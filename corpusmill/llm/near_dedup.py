@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, mix64, remove, salted_join, shingles, small_batches, spread_join
+from .common import by_bytes, cut, give_back, mix64, remove, salted_join, shingles, small_batches, spread_join
 
 #: Members of a bucket up to which its pairs are listed in a row; larger ones go by blocks.
 BUCKET = 64
@@ -92,6 +92,8 @@ def document_frequencies(df: DataFrame, text_col: str, bits: int = 19, size: int
     out = np.zeros(1 << bits, np.int64)
     for r in rows:
         out[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    del rows
+    give_back()
     return out
 
 

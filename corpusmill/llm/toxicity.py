@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, free, small_batches
+from .common import by_bytes, free, give_back, small_batches
 
 REACH, DECAY, SYMBOLS = 6, 0.6, 64
 PAIRS = [(a, b, DECAY ** (b + 1)) for b in range(2, REACH + 1) for a in range(1, b)]
@@ -353,7 +353,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ids = part if ids is None else ids.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_tx_d"), F.col(text_col).alias("_tx_t")).where(F.col("_tx_t") != "")
     rows = texts.join(F.broadcast(ids), F.col("_tx_d") == F.col("_tx_id")).groupBy("_tx_id", "_tx_y").agg(F.min("_tx_t").alias("_tx_t")).collect()
-    return Machine([(r["_tx_y"], r["_tx_t"]) for r in sorted(rows, key=lambda r: (r["_tx_y"], str(r["_tx_id"])))])
+    machine = Machine([(r["_tx_y"], r["_tx_t"]) for r in sorted(rows, key=lambda r: (r["_tx_y"], str(r["_tx_id"])))])
+    del rows
+    give_back()
+    return machine
 
 
 def rate(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
