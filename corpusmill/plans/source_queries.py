@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import pathlib
 import shutil
 import tempfile
 import uuid
@@ -434,12 +433,11 @@ def source_zip(spark, sf):
 
 @query("source_zip_format", f"WITH {_NATION} SELECT _id || '.png' AS name, name AS content FROM o WHERE k % 2 = 0 UNION ALL SELECT _id || '.jpg', name FROM o WHERE k % 2 = 1")
 def source_zip_format(spark, sf):
-    """Two archives in a folder, read by the registered format."""
+    """Archives of several tasks in a folder, read by the registered format."""
     formats.register(spark)
     root, d = scratch(spark, "zips"), nation(spark, sf)
-    pathlib.Path(local(root)).mkdir(parents=True)
-    for i, kind in enumerate(("png", "jpg")):
-        S.zip_file(d.where(F.col("k") % 2 == i).select(F.concat("_id", F.lit("." + kind)).alias("name"), F.col("name").cast("binary").alias("content")), f"{local(root)}/{kind}.zip")
+    named = F.concat("_id", F.when(F.col("k") % 2 == 0, ".png").otherwise(".jpg"))
+    S.zip_parts(d.select(named.alias("name"), F.col("name").cast("binary").alias("content")).repartition(3), local(root))
     found = spark.read.format("corpusmill_zip").option("members", "5").option("suffixes", ".png,.jpg").load(root)
     return found.select("name", F.col("content").cast("string").alias("content"))
 

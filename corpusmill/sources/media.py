@@ -1,7 +1,7 @@
 """Payloads of images and sounds: files' bytes, or their base64 text, to arrays and back.
 
-PNG (all depths and colours, not interlaced), BMP (24 and 32 bits), PGM and PPM
-are read here; JPEG and the rest need Pillow or OpenCV on the workers, and are
+PNG (all depths and colours, not interlaced), BMP (24 and 32 bits), PGM, PPM and
+arrays in NumPy's format are read here; JPEG and the rest need Pillow or OpenCV on the workers, and are
 null without them.  Sounds are WAV files of 8, 16, 24 or 32 bits.  A payload
 that cannot be read gives null, so that one bad file does not end a job;
 ``strict`` raises instead.
@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.image import FIELDS, to_array, to_struct
+from ..operators.image import FIELDS, bgr_to_gray, on_image, to_array, to_struct
+from ..types import Payload
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SOUND = "rate int, channels int, samples array<double>"
@@ -134,6 +135,8 @@ def read_image(raw: bytes) -> np.ndarray:
     """The array of an image file, blue first."""
     if raw[:8] == SIGNATURE:
         return read_png(raw)
+    if raw[:6] == b"\x93NUMPY":
+        return np.load(io.BytesIO(raw), allow_pickle=False)
     if raw[:2] == b"BM":
         return read_bmp(raw)
     if raw[:2] in (b"P5", b"P6"):
@@ -179,6 +182,16 @@ def decode_image(payload: Column, strict: bool = False) -> Column:
     return apply(payload)
 
 
+def get_image(payload: Column, kind: Payload, strict: bool = False) -> Column:
+    """The payload of an image as a kind asks for it: a path stays what it is, the others are decoded, to one channel for ``GRAY_ARRAY``."""
+    if kind in (Payload.PATH, Payload.URL):
+        return payload
+    image = decode_image(payload, strict)
+    if kind != Payload.GRAY_ARRAY:
+        return image
+    return on_image(image, lambda a: bgr_to_gray(a)[:, :, 0] if a.ndim == 3 and a.shape[2] >= 3 else a if a.ndim == 2 else a[:, :, 0])
+
+
 def encode_image(image: Column) -> Column:
     """PNG files of images."""
 

@@ -49,6 +49,12 @@ DETECTION = T.StructType(
 )
 SEGMENTATION = T.StructType([T.StructField("_id", T.StringType()), T.StructField("image", IMAGE), T.StructField("label_mask", IMAGE)])
 AUDIO_CLASS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("audio", T.ArrayType(T.FloatType())), T.StructField("_class", T.IntegerType())])
+AUDIO_DETECTION = T.StructType(
+    [
+        T.StructField("_id", T.StringType()), T.StructField("audio", T.StringType()),
+        T.StructField("bboxes", T.ArrayType(BOX)), T.StructField("classes", T.ArrayType(T.IntegerType()))
+    ]
+)
 AUDIO_SPANS = T.StructType(
     [
         T.StructField("_id", T.StringType()), T.StructField("audio", T.StringType()), T.StructField("timestamps", T.ArrayType(SPAN)),

@@ -74,6 +74,18 @@ def test_payload_columns(spark):
         df.select(media.decode_image(F.col("b"), True).alias("b")).collect()
 
 
+def test_payload_kinds(spark):
+    import io
+
+    from corpusmill.types import Payload
+
+    raw = io.BytesIO()
+    np.save(raw, np.array([[[10, 20, 30]], [[0, 0, 0]]], np.uint8))
+    df = spark.createDataFrame([(1, raw.getvalue(), "a/b.png")], "id int, b binary, p string")
+    r = df.select(image.pixels(media.get_image(F.col("b"), Payload.NPY)).alias("a"), image.pixels(media.get_image(F.col("b"), Payload.GRAY_ARRAY)).alias("g"), media.get_image(F.col("p"), Payload.PATH).alias("p")).first()
+    assert r["a"] == [10, 20, 30, 0, 0, 0] and r["g"] == [22, 0] and r["p"] == "a/b.png"
+
+
 def test_sounds(spark, tmp_path):
     for width, values, want in (
         (1, [0, 128, 255], [-1, 0, 127 / 128]), (2, [-32768, 0, 16384], [-1, 0, 0.5]), (3, [-(1 << 23), 0, 1 << 22], [-1, 0, 0.5]),
