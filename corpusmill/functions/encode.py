@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,17 +26,20 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "id", start: int
 
     Ranges of the order are numbered side by side, each from the number of rows
     in the ranges before it; the driver gets one count a range.  The ranges are
-    persisted, so that counting and numbering see the same ones.
+    persisted, so that counting and numbering see the same ones; they stay so
+    until the session ends or clears its cache.
     """
     refuse_stream(df, "number_rows")
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    # a name of its own for each call, so that none is answered from what an earlier call persisted, perhaps of files changed since
+    own = F.lit(uuid.uuid4().hex)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumn("_call", own).persist()
     sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
     before = [0]
     for i in range(max(sizes, default=0)):
         before.append(before[-1] + sizes.get(i, 0))
     offset = F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col("_range"))
     n = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn(name, (n - 1 + start + offset).cast("long")).drop("_range")
+    return ranged.withColumn(name, (n - 1 + start + offset).cast("long")).drop("_range", "_call")
 
 
 def word_ids(df: DataFrame, words: str, order_by: str, start: int = 0, keep=None) -> DataFrame:
