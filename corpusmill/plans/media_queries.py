@@ -43,10 +43,16 @@ def image_png_colour(spark, sf):
     "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: least(greatest(trunc(x * 1000), -32768), 32767) / 32768) AS v, 1600 AS rate FROM embeddings"
 )
 def audio_wav(spark, sf):
-    """Samples of 16 bits written as WAV files and read back."""
-    whole = F.transform("v", lambda x: F.least(F.greatest((x * 1000).cast("long").cast("double"), F.lit(-32768.0)), F.lit(32767.0)) / 32768)
-    d = _wave(spark, sf).select("vec_id", media.decode_sound(media.encode_sound(whole, 1600), True).alias("s"))
-    return d.select("vec_id", F.col("s.samples").alias("v"), "s.rate")
+    """Samples of 16 bits written as WAV files and read back.
+
+    Files know no negative zero and no null sound: where a zero is read, its sign is that of the sample written, as in SQL's
+    ``trunc``, and sounds that are null have the rate of the others.
+    """
+    clipped = F.transform("v", lambda x: F.least(F.greatest(x * 1000, F.lit(-32768.0)), F.lit(32767.0)))
+    whole = F.transform(clipped, lambda x: F.signum(x) * F.floor(F.abs(x)) / 32768)
+    d = _wave(spark, sf).select("vec_id", whole.alias("v")).withColumn("s", media.decode_sound(media.encode_sound(F.col("v"), 1600), True))
+    signed = F.zip_with("s.samples", "v", lambda read, written: F.when(read == 0, written * 0.0).otherwise(read))
+    return d.select("vec_id", signed.alias("v"), F.coalesce("s.rate", F.lit(1600)).alias("rate"))
 
 
 _WORDS = r"WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) "

@@ -104,6 +104,23 @@ def test_sounds(spark, tmp_path):
     assert got[1]["samples"] == [0.5, -0.25] and got[1]["rate"] == 100 and got[2]["samples"] is None
 
 
+def test_wav_query_to_the_bit(spark, sf, tmp_path):
+    """Signs of zeros, null vectors and components that no sample can hold are as in SQL, which ``agree`` does not tell apart."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from oracle import duck
+
+    from corpusmill.plans import registry
+
+    inf = float("inf")
+    odd = [[-0.0, 0.0, -0.0004, 0.0004, -1e-30], None, [], [None, 0.1], [float("nan")], [inf, -inf], [1e30, -1e30], [-32.768, -40, 40, 32.767, -32.7679]]
+    pq.write_table(pa.table({"vec_id": range(len(odd)), "embedding": pa.array(odd, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    for path in (tmp_path, sf):
+        got = sorted((tuple(r) for r in registry.QUERIES["audio_wav"](spark, str(path)).collect()), key=lambda r: r[0])
+        want = duck(str(path)).execute(registry.ORACLES["audio_wav"] + " ORDER BY vec_id").fetchall()
+        assert [repr(r) for r in got] == [repr(r) for r in want]
+
+
 def test_character_maps_agree(spark):
     """The table of both coordinates is the join of the two tables on the offset."""
     from corpusmill.operators import idmap
