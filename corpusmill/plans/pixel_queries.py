@@ -34,7 +34,7 @@ def _mean(cells: list[tuple[int, int, str]], by: str) -> str:
 _HOLE = "p % 8 BETWEEN 1 AND 4 AND p // 8 BETWEEN 2 AND 5"
 _GAUSS = "exp(-0.5)"
 
-#: name: kernel, SQL of the values, digits (None: the same operations in the same order, so the same bits).
+#: name: kernel, SQL of the values, digits to which both round.  Operations and their order are the same, so the bits are.
 PIXELS = {
     "vflip": (image.vflip, "f", None),
     "rotate90": (image.rotate90, _each(64, "v[(p % 8) * 8 + 7 - p // 8 + 1]"), None),
@@ -115,8 +115,7 @@ def _pixel_query(name: str, kernel, cells: str, digits: int | None) -> None:
 
     @query(f"image_{name}", f"{_E} SELECT vec_id, {r} AS v FROM i")
     def run(spark, sf):
-        p = image.pixels(image.on_image(F.col("image"), kernel))
-        return _picture(spark, sf).select("vec_id", (F.transform(p, lambda x: F.round(x, digits)) if digits else p).alias("v"))
+        return _picture(spark, sf).select("vec_id", image.pixels(image.on_image(F.col("image"), kernel), digits).alias("v"))
 
 
 for _name, (_kernel, _cells, _digits) in PIXELS.items():

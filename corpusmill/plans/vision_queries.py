@@ -207,8 +207,8 @@ def image_crop(spark, sf):
 
 @query("image_min_max", "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round((x + 4) / 8 * 255, 6)) AS v FROM embeddings")
 def image_min_max(spark, sf):
-    p = image.pixels(image.on_image(F.col("image"), lambda a: image.min_max(a, -4.0, 4.0)))
-    return _picture(spark, sf).select("vec_id", F.transform(p, lambda x: F.round(x, 6)).alias("v"))
+    p = image.pixels(image.on_image(F.col("image"), lambda a: image.min_max(a, -4.0, 4.0)), 6)
+    return _picture(spark, sf).select("vec_id", p.alias("v"))
 
 
 @query(

@@ -75,3 +75,27 @@ def test_audio(spark):
     rows = F.array(*[F.array(F.lit(float(i))) for i in range(3)])
     got = spark.range(1).select(audio.stack_frames(rows, 3, 2).alias("r")).first()["r"]
     assert got == [[0, 0, 1], [1, 2, 2]]
+
+
+def _odd_vectors(tmp_path):
+    """Halves of the sixth digit, zeros of both signs, tiny, plain and not finite values, as a table of vectors."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, inf = np.random.default_rng(1), float("inf")
+    rows = [rng.integers(-300, 301, 64) / 128 for _ in range(40)] + [rng.standard_normal(64) * s for s in (1e-6, 1e-7, 1, 1, 1e6)]
+    rows += [np.full(64, -0.0), np.where(rng.random(64) < 0.5, -0.0, 0.0), rng.permutation([inf, -inf, float("nan"), 3e38] + [0.3] * 60)]
+    pq.write_table(pa.table({"vec_id": range(len(rows)), "embedding": pa.array([list(r) for r in rows], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["axis_projection", "min_max"])
+def test_pixel_query_to_the_bit(spark, sf, tmp_path, name):
+    from oracle import duck
+
+    from corpusmill.plans import registry
+
+    for path in (_odd_vectors(tmp_path), sf):
+        got = sorted((tuple(r) for r in registry.QUERIES[f"image_{name}"](spark, path).collect()), key=lambda r: r[0])
+        want = duck(path).execute(registry.ORACLES[f"image_{name}"] + " ORDER BY vec_id").fetchall()
+        assert [repr(r) for r in got] == [repr(r) for r in want]
