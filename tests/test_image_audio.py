@@ -89,7 +89,7 @@ def _odd_vectors(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["axis_projection", "min_max", "border_map", "bgr_to_gray", "saturation", "resize_bilinear", "perspective", "warp", "convolve", "gaussian_blur", "motion_blur"])
+@pytest.mark.parametrize("name", ["axis_projection", "min_max", "border_map", "bgr_to_gray", "saturation", "resize_bilinear", "perspective", "warp", "convolve", "gaussian_blur", "motion_blur", "hue", "hsv"])
 def test_pixel_query_to_the_bit(spark, sf, tmp_path, name):
     from oracle import duck
 
