@@ -113,21 +113,33 @@ def five_windows(w: Column, h: Column, dst_w, dst_h) -> Column:
     )
 
 
-def crop(boxes: Column, classes: Column, win: Column) -> Column:
-    """Boxes moved into a window and clipped; those without an area go with their classes. Gives struct<bboxes, classes, dropped>."""
+def once(value: Column, f=lambda x: x) -> Column:
+    """f of a value that is computed once, however often f names it: Spark writes out what a struct holds wherever a field of it is named, but not here."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def clipped(b: Column, win: Column) -> Column:
+    """One box moved into a window and clipped."""
     clip = lambda c, top: F.least(F.greatest(c, F.lit(0.0)), top)
     width, height = (win["x2"] - win["x1"]).cast("double"), (win["y2"] - win["y1"]).cast("double")
-    moved = F.transform(
-        boxes,
-        lambda b: box(
-            clip(b["x1"] - win["x1"], width), clip(b["y1"] - win["y1"], height), clip(b["x2"] - win["x1"], width), clip(b["y2"] - win["y1"], height)
-        )
-    )
-    both = F.transform(F.sequence(F.lit(1), F.size(moved)), lambda i: F.struct(F.element_at(moved, i).alias("b"), F.element_at(classes, i).alias("c")))
-    both = F.when(F.size(moved) > 0, both).otherwise(F.filter(F.array(F.struct(F.get(moved, F.lit(0)).alias("b"), F.get(classes, F.lit(0)).alias("c"))), lambda x: F.lit(False)))
-    flat = lambda x: (x["b"]["x1"] == x["b"]["x2"]) | (x["b"]["y1"] == x["b"]["y2"])
-    keep, gone = F.filter(both, lambda x: ~flat(x)), F.filter(both, flat)
-    return F.struct(F.transform(keep, lambda x: x["b"]).alias("bboxes"), F.transform(keep, lambda x: x["c"]).alias("classes"), F.transform(gone, lambda x: x["b"]).alias("dropped"))
+    return box(clip(b["x1"] - win["x1"], width), clip(b["y1"] - win["y1"], height), clip(b["x2"] - win["x1"], width), clip(b["y2"] - win["y1"], height))
+
+
+def is_flat(b: Column) -> Column:
+    """Whether a box has no area."""
+    return (b["x1"] == b["x2"]) | (b["y1"] == b["y2"])
+
+
+def crop(boxes: Column, classes: Column, win: Column) -> Column:
+    """Boxes moved into a window and clipped; those without an area go with their classes. Gives struct<bboxes, classes, dropped>."""
+    boxes = F.coalesce(boxes, F.array())
+    both = F.zip_with(boxes, F.slice(F.coalesce(classes, F.array()), 1, F.size(boxes)), lambda b, c: F.struct(clipped(b, win).alias("b"), c.alias("c")))
+
+    def parts(both: Column) -> Column:
+        keep, gone = F.filter(both, lambda x: ~is_flat(x["b"])), F.filter(both, lambda x: is_flat(x["b"]))
+        return F.struct(F.transform(keep, lambda x: x["b"]).alias("bboxes"), F.transform(keep, lambda x: x["c"]).alias("classes"), F.transform(gone, lambda x: x["b"]).alias("dropped"))
+
+    return once(both, parts)
 
 
 def uncrop(boxes: Column, win: Column) -> Column:

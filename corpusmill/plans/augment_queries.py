@@ -30,7 +30,10 @@ def _parts(spark, sf) -> DataFrame:
 
 def _flat(df: DataFrame, digits: int | None = None) -> DataFrame:
     cut = lambda c: F.round(c, digits) if digits else F.col(c)
-    return df.select("k", "width", "height", F.explode("bboxes").alias("b")).select("k", "width", "height", *[cut(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    # a plain explode makes Spark test first whether there is anything to explode, with all steps written out in one expression: rows without
+    # boxes come through here and go by their missing place
+    each = df.select("k", "width", "height", F.posexplode_outer("bboxes").alias("n", "b")).where("n is not null")
+    return each.select("k", "width", "height", *[cut(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def _letterboxed(dst: str) -> str:

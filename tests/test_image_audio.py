@@ -99,3 +99,15 @@ def test_pixel_query_to_the_bit(spark, sf, tmp_path, name):
         got = sorted((tuple(r) for r in registry.QUERIES[f"image_{name}"](spark, path).collect()), key=lambda r: r[0])
         want = duck(path).execute(registry.ORACLES[f"image_{name}"] + " ORDER BY vec_id").fetchall()
         assert [repr(r) for r in got] == [repr(r) for r in want]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_are_not_written_out_twice(spark, sf):
+    """A plain explode repeats all steps in a test of its own, within one expression that grows with each of them."""
+    from corpusmill.plans import registry
+
+    plan = _plan(registry.QUERIES["augment_cover"](spark, sf))
+    assert len(plan) < 10_000 and plan.count("zip_with(") == 1
