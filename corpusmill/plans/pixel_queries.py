@@ -137,11 +137,9 @@ FROM m WHERE x1 <> x2 AND y1 <> y2""",
 )
 def box_five_crop(spark, sf):
     """Boxes in the windows of the four corners and the centre that hold a part of them."""
-    d = flat(spark, sf).select(
-        "l_orderkey", "l_linenumber", F.array("b").alias("b"), F.array("c").alias("c"),
-        F.posexplode(boxes.five_windows(F.lit(640), F.lit(480), 400, 300)).alias("no", "w")
-    )
-    r = d.select("l_orderkey", "l_linenumber", "no", F.explode(boxes.crop(F.col("b"), F.col("c"), F.col("w"))["bboxes"]).alias("r"))
+    windows = F.posexplode(boxes.five_windows(F.lit(640), F.lit(480), 400, 300)).alias("no", "w")
+    d = flat(spark, sf).select("l_orderkey", "l_linenumber", "b", windows)
+    r = d.select("l_orderkey", "l_linenumber", "no", boxes.clipped(F.col("b"), F.col("w")).alias("r")).where(~boxes.is_flat(F.col("r")))
     return r.select("l_orderkey", "l_linenumber", "no", "r.x1", "r.y1", "r.x2", "r.y2")
 
 

@@ -111,3 +111,10 @@ def test_steps_are_not_written_out_twice(spark, sf):
 
     plan = _plan(registry.QUERIES["augment_cover"](spark, sf))
     assert len(plan) < 10_000 and plan.count("zip_with(") == 1
+
+
+def test_single_boxes_need_no_arrays(spark, sf):
+    from corpusmill.plans import registry
+
+    plan = _plan(registry.QUERIES["box_five_crop"](spark, sf))
+    assert "transform(" not in plan and "filter(" not in plan
