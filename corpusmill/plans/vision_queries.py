@@ -82,9 +82,9 @@ SELECT l_orderkey, count(*) FILTER (WHERE x1 <> x2 AND y1 <> y2) AS kept, count(
 )
 def box_crop(spark, sf):
     """Boxes and classes of each image in a window."""
-    g = flat(spark, sf).groupBy("l_orderkey").agg(F.collect_list("b").alias("b"), F.collect_list("c").alias("c"))
+    g = flat(spark, sf).groupBy("l_orderkey").agg(F.collect_list(F.struct("b", "c")).alias("p"))
     win = F.struct(F.lit(100).alias("x1"), F.lit(400).alias("x2"), F.lit(50).alias("y1"), F.lit(250).alias("y2"))
-    r = g.select("l_orderkey", boxes.crop(F.col("b"), F.col("c"), win).alias("r"))
+    r = g.select("l_orderkey", boxes.crop(F.col("p.b"), F.col("p.c"), win).alias("r"))
     total = F.aggregate("r.bboxes", F.lit(0.0), lambda a, x: a + x["x1"] + x["y1"] + x["x2"] + x["y2"])
     return r.select(
         "l_orderkey", F.size("r.bboxes").cast("long").alias("kept"), F.size("r.dropped").cast("long").alias("dropped"),

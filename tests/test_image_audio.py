@@ -118,3 +118,16 @@ def test_single_boxes_need_no_arrays(spark, sf):
 
     plan = _plan(registry.QUERIES["box_five_crop"](spark, sf))
     assert "transform(" not in plan and "filter(" not in plan
+
+
+def test_crop_computes_boxes_once(spark, sf):
+    """Whatever is asked of the result; boxes without classes and classes without boxes are as they were."""
+    from corpusmill.plans import registry
+
+    plan = _plan(registry.QUERIES["box_crop"](spark, sf))
+    assert plan.count("zip_with(") == 1 and "sequence(" not in plan and plan.count("collect_list(") == 2  # once before the shuffle, once behind
+    d = spark.createDataFrame([(1, [(0.0, 0.0, 20.0, 20.0), (90.0, 0.0, 99.0, 5.0)], [3, 4, 5]), (2, [], [1]), (3, None, [1]), (4, None, None)], "k int, b array<struct<x1:double,y1:double,x2:double,y2:double>>, c array<int>")
+    win = F.struct(F.lit(10).alias("x1"), F.lit(60).alias("x2"), F.lit(5).alias("y1"), F.lit(55).alias("y2"))
+    got = {r["k"]: r["r"].asDict(True) for r in d.select("k", boxes.crop(F.col("b"), F.col("c"), win).alias("r")).collect()}
+    assert [tuple(b.values()) for b in got[1]["bboxes"]] == [(0.0, 0.0, 10.0, 15.0)] and got[1]["classes"] == [3] and len(got[1]["dropped"]) == 1
+    assert all(got[k] == {"bboxes": [], "classes": [], "dropped": []} for k in (2, 3, 4))
