@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .clean import SPACE
+from .rows import STRINGS, by_row
 
 PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
 
@@ -101,25 +101,23 @@ def pieces_of(word: str, vocab: set[str] | dict, mark: str = "##") -> list[str]:
     return out
 
 
-def word_pieces(segment: Column, vocab, mark: str = "##") -> Column:
-    """Word pieces of all words of an array; each batch looks at its distinct words once."""
+def word_pieces(segment: Column, vocab, mark: str = "##", memory: int = 50_000) -> Column:
+    """Word pieces of all words of an array; words seen are remembered, up to ``memory`` of them."""
     known = frozenset(vocab)
-
-    @F.pandas_udf("array<string>")
-    def apply(s: pd.Series) -> pd.Series:
-        memo: dict[str, list[str]] = {}
-
-        def one(words):
-            if words is None:
-                return None
-            out = []
-            for w in words:
-                if w not in memo:
-                    memo[w] = pieces_of(w, known, mark)
-                out += memo[w]
-            return out
-
-        return s.map(one, na_action="ignore")
+    memo: dict[str, list[str]] = {}
+
+    @by_row(STRINGS)
+    def apply(words):
+        if words is None:
+            return None
+        out = []
+        for w in words:
+            if w not in memo:
+                if len(memo) >= memory:
+                    memo.clear()
+                memo[w] = pieces_of(w, known, mark)
+            out += memo[w]
+        return out
 
     return apply(segment)
 

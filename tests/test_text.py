@@ -213,3 +213,21 @@ def test_texts_without_words(spark, tmp_path, name):
     rows = [(0, None), (1, ""), (2, " \n\t "), (3, "a"), (4, "a b a"), (5, "w" * 129), (6, "b " + "w" * 127), (7, " ".join(["abcde"] * 60)), (8, "x" * 64 + " " + "y" * 64)]
     spark.createDataFrame(rows, "doc_id bigint, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
     agree(spark, str(tmp_path), registry.QUERIES[name], registry.ORACLES[name])
+
+
+def test_batches_are_never_python_objects_as_a_whole(spark):
+    """Rows come in slices of a batch, nulls and nested lists as they are, whatever the slice."""
+    import pyarrow as pa
+
+    from corpusmill.functions import rows
+
+    a = pa.array([["ab", None, "c"], None, [], ["é", "漢"] * 3, ["x"]])
+    assert rows._objects(a) == a.to_pylist() and rows._objects(a.slice(2, 2)) == a.slice(2, 2).to_pylist()
+    nested = pa.array([[["a"], None, []], None, [["b", "c"]]])
+    assert rows._objects(nested) == nested.to_pylist() and rows._objects(nested.slice(1)) == nested.slice(1).to_pylist()
+    many = pa.array([["word"] * 1000] * 2000)
+    sizes = [len(s[0]) for s in rows._slices((many, pa.array(range(2000))))]
+    assert sum(sizes) == 2000 and max(sizes) * many.nbytes / 2000 < 2 * rows.SLICE
+    d = spark.createDataFrame([(1, None), (2, []), (3, ["a", "b"])], "k int, w array<string>")
+    got = {r["k"]: r for r in d.select("k", perturb.random_mask(F.col("w"), F.col("k"), {"a": 0, "b": 1, "[MASK]": 2}, 1, 1.0).alias("m"), chunk.token_retention(F.col("w"), 1).alias("t")).collect()}
+    assert got[1]["m"]["tokens"] is None and got[1]["t"] is None and got[2]["t"] == [] and got[3]["t"] == [["a"], ["b"]] and got[3]["m"]["tags"] == [0, 1]
