@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .rows import STRINGS, by_row
 
 SKIP = -100
 
@@ -94,10 +96,9 @@ def _edit(mode: str, tokens: list[str], key, vocab: dict[str, int], pool: list[s
 def _perturb(mode: str, tokens: Column, key: Column, vocab: dict[str, int], seed: int, prob: float, n: int, include, exclude, mask: str, keep_len: bool) -> Column:
     pool = sorted((set(include) if include else set(vocab)) - set(exclude) - {t for t in vocab if t.startswith("[") and t.endswith("]")})
 
-    @F.pandas_udf("tokens array<string>, tags array<int>")
-    def apply(s: pd.Series, k: pd.Series) -> pd.DataFrame:
-        rows = [_edit(mode, list(t), x, vocab, pool, seed, prob, n, mask, keep_len, True) if t is not None else (None, None) for t, x in zip(s, k, strict=True)]
-        return pd.DataFrame(rows, columns=["tokens", "tags"])
+    @by_row(T.StructType([T.StructField("tokens", STRINGS), T.StructField("tags", T.ArrayType(T.IntegerType()))]))
+    def apply(t, k):
+        return (None, None) if t is None else _edit(mode, t, k, vocab, pool, seed, prob, n, mask, keep_len, True)
 
     return apply(tokens, key)
 
