@@ -6,10 +6,11 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rows import STRING, by_row
+
 #: Unicode white space as Python has it; Java's class lacks the four separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 PATTERNS = {
@@ -84,13 +85,9 @@ def strip_accents(c: Column) -> Column:
 
 
 def normalize(c: Column, f: Callable[[str], str]) -> Column:
-    """Any normaliser of one string, for instance a text-normalisation model's method; runs in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
+    """Any normaliser of one string, for instance a text-normalisation model's method; runs by rows of Arrow batches."""
 
-    return apply(c)
+    return by_row(STRING)(lambda t: None if t is None else f(t))(c)
 
 
 _ZH, _ZH_UNIT, _ZH_GROUP = "零一二三四五六七八九", ["", "十", "百", "千"], ["", "万", "亿", "万亿", "亿亿"]
