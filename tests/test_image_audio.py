@@ -131,3 +131,17 @@ def test_crop_computes_boxes_once(spark, sf):
     got = {r["k"]: r["r"].asDict(True) for r in d.select("k", boxes.crop(F.col("b"), F.col("c"), win).alias("r")).collect()}
     assert [tuple(b.values()) for b in got[1]["bboxes"]] == [(0.0, 0.0, 10.0, 15.0)] and got[1]["classes"] == [3] and len(got[1]["dropped"]) == 1
     assert all(got[k] == {"bboxes": [], "classes": [], "dropped": []} for k in (2, 3, 4))
+
+
+def test_images_pass_as_arrow(spark, sf):
+    """No step of the image queries goes by pandas (evaluation type 200), which makes an object of every value of a batch."""
+    import re
+
+    from pyspark.util import PythonEvalType
+
+    from corpusmill.plans import registry
+
+    for name in ("image_png_colour", "image_png", "image_drawn"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()
+        kinds = {int(k) for k in re.findall(r"ArrowEvalPython \[.*\], (\d+)", plan.toString())}
+        assert kinds == {PythonEvalType.SQL_SCALAR_ARROW_UDF}
