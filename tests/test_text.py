@@ -231,3 +231,49 @@ def test_batches_are_never_python_objects_as_a_whole(spark):
     d = spark.createDataFrame([(1, None), (2, []), (3, ["a", "b"])], "k int, w array<string>")
     got = {r["k"]: r for r in d.select("k", perturb.random_mask(F.col("w"), F.col("k"), {"a": 0, "b": 1, "[MASK]": 2}, 1, 1.0).alias("m"), chunk.token_retention(F.col("w"), 1).alias("t")).collect()}
     assert got[1]["m"]["tokens"] is None and got[1]["t"] is None and got[2]["t"] == [] and got[3]["t"] == [["a"], ["b"]] and got[3]["m"]["tags"] == [0, 1]
+
+
+def _first_that_fit(words, size):
+    out = ""
+    for w in words:
+        if len(out) + len(w) > size:
+            break
+        out += w
+    return out
+
+
+def _k_heads(words, size, k):
+    if len("".join(words)) <= size:
+        return "".join(words)
+    mean, pieces = len("".join(words)) // k, [[]]
+    for w in words:
+        if sum(map(len, pieces[-1])) >= mean:
+            pieces.append([])
+        pieces[-1].append(w)
+    return "".join(_first_that_fit(p, size // k) for p in pieces if sum(map(len, p)) >= mean)
+
+
+def _middle(words, size):
+    n, mid, taken = len(words), len(words) // 2, []
+    for i in (j for d in range(mid + 1) for j in (mid + d, mid - 1 - d)):
+        if not 0 <= i < n or sum(len(words[j]) for j in taken) + len(words[i]) > size:
+            break
+        taken.append(i)
+    return "".join(words[i] for i in sorted(taken))
+
+
+def test_truncation_by_brute_force(spark):
+    """Empty items, items too long and whole fits; and the plan holds no list that grows with the piece."""
+    import random
+
+    rng = random.Random(3)
+    segments = [[], [""], ["", ""], ["abc"] * 40, ["", "x"] * 60] + [["y" * rng.choice((0, 1, 1, 2, 3, 9, 30)) + str(i % 10) * rng.randint(0, 1) for i in range(rng.randint(1, 90))] for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(segments)), "k int, w array<string>")
+    w = F.col("w")
+    cut = d.select("k", chunk.head(w, 20).alias("head"), chunk.tail(w, 20).alias("tail"), chunk.middle(w, 20).alias("middle"), chunk.k_heads(w, 25, 5).alias("heads"))
+    for r in cut.collect():
+        s = segments[r["k"]]
+        back = _first_that_fit([x[::-1] for x in reversed(s)], 20)[::-1]
+        assert (r["head"], r["tail"], r["middle"], r["heads"]) == (_first_that_fit(s, 20), back, _middle(s, 20), _k_heads(s, 25, 5))
+    plan = d.select(chunk.k_heads(w, 25, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "array(" not in plan
