@@ -36,12 +36,19 @@ def local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def _headed(df: DataFrame, line: Column, header: str | None) -> DataFrame:
+    out = df.select("k", line.alias("line"))
+    return out if header is None else out.unionByName(df.sparkSession.sql("SELECT CAST(-1 AS BIGINT) AS k").withColumn("line", F.lit(header)))
+
+
 def put(df: DataFrame, line: Column, path: str, header: str | None = None) -> None:
     """Lines in the order of ``k`` as one file, behind a header."""
-    out = df.select("k", line.alias("line"))
-    if header is not None:
-        out = out.unionByName(df.sparkSession.sql("SELECT CAST(-1 AS BIGINT) AS k").withColumn("line", F.lit(header)))
-    S.one_file(out, F.col("line"), "k", path)
+    S.one_file(_headed(df, line, header), F.col("line"), "k", path)
+
+
+def put_parts(df: DataFrame, line: Column, path: str, header: str | None = None) -> None:
+    """Lines and a header as a folder of part files, for readers that go by no order: written side by side, by no task more than it reads."""
+    S.text_lines(_headed(df, line, header), F.col("line"), path)
 
 
 def put_each(df: DataFrame, name: Column, content: Column, path: str) -> None:
@@ -534,7 +541,7 @@ def source_attributes(spark, sf):
     d, root = part(spark, sf), scratch(spark, "faces")
     for f, cells in (("part", "%d.jpg %d"), ("id", "%d.jpg %d"), ("attr", "%d.jpg  1 -1"), ("box", "%d.jpg %d 1 2 3"), ("marks", "%d.jpg %d 5")):
         more = [F.col("k") % 3] if f == "part" else [] if f == "attr" else [F.col("n")]
-        put(d, F.format_string(cells, "k", *more), f"{root}/{f}", "count" if f in ("attr", "box") else None)
+        put_parts(d, F.format_string(cells, "k", *more), f"{root}/{f}", "count" if f in ("attr", "box") else None)
     first = lambda c: F.get(c, F.lit(0)).cast("long")
     return A.attributes(spark, root, "part", "id", "attr", "box", "marks").select(
         "_id", "split", first("identity").alias("identity"), F.size("attr").cast("int").alias("attrs"), first("bbox").alias("x")

@@ -142,3 +142,15 @@ def test_binary(spark, tmp_path):
     assert [(r["name"], bytes(r["content"])) for r in A.zip_members(spark, str(tmp_path / "z.zip")).collect()] == [("a/b.txt", b"hi")]
     g = A.synthetic_glyphs(spark, 3).collect()
     assert len(g) == 3 and image.to_array(g[0]["image"].asDict()).shape == (7, 20)
+
+
+def test_unordered_lines_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """No single task has to sort and write whole tables whose order nobody reads."""
+    from corpusmill.plans import registry
+    from corpusmill.sources import sinks
+
+    def refuse(*_):
+        raise AssertionError("one file")
+
+    monkeypatch.setattr(sinks, "one_file", refuse)
+    assert registry.QUERIES["source_attributes"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
