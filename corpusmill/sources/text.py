@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -251,9 +252,29 @@ def csc_test(spark, inputs: str, truth: str) -> DataFrame:
     )
 
 
+def numbered_elements(spark, path: str, tag: str) -> DataFrame:
+    """The elements of a tag without attributes in files, with their places in their files: ``_id``, ``s``.  Files stay splittable.
+
+    A record ends where an element opens, so it holds what follows the opening
+    before it; a file's first record is what stands before all elements.  The
+    records of each split are counted, in a table of one row a split, and
+    numbered from the count of those before it.  An element that is not closed
+    before the next one opens is left out, but keeps its number.
+    """
+    d = spark.read.option("lineSep", f"<{tag}>").text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")
+    ).withColumn("_n", F.monotonically_increasing_id())  # one by one within a split, as its records follow each other in one partition
+    part = W.partitionBy("_file").orderBy("_from").rowsBetween(W.unboundedPreceding, -1)
+    splits = d.groupBy("_file", "_from").agg(F.min("_n").alias("_first"), F.count("*").alias("_count"))
+    splits = splits.select("_file", "_from", (F.coalesce(F.sum("_count").over(part), F.lit(0)) - F.col("_first") - 1).alias("_add"))
+    found = d.join(F.broadcast(splits), ["_file", "_from"]).select((F.col("_n") + F.col("_add")).cast("int").alias("_id"), "value")
+    body = F.substring_index("value", f"</{tag}>", 1)
+    return found.where((F.col("_id") >= 0) & F.contains("value", F.lit(f"</{tag}>"))).select("_id", F.concat(F.lit(f"<{tag}>"), body, F.lit(f"</{tag}>")).alias("s"))
+
+
 def csc_sentences(spark, path: str) -> DataFrame:
     """Sentence-level SGML: text and mistakes."""
-    s = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<SENTENCE>.*?</SENTENCE>"), F.lit(0))).alias("_id", "s"))
+    s = numbered_elements(spark, path, "SENTENCE")
     pick = lambda tag: F.xpath("s", F.lit(f"//{tag}/text()"))
     z = F.arrays_zip(pick("LOCATION").alias("l"), pick("WRONG").alias("w"), pick("CORRECTION").alias("c"))
     return s.select(

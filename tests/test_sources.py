@@ -154,3 +154,26 @@ def test_unordered_lines_are_written_side_by_side(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(sinks, "one_file", refuse)
     assert registry.QUERIES["source_attributes"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_sentences_keep_their_places_in_any_splits(spark, tmp_path):
+    """Files of several splits, cut anywhere, are numbered as when read whole; the last sentence is not closed."""
+    import re
+
+    from corpusmill.sources import text
+
+    body = "".join(f"<SENTENCE>\n<TEXT>é{i}{'x' * (i * 7 % 90)}</TEXT><MISTAKE><LOCATION>{i}</LOCATION></MISTAKE></SENTENCE>{' ' * (i % 5)}" for i in range(400))
+    for name, extra in (("a", "<ROOT></SENTENCE>\n"), ("b", "")):
+        (tmp_path / name).write_text(extra + body + "<SENTENCE><TEXT>open")
+    want = sorted([*enumerate(re.findall(r"(?s)<SENTENCE>.*?</SENTENCE>", body))] * 2)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (997, 4096, 10**6):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            d = text.numbered_elements(spark, str(tmp_path), "SENTENCE")
+            assert sorted((r["_id"], r["s"]) for r in d.collect()) == want
+            assert d.rdd.getNumPartitions() > 20 or size > 997
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
