@@ -46,14 +46,21 @@ def word_ids(df: DataFrame, words: str, order_by: str, start: int = 0, keep=None
     """Dense ids in the order of first sight: ``word``, ``id``. keep: a predicate on the word column.
 
     First places are aggregated before anything is ordered, and the vocabulary
-    is numbered in parallel (``number_rows``).
+    is numbered in parallel (``number_rows``).  ``order_by`` has to name a row;
+    null comes first.  A row gives each of its words once, and the least of
+    each is kept by numbers of fixed width: Spark sorts all words of the table
+    to find the least of structs.
     """
     refuse_stream(df, "word_ids")
-    seen = df.select(F.col(order_by).alias("at"), F.posexplode(words).alias("pos", "word"))
+    seen = df.select(F.col(order_by).alias("at"), F.posexplode(F.array_distinct(words)).alias("pos", "word"))
     if keep is not None:
         seen = seen.where(keep(F.col("word")))
-    first = seen.groupBy("word").agg(F.min(F.struct("at", "pos")).alias("first"))
-    return number_rows(first, [F.col("first")], "id", start).select("word", "id")
+    least = seen.groupBy("word").agg(
+        F.min("at").alias("at"), F.min_by("pos", "at").alias("pos"), F.min(F.when(F.col("at").isNull(), F.col("pos"))).alias("unplaced")
+    )
+    known = F.col("unplaced").isNull()
+    first = least.select("word", F.when(known, F.col("at")).alias("at"), F.when(known, F.col("pos")).otherwise(F.col("unplaced")).alias("pos"))
+    return number_rows(first, [F.col("at"), F.col("pos")], "id", start).select("word", "id")
 
 
 def encode_words(words: Column, vocab: dict[str, int], unknown: str = "[UNK]") -> Column:

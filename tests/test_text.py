@@ -277,3 +277,13 @@ def test_truncation_by_brute_force(spark):
         assert (r["head"], r["tail"], r["middle"], r["heads"]) == (_first_that_fit(s, 20), back, _middle(s, 20), _k_heads(s, 25, 5))
     plan = d.select(chunk.k_heads(w, 25, 5))._jdf.queryExecution().executedPlan().toString()
     assert "array(" not in plan
+
+
+def test_word_ids_do_not_sort_all_words(spark):
+    """The order of first sight, rows without a place first, by aggregates that need no sorted input."""
+    rows = [(3, ["b", "a", "b", "c"]), (1, ["d", "a", "d"]), (2, []), (None, ["e", "c"]), (4, None), (5, ["f", None, "a"])]
+    d = spark.createDataFrame(rows, "k int, w array<string>")
+    got = encode.word_ids(d, "w", "k")
+    assert [r["word"] for r in got.orderBy("id").collect()] == ["e", "c", "d", "a", "b", "f", None] and sorted(r["id"] for r in got.collect()) == list(range(7))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
